@@ -18,11 +18,11 @@ def parse_repeatmasker(lines: DataFrame) -> DataFrame:
     Lines of up to two characters, with fewer than 15 fields, or whose first field is no number are left out.
     """
     f = F.split(F.regexp_replace(F.rtrim(F.ltrim("value")), r"\s+", " "), " ")
-    rows = lines.filter(F.length(F.trim("value")) > 2).withColumn("f", f).filter((F.size("f") >= 15) & F.col("f")[0].rlike("^[0-9]+$"))
-    strand = F.when(F.col("f")[8] == "C", "-").otherwise("+")
+    rows = lines.filter(F.length(F.trim("value")) > 2).withColumn("f", f).filter((F.size("f") >= 15) & F.get("f", F.lit(0)).rlike("^[0-9]+$"))
+    strand = F.when(F.get("f", F.lit(8)) == "C", "-").otherwise("+")
     return rows.select(
-        F.col("f")[4].alias("chrom"), F.col("f")[5].cast("long").alias("te_start"), F.col("f")[6].cast("long").alias("te_end"), F.col("f")[9].alias("te_name"),
-        F.col("f")[10].alias("family"), strand.alias("strand"), intact_element(strand, F.col("f")[11], F.col("f")[13]).alias("intact"), F.col("ord"),
+        F.get("f", F.lit(4)).alias("chrom"), F.get("f", F.lit(5)).cast("long").alias("te_start"), F.get("f", F.lit(6)).cast("long").alias("te_end"), F.get("f", F.lit(9)).alias("te_name"),
+        F.get("f", F.lit(10)).alias("family"), strand.alias("strand"), intact_element(strand, F.get("f", F.lit(11)), F.get("f", F.lit(13))).alias("intact"), F.col("ord"),
     )
 
 

@@ -116,6 +116,7 @@ SELECTS = {
         WHERE NOT EXISTS (SELECT 1 FROM matched_mates o WHERE o.base = m.base AND o.mate <> m.mate))""",
     "collect_fullreads": "SELECT name, seq FROM reads WHERE name IN (SELECT regexp_replace(name, ':(start|end):[53]$', '') FROM repeat_rows WHERE regexp_matches(name, ':(start|end):[53]$'))",
     "cluster_reads": "SELECT chrom, name, gstart, gend, cluster_id FROM clustered",
+    "session_clusters": "SELECT chrom, min(gstart) AS first, max(gend) AS last, count(*) AS n_reads, count(*) FILTER (strand = '+') AS n_forward FROM clustered GROUP BY chrom, cluster_id",
     "breakpoint_counts": "SELECT chrom, cluster_id, side, position, count(*) AS n_reads FROM junc GROUP BY ALL",
     "pair_breakpoints": "SELECT chrom, cluster_id, left_pos, right_pos FROM pairs",
     "te_family_mode": """SELECT c.chrom, c.cluster_id, coalesce(f.te_name, 'NA') AS te_name FROM (SELECT DISTINCT chrom, cluster_id FROM junc) c LEFT JOIN

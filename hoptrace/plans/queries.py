@@ -16,6 +16,7 @@ from ..sinks import gff_line
 from ..sources.sam import genome_reads, records
 from ..sources.text import parse_insertions
 from ..staging import staged
+from ..streaming import session_clusters as sessions
 from .fixtures import Relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +170,11 @@ def cluster_reads(r: Relations) -> DataFrame:
     return cluster.clusters(r.genome_aln).select("chrom", "name", "gstart", "gend", "cluster_id")
 
 
+@query
+def session_clusters(r: Relations) -> DataFrame:
+    return sessions(r.genome_aln)
+
+
 @query
 def breakpoint_counts(r: Relations) -> DataFrame:
     return calls.breakpoint_counts(_junctions(r))

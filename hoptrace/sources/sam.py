@@ -29,7 +29,7 @@ def records(lines: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """Canonical records of alignment lines (value, ordinal). Lines with fewer than 11 fields are left out."""
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("@")).withColumn("f", f).filter(F.size("f") >= 11)
-    g = lambda i: F.col("f")[i]
+    g = lambda i: F.get("f", F.lit(i))
     start = F.when(g(3).cast("int") > 0, g(3).cast("int") - 1)
     nm = F.expr("try_cast(nullif(regexp_extract(value, '\\tNM:i:([0-9]+)', 1), '') AS INT)")
     cigar = F.when(g(5) != "*", g(5))

@@ -46,8 +46,8 @@ def read_read_repeat(spark: SparkSession, path: str) -> DataFrame:
     """(name, te_name, strand) of a tab-separated table; further fields are ignored, shorter lines left out, the last of a name wins."""
     f = F.split("value", "\t")
     rows = numbered_lines(spark, path).withColumn("f", f).filter(F.size("f") >= 3)
-    last = F.max_by(F.struct(F.col("f")[1].alias("te_name"), F.rtrim(F.col("f")[2]).alias("strand")), "ordinal")
-    return rows.groupBy(F.col("f")[0].alias("name")).agg(last.alias("v")).select("name", "v.te_name", "v.strand")
+    last = F.max_by(F.struct(F.get("f", F.lit(1)).alias("te_name"), F.rtrim(F.get("f", F.lit(2))).alias("strand")), "ordinal")
+    return rows.groupBy(F.get("f", F.lit(0)).alias("name")).agg(last.alias("v")).select("name", "v.te_name", "v.strand")
 
 
 def read_repeatmasker(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +58,10 @@ def parse_insertions(lines: DataFrame) -> DataFrame:
     """Calls from GFF lines (value): comments, blank lines and lines of fewer than nine fields are left out, absent attributes get defaults."""
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", f).filter(F.size("f") >= 9)
-    a = F.col("f")[8]
+    a = F.get("f", F.lit(8))
     count = lambda key: gff_attribute(a, key, "0").cast("long")
     return rows.select(
-        F.col("f")[0].alias("chrom"), F.col("f")[3].cast("long").alias("start"), F.col("f")[4].cast("long").alias("end"), gff_attribute(a, "Name", "NA").alias("te_name"), F.col("f")[6].alias("strand"),
+        F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(3)).cast("long").alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"), gff_attribute(a, "Name", "NA").alias("te_name"), F.get("f", F.lit(6)).alias("strand"),
         gff_attribute(a, "TSD", "UNK").alias("tsd"), count("Left_junction_reads").alias("left_junction"), count("Right_junction_reads").alias("right_junction"),
         count("Left_support_reads").alias("left_support"), count("Right_support_reads").alias("right_support"), gff_attribute(a, "Note", "").alias("note"),
     )
@@ -75,4 +75,4 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, family, start, end, strand, tsd) of a GFF of known sites."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).filter(~F.col("value").startswith("#")).withColumn("f", f).filter(F.size("f") >= 9)
-    return rows.select(F.col("f")[0].alias("chrom"), F.col("f")[2].alias("family"), F.col("f")[3].cast("long").alias("start"), F.col("f")[4].cast("long").alias("end"), F.col("f")[6].alias("strand"), gff_attribute(F.col("f")[8], "TSD", "").alias("tsd"))
+    return rows.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(2)).alias("family"), F.get("f", F.lit(3)).cast("long").alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"), F.get("f", F.lit(6)).alias("strand"), gff_attribute(F.get("f", F.lit(8)), "TSD", "").alias("tsd"))
