@@ -49,8 +49,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def _key(df: DataFrame, seed: int) -> DataFrame:
-    """``_hash``: the document's place in the seeded order."""
-    return df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")))
+    """``_hash``: the document's place in the seeded order, the first 60 bits of an MD5 over seed and doc_id."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    return df.withColumn("_hash", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
 
 
 def plan(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, **kw) -> tuple[DataFrame, DataFrame]:
@@ -101,11 +102,12 @@ def sample(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, **kw) -> D
     The decision is taken where the text lies, by its source's short plan, so no text is shuffled for it.
     """
     _, by_source = plan(docs, seed=seed, buckets=buckets, **kw)
-    rows = _key(docs, seed).withColumn("size", word_count(F.col("text").cast("string"))).withColumn("bucket", F.pmod(F.shiftright("_hash", 20), F.lit(buckets)).cast("int"))
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text").cast("string")).alias("size"))
+    rows = _key(own, seed).withColumn("bucket", F.pmod(F.shiftright("_hash", 20), F.lit(buckets)).cast("int"))
     taken = _take(rows, by_source)
     # a text without words takes part in whole repetitions alone
     times = (F.col("whole") + F.when((F.col("size") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)).cast("int")
-    return taken.filter(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return taken.withColumn("_times", times).filter(F.col("_times") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).select("_row.*")
 
 
 def op7_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,9 +114,11 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
     """Adaptive gradient steps on the log loss, the same for the same rows in the same order."""
     model, labels = Model(), np.array([r[2] for r in rows], np.float64)
-    mean = float(labels.mean()) if len(rows) else 0.5
+    if not rows:
+        return model
+    mean = float(labels.mean())
     if not 0 < mean < 1:
-        model.bias = float(np.log((mean + 1e-6) / (1 - mean + 1e-6))) if len(rows) else 0.0
+        model.bias = float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
         return model
     rng = np.random.default_rng(seed)
     model.bias = float(np.log(mean / (1 - mean)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .interleaved import op10_interleaved_media
 from .mixing import op7_water_filling
+from .oracle import ORACLE
 from .packing import op6_best_two_fit
 from .quality_fm import op2_quality_fm
 from .quality_rules import op8_adaptive_rules
@@ -25,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

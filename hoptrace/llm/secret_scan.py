@@ -111,9 +111,11 @@ def masked(docs: DataFrame, cover: str = "*") -> DataFrame:
     Spans of copied examples that the base rules alone have found are covered too: a base span stays a finding.
     """
     rows = judged(scan(docs)).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_hash"])
-    keyed = docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left")
-    text = F.aggregate("_spans", F.col("text"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(cover), (s["end"] - s["start"]).cast("int")), F.substr(t, s["end"].cast("int") + 1)))
-    return keyed.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
+    keyed = own.join(rows, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_hash")), "left")
+    text = F.aggregate("_spans", F.col("_text"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(cover), (s["end"] - s["start"]).cast("int")), F.substr(t, s["end"].cast("int") + 1)))
+    covered = F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("_text")).alias("text")
+    return keyed.select(*[covered if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
