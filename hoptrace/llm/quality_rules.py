@@ -23,8 +23,8 @@ LEAST_GROUP, FENCE, TOP_STEP = 30, 3, 4000
 MEASURES = {
     "symbols": ("n_symbols", 1000, "word_chars", 60, False),
     "word_length": ("word_chars", 10, "n_words", 40, True),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 300, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 150, False),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", 600, False),
+    "repeats": ("n_repeat_words", 1000, "n_words", 280, False),
 }
 
 
