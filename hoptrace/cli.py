@@ -49,16 +49,16 @@ def build_parser() -> argparse.ArgumentParser:
 
     p = add("find-insertions", "call insertions that the genome does not have")
     _common(p)
-    p.add_argument("-b", "--bam", required=True, help="alignments of flanks and mates (Parquet or SAM)")
+    p.add_argument("-b", "--bam", required=True, help="alignments of flanks and mates (BAM, SAM or Parquet)")
     p.add_argument("-g", "--genome", required=True, help="FASTA of the genome")
-    p.add_argument("--fullreads-bam", help="alignments of full junction reads (Parquet or SAM)")
+    p.add_argument("--fullreads-bam", help="alignments of full junction reads (BAM, SAM or Parquet)")
     p.add_argument("--read-repeat", required=True, help="read-repeat table")
     p.add_argument("--required-junction-reads", type=int, default=DEFAULT.required_junction_reads, help="least junction reads on a side")
     p.set_defaults(run=_find)
 
     p = add("find-reference", "call insertions that the genome has too")
     _common(p)
-    p.add_argument("-b", "--bam", required=True, help="alignments of flanks and mates (Parquet or SAM)")
+    p.add_argument("-b", "--bam", required=True, help="alignments of flanks and mates (BAM, SAM or Parquet)")
     p.add_argument("--repeatmasker", required=True, help="RepeatMasker .out file of the genome")
     p.add_argument("--read-repeat", required=True, help="read-repeat table")
     p.set_defaults(run=_reference)
@@ -66,7 +66,7 @@ def build_parser() -> argparse.ArgumentParser:
     p = add("characterize", "genotype called insertions")
     _common(p)
     p.add_argument("-i", "--insertions", required=True, help="GFF of calls")
-    p.add_argument("-b", "--reads-bam", required=True, help="alignments of all reads (Parquet or SAM)")
+    p.add_argument("-b", "--reads-bam", required=True, help="alignments of all reads (BAM, SAM or Parquet)")
     p.set_defaults(run=_characterize)
 
     p = add("run", "all steps")
@@ -97,8 +97,11 @@ def _params(args) -> Params:
 
 
 def _alignments(spark, path: str):
+    from .sources.bam import read_bam
     from .sources.sam import read_sam
 
+    if path.endswith(".bam"):
+        return read_bam(spark, path)
     return read_sam(spark, path) if path.endswith((".sam", ".sam.gz")) else spark.read.parquet(path)
 
 
