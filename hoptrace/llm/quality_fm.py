@@ -68,7 +68,7 @@ class Features:
 
     def _hashed(self, word: str) -> tuple[int, int]:
         found = (zlib.crc32(word.lower().encode("utf-8")) % BUCKETS, BUCKETS + zlib.crc32(_shape(word).encode("utf-8")) % SHAPES)
-        if len(self.cache) < 300_000 and len(word) <= 32:
+        if len(self.cache) < 200_000 and len(word) <= 32:
             self.cache[word] = found
         return found
 
