@@ -2,7 +2,7 @@
 
 A byte-pair tokenizer first cuts a text into pre-tokens by a published pattern, and merges never cross a cut. So the
 whole text is cut by that pattern, the model of the ``tokenizers`` library gives each distinct pre-token's ids, and
-the ids are joined. Tests compare the ids with those of the library's own ``encode`` on whole texts.
+the ids are joined. Words between blanks, which are always cuts, are looked up first. Tests compare the ids with those of the library's own ``encode`` on whole texts.
 A tokenizer file of another kind is handled by the library's ``encode_batch``.
 """
 
@@ -17,9 +17,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Entries of one worker's cache (some 100 bytes each); later pre-tokens are encoded each time they occur.
-CACHE_ENTRIES = 600_000
-#: Longer pre-tokens are not kept.
+#: Entries of one worker's caches of words and of pre-tokens (some 150 bytes each); later ones are encoded each time they occur.
+WORD_ENTRIES, PIECE_ENTRIES = 400_000, 200_000
+#: Longer ones are not kept.
 CACHED_CHARS = 48
 
 # The published cutting patterns of the two kinds of tokenizer, and each for texts of ASCII alone.
@@ -50,11 +50,30 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         unit = self.unit
         ids = b"".join([unit[t.id] for t in self.tokenize(piece.encode("utf-8").decode("latin-1").translate(_BYTES))])
-        if len(piece) <= CACHED_CHARS and len(self) < CACHE_ENTRIES:
+        if len(piece) <= CACHED_CHARS and len(self) < PIECE_ENTRIES:
             self[piece] = ids
         return ids
 
 
+class _Words(dict):
+    """Stretches of text between cuts at blanks to the bytes of their ids; what is missing is cut into pre-tokens."""
+
+    def __init__(self, cut, pieces: _Pieces):
+        super().__init__()
+        self.cut, self.pieces = cut, pieces
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.pieces.__getitem__, self.cut[not word.isascii()](word)))
+        if len(word) <= CACHED_CHARS and len(self) < WORD_ENTRIES:
+            self[word] = ids
+        return ids
+
+
+#: Blanks that are not known to be cuts where a blank goes with the word behind it.
+RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\0")
+_OTHER_BLANK = re.compile(r"[^\S \n]").search
+
+
 class TextEncoder:
     """``encode(texts)`` gives, for each text (null: empty), its ids as a numpy array of ``dtype``."""
 
@@ -79,20 +98,25 @@ class TextEncoder:
             elif len(parts) == 2 and self.lower and parts[0].get("pattern", {}).get("Regex") == WITHOUT_SPACE:
                 self.cut = (re.compile(WITHOUT_SPACE_ASCII, re.ASCII).findall, regex.compile(WITHOUT_SPACE).findall)
         self.pieces = _Pieces(self.tokenizer.model, self.dtype, size)
+        self.words = _Words(self.cut, self.pieces)
 
-    def _cut(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.cut[0](text.lower() if self.lower else text)
+    def _bytes(self, text: str) -> bytes:
+        """Ids of a whole text, cut at blanks first: a blank is dropped, or a lone one goes with the word behind it."""
         if self.lower:
-            text = unicodedata.normalize("NFC", text)
-            text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # a final sigma depends on its place
-        return self.cut[1](text)
+            if text.isascii():
+                text = text.lower()
+            else:
+                text = unicodedata.normalize("NFC", text)
+                text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # a final sigma depends on its place
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        if any(x in text for x in RUNS) or (not text.isascii() and _OTHER_BLANK(text)):
+            return b"".join(map(self.pieces.__getitem__, self.cut[not text.isascii()](text)))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.cut is None:
             return [np.asarray(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        get = self.pieces.__getitem__
-        return [np.frombuffer(b"".join(map(get, self._cut(t))) if t else b"", dtype=self.dtype) for t in texts]
+        return [np.frombuffer(self._bytes(t) if t else b"", dtype=self.dtype) for t in texts]
 
 
 @lru_cache(maxsize=4)

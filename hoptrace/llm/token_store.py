@@ -3,7 +3,7 @@
 ``write_store`` encodes whole texts, cuts each id stream where a rolling hash over its last ids says so, and writes
 
 * ``chunks``: every distinct chunk once, under the SHA-256 of its bytes;
-* ``recipes``: per document, in ascending doc_id order, the digests of its chunks in order, its ids' count, the number
+* ``recipes``: per document, in ascending doc_id order (parts by number, rows inside a part), the digests of its chunks in order, its ids' count, the number
   of ids of all documents before it, and the Merkle root over its chunk digests;
 * ``manifest``: per file range of recipes, the Merkle root over its documents' roots, its documents and ids.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import new_path, range_offsets, ranked_partitions, small_batches, staged
 from .token_ids import encoder
 
-#: Ids that a cut decision looks at, bits of its hash that must be zero (an average chunk is 2**CUT_BITS ids), bounds.
+#: Ids that a cut decision looks at (a power of two), bits of its hash that must be zero (an average chunk is 2**CUT_BITS ids), bounds.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 
 #: An odd multiplier for the polynomial rolling hash (a fixed value: 2**64 / golden ratio).
@@ -44,11 +44,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     x = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
     x ^= x >> np.uint64(29)
-    h, power = np.zeros(n, np.uint64), np.uint64(1)
+    h, power, span = x, MULTIPLIER, 1
     with np.errstate(over="ignore"):
-        for k in range(WINDOW):
-            h[k:] += x[: n - k] * power
-            power = power * MULTIPLIER
+        while span < WINDOW:  # a hash of twice as many ids from two of half as many; the first ids' hashes cover fewer
+            h = np.concatenate([h[:span], h[span:] + h[:-span] * power])
+            power, span = power * power, span * 2
     wanted = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
     ends, last = [], 0
     for p in [*wanted.tolist(), n]:
@@ -152,25 +152,29 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) ->
     (
         recipes.join(range_offsets(recipes, F.col("n_tokens")), "_range")
         .withColumn("start", (F.col("_before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long"))
-        .select("_range", "doc_id", "text_digest", "start", "n_tokens", "root", "digests", "sizes")
-        .write.option("compression", "zstd").parquet(f"{path}/recipes")
+        .select(F.col("_range").alias("part"), "doc_id", "text_digest", "start", "n_tokens", "root", "digests", "sizes")
+        .write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     )
     spark = docs.sparkSession
-    _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    _roots(_recipes(spark, path)).write.parquet(f"{path}/manifest")
     return path
 
 
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    kinds = "doc_id long, text_digest binary, start long, n_tokens long, root binary, digests array<binary>, sizes array<int>, part int"
+    return spark.read.schema(kinds).parquet(f"{path}/recipes")
+
+
 def _roots(recipes: DataFrame) -> DataFrame:
     """Per range of recipes the Merkle root over its documents' roots, in order; one short row a document comes together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = [{"_range": r["_range"], "documents": len(r["roots"]), "ids": r["ids"], "root": merkle_root([x["root"] for x in r["roots"]])} for r in rows]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_range", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())]))
+            out = [{"part": r["part"], "documents": len(r["roots"]), "ids": r["ids"], "root": merkle_root([x["root"] for x in r["roots"]])} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())]))
 
-    by = recipes.groupBy("_range").agg(F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    return by.select(F.col("_range").cast("int").alias("_range"), "ids", "roots").mapInArrow(run, "_range int, documents long, ids long, root binary")
+    by = recipes.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
+    return by.select(F.col("part").cast("int").alias("part"), "ids", "roots").mapInArrow(run, "part int, documents long, ids long, root binary")
 
 
 # --- reading ------------------------------------------------------------------------------------------------------
@@ -195,7 +199,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     A document's checksum is put together from those of its chunks, each read once, so hot chunks are not sent to
     their many documents. ``verified``: all its chunks' digests hold, and so does the Merkle root of its recipe.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "digest", "after", "rooted"]
@@ -226,7 +230,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and the ids (array of long) of each document, rebuilt from recipes and chunks."""
-    parts = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
+    parts = _recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
     found = parts.join(spark.read.parquet(f"{path}/chunks"), "digest")
     whole = found.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "data"))).alias("parts"))
 
