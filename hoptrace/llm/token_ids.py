@@ -17,8 +17,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Entries of one worker's caches of words and of pre-tokens (some 150 bytes each); later ones are encoded each time they occur.
-WORD_ENTRIES, PIECE_ENTRIES = 400_000, 200_000
+#: Entries of one worker's cache (some 150 bytes each); what comes later is encoded each time it occurs.
+CACHE_ENTRIES = 600_000
 #: Longer ones are not kept.
 CACHED_CHARS = 48
 
@@ -40,35 +40,29 @@ _BYTES = _byte_characters()
 
 
 class _Pieces(dict):
-    """Pre-token to the bytes of its ids; what is missing is encoded by the model."""
+    """Stretches of text between cuts to the bytes of their ids; one that is missing is encoded, or cut further first."""
 
-    def __init__(self, model, dtype: np.dtype, size: int):
+    def __init__(self, model, dtype: np.dtype, size: int, cut):
         super().__init__()
-        self.tokenize = model.tokenize
+        self.tokenize, self.cut = model.tokenize, cut
         self.unit = [int(i).to_bytes(dtype.itemsize, "little") for i in range(size)]
 
     def __missing__(self, piece: str) -> bytes:
+        if not (piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha())):  # else one pre-token: letters, with one space at most
+            parts = self.cut[not piece.isascii()](piece)
+            if len(parts) != 1:
+                ids = b"".join(map(self.__getitem__, parts))
+                if len(piece) <= CACHED_CHARS and len(self) < CACHE_ENTRIES:
+                    self[piece] = ids
+                return ids
+            piece = parts[0]
         unit = self.unit
         ids = b"".join([unit[t.id] for t in self.tokenize(piece.encode("utf-8").decode("latin-1").translate(_BYTES))])
-        if len(piece) <= CACHED_CHARS and len(self) < PIECE_ENTRIES:
+        if len(piece) <= CACHED_CHARS and len(self) < CACHE_ENTRIES:
             self[piece] = ids
         return ids
 
 
-class _Words(dict):
-    """Stretches of text between cuts at blanks to the bytes of their ids; what is missing is cut into pre-tokens."""
-
-    def __init__(self, cut, pieces: _Pieces):
-        super().__init__()
-        self.cut, self.pieces = cut, pieces
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.pieces.__getitem__, self.cut[not word.isascii()](word)))
-        if len(word) <= CACHED_CHARS and len(self) < WORD_ENTRIES:
-            self[word] = ids
-        return ids
-
-
 #: Blanks that are not known to be cuts where a blank goes with the word behind it.
 RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\0")
 _OTHER_BLANK = re.compile(r"[^\S \n]").search
@@ -97,8 +91,7 @@ class TextEncoder:
                 self.cut = (re.compile(WITH_SPACE_ASCII, re.ASCII).findall, regex.compile(WITH_SPACE).findall)
             elif len(parts) == 2 and self.lower and parts[0].get("pattern", {}).get("Regex") == WITHOUT_SPACE:
                 self.cut = (re.compile(WITHOUT_SPACE_ASCII, re.ASCII).findall, regex.compile(WITHOUT_SPACE).findall)
-        self.pieces = _Pieces(self.tokenizer.model, self.dtype, size)
-        self.words = _Words(self.cut, self.pieces)
+        self.pieces = _Pieces(self.tokenizer.model, self.dtype, size, self.cut)
 
     def _bytes(self, text: str) -> bytes:
         """Ids of a whole text, cut at blanks first: a blank is dropped, or a lone one goes with the word behind it."""
@@ -108,10 +101,10 @@ class TextEncoder:
             else:
                 text = unicodedata.normalize("NFC", text)
                 text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # a final sigma depends on its place
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
         if any(x in text for x in RUNS) or (not text.isascii() and _OTHER_BLANK(text)):
             return b"".join(map(self.pieces.__getitem__, self.cut[not text.isascii()](text)))
-        return b"".join(map(self.words.__getitem__, text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")))
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.cut is None:

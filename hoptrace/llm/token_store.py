@@ -33,8 +33,8 @@ from .token_ids import encoder
 #: Ids that a cut decision looks at (a power of two), bits of its hash that must be zero (an average chunk is 2**CUT_BITS ids), bounds.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 
-#: An odd multiplier for the polynomial rolling hash (a fixed value: 2**64 / golden ratio).
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: An odd multiplier for the polynomial rolling hash (a fixed value: 2**32 / golden ratio).
+MULTIPLIER = np.uint32(0x9E3779B1)
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -42,14 +42,14 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    x = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
-    x ^= x >> np.uint64(29)
+    x = (ids.astype(np.uint32) + np.uint32(1)) * MULTIPLIER
+    x ^= x >> np.uint32(15)
     h, power, span = x, MULTIPLIER, 1
     with np.errstate(over="ignore"):
         while span < WINDOW:  # a hash of twice as many ids from two of half as many; the first ids' hashes cover fewer
             h = np.concatenate([h[:span], h[span:] + h[:-span] * power])
             power, span = power * power, span * 2
-    wanted = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
+    wanted = np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + 1
     ends, last = [], 0
     for p in [*wanted.tolist(), n]:
         while p - last > MOST:
@@ -115,23 +115,25 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("text_digest", pa.binary()),
-             ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])))]
-        )
         end = np.array([end_id], dtype=enc.dtype)
         for batch in batches:
-            rows = []
-            texts = batch.column(1).to_pylist()
-            for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, enc.encode(texts)):
+            texts, counts, roots, offsets = batch.column(1).to_pylist(), [], [], [0]
+            digests, sizes, data = [], [], []
+            for ids in enc.encode(texts):
                 ids = np.concatenate([ids, end])
-                chunks, last = [], 0
+                last, first = 0, len(digests)
                 for p in cut_points(ids):
-                    data = ids[last:p].tobytes()
-                    chunks.append({"digest": hashlib.sha256(data).digest(), "n": p - last, "data": data})
+                    data.append(ids[last:p].tobytes())
+                    digests.append(hashlib.sha256(data[-1]).digest())
+                    sizes.append(p - last)
                     last = p
-                rows.append({"doc_id": doc_id, "n_tokens": len(ids), "root": merkle_root([c["digest"] for c in chunks]), "text_digest": hashlib.sha256((text or "").encode()).digest(), "chunks": chunks})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                counts.append(len(ids))
+                roots.append(merkle_root(digests[first:]))
+                offsets.append(len(digests))
+            named = [hashlib.sha256((t or "").encode()).digest() for t in texts]
+            parts = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["digest", "n", "data"])
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(named, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "root", "text_digest", "chunks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ENCODED)
 
@@ -202,17 +204,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     recipes = _recipes(spark, path)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_tokens", "digest", "after", "rooted"]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc_id, start, n, root, digests, sizes in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-                rooted, left = merkle_root(digests) == root and sum(sizes) == n, n
-                for d, size in zip(digests, sizes):
-                    left -= size
-                    for c, v in zip(cols, (doc_id, start, n, d, left, rooted)):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            digests, sizes = batch.column(4), batch.column(5).flatten().to_numpy()
+            counts = np.diff(digests.offsets.to_numpy())
+            of = np.repeat(np.arange(len(counts)), counts)
+            upto = np.cumsum(sizes, dtype=np.int64)
+            whole = np.concatenate([[0], upto])[np.cumsum(counts)]  # ids up to the end of each document
+            sums = np.diff(whole, prepend=0).tolist()
+            rooted = [merkle_root(d) == r and n == m for d, r, n, m in zip(digests.to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), sums)]
+            at = pa.array(of)
+            columns = [batch.column(i).take(at) for i in range(3)] + [digests.flatten(), pa.array(whole[of] - upto), pa.array(rooted, pa.bool_()).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "digest", "after", "rooted"])
 
     parts = recipes.select("doc_id", "start", "n_tokens", "root", "digests", "sizes").mapInArrow(places, "doc_id long, start long, n_tokens long, digest binary, after long, rooted boolean")
     found = parts.join(staged(verified_chunks(spark.read.parquet(f"{path}/chunks")), "chunk-sums"), "digest", "left")
