@@ -34,7 +34,7 @@ def clusters(reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ("ch
 def junctions(clustered: DataFrame) -> DataFrame:
     """Junction reads with side, position and te_end."""
     info = junction_info(F.col("name"), F.col("strand"), F.col("gstart"), F.col("gend"))
-    return clustered.withColumn("_j", info).filter(F.col("_j").isNotNull()).select("*", "_j.side", "_j.position", "_j.te_end").drop("_j")
+    return clustered.select("*", F.inline(F.array_compact(F.array(info))))
 
 
 def support(clustered: DataFrame) -> DataFrame:

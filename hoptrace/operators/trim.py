@@ -49,7 +49,9 @@ def best_alignment(alignments: DataFrame, keys: list[str]) -> DataFrame:
 
 def trimmed_reads(alignments: DataFrame, p: Params = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """The flanks that reads keep: name (tagged), seq, qual, te_name, strand, junction_type, te_portion and ``keep``."""
-    return alignments.withColumn("_t", trim_read(p)).filter(F.col("_t").isNotNull()).select(*keep, "_t.name", "_t.seq", "_t.qual", "te_name", "strand", "_t.junction_type", "_t.te_portion")
+    # as a generator of no or one row, so that the rule is evaluated once and not again for a filter and each field
+    kept = alignments.select(*keep, "te_name", "strand", F.inline(F.array_compact(F.array(trim_read(p)))))
+    return kept.select(*keep, "name", "seq", "qual", "te_name", "strand", "junction_type", "te_portion")
 
 
 def flank_counts(trimmed: DataFrame, keys: list[str]) -> DataFrame:
