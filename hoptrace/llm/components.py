@@ -1,7 +1,8 @@
 """Connected components of links between 64-bit nodes, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join on written tables, so that large groups of either side can be split, and no
-step gathers the neighbours of a node. Nothing is sent to the driver but a count and a checksum per round.
+step gathers the neighbours of a node. Nothing is sent to the driver but a count and a checksum per round. The rounds
+end when a round changes nothing; their number grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -9,33 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
-def _rewire(links: DataFrame, least: DataFrame) -> DataFrame:
-    """Links from each row's neighbour to the least node around its own."""
-    return links.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _links(df: DataFrame) -> DataFrame:
+    """Distinct links from the greater node (u) to the lesser (v)."""
+    return df.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v: long); root is the least node of its component.
 
     Empty links give an empty result. Links from a node to itself and repeated links change nothing.
     """
-    now = staged(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(rounds):
-        both = staged(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    now, before = staged(_links(links), "links"), None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every greater neighbour moves to the least node of the closed neighbourhood
-        large = staged(
-            both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct(), "large"
-        )
+        large = staged(_links(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         # small star: a node and its lesser neighbours move to the least of them
-        down = staged(large.groupBy("u").agg(F.min("v").alias("m")), "down")
-        now = staged(_rewire(large, down).unionByName(down.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(down, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = staged(_links(moved.unionByName(down.select("u", F.col("m").alias("v")))), "links")
+        discard(now, large)
+        now = after
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first())
-        if mark[0] == mark[2] and mark == before:
+        if mark[0] == mark[2] and mark == before:  # every node has one link, and it stayed
             break
         before = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,17 +1,20 @@
 """Media columns: interleaved sequences of text and media.
 
 ``sequences`` parses HTML into an ordered array of structs (position, kind, text, digest, caption, alt): texts and
-media references stand in document order, and a figure's caption stays with its media. ``resolve`` joins the
-references with a media table by digest; position and caption come through the join unchanged.
+media references stand in document order, and a figure's caption stays with its media. ``resolve`` joins the media
+references, and these alone, with a media table by digest; position and caption come through the join unchanged.
+
 ``store_texts`` turns whole texts into such media: the UTF-8 bytes, padded with bytes 255 to a positive multiple of
-576, as an 8-bit grey PNG of rows of 576 samples, written to a media table, beside the page that refers to it.
+576, as an 8-bit grey PNG of rows of 576 samples, and its first 72 samples as a cover, one row. A medium's digest is
+the SHA-256 of its samples. ``article`` is the text's page: the first half of its lines as paragraphs, a figure with
+the cover, the other lines, and a figure with the whole.
 
-A media's bytes are written where they are made and read back where they lie: only digests, lengths and features are
+A medium's bytes are written where they are made and read back where they lie: only digests, lengths and features are
 shuffled, once for each distinct medium of a task.
 
-Defined results: null and empty texts are one padded row of 576 bytes. Rows that repeat a doc_id each stay. HTML that
-is null gives an empty sequence; broken HTML gives what can be parsed. References without media keep nulls. An empty
-table gives no row. Columns other than the named ones are ignored.
+Defined results: null and empty texts are one padded row of 576 bytes, and a page without paragraphs. Rows that repeat
+a doc_id each stay. HTML that is null gives an empty sequence; broken HTML gives what can be parsed. References without
+media keep nulls. An empty table gives no row. Columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +23,16 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, staged
+from .common import SPACE_CLASS, join_hot, new_path, small_batches, staged, written
 
-ROW, PAD = 576, 255
+ROW, PAD, COVER = 576, 255, 72
 #: A fixed value: the first eight bytes of every PNG.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "media:sha256:"
@@ -76,9 +78,8 @@ def png_samples(image: bytes) -> bytes:
 
 def feature(samples: bytes) -> str:
     """Rows, mean and deviation of the samples, and a 64-bit difference hash over 8 x 9 cells of their mean."""
-    x = np.frombuffer(samples, np.uint8).reshape(-1, ROW)
-    columns = x.mean(axis=0, dtype=np.float64).reshape(8, -1)  # eight strips of 72 columns, nine cells each
-    cells = columns.reshape(8, 9, -1).mean(axis=2)
+    x = np.frombuffer(samples, np.uint8).reshape(-1, min(ROW, len(samples)))
+    cells = x.mean(axis=0, dtype=np.float64).reshape(8, 9, -1).mean(axis=2)  # eight strips, nine cells each
     bits = (cells[:, 1:] > cells[:, :-1]).ravel()
     code = sum(1 << i for i in np.flatnonzero(bits).tolist())
     return f"rows={len(x)};mean={x.mean(dtype=np.float64):.4f};std={x.std(dtype=np.float64):.4f};dhash={code:016x}"
@@ -151,64 +152,113 @@ def parse(html: str | None) -> list[dict]:
 
 
 def sequences(pages: DataFrame, html: str = "html", column: str = "items") -> DataFrame:
-    """``pages`` without its html column, with the parsed sequence."""
-    small_batches(pages.sparkSession, 256)
+    """``pages`` without its html column, with the parsed sequence.
+
+    The plan runs Python when the caller runs it, so the bounds of its batches stay set in the session.
+    """
+    small_batches(pages.sparkSession)
     parsed = F.udf(parse, ITEM, useArrow=True)
     return pages.withColumn(column, parsed(F.col(html).cast("string"))).drop(html)
 
 
+def _unpacked(rows: DataFrame, keep: list[str], item: str, prefix: str = "") -> DataFrame:
+    fields = ("position", "kind", "text", "digest", "caption", "alt")
+    return rows.select(*keep, *[F.col(item)[f].alias(prefix + f) for f in fields])
+
+
 def resolve(seqs: DataFrame, media: DataFrame, keep: list[str], column: str = "items") -> DataFrame:
-    """A row per item with its media's columns (null for texts and missing media); ``media`` has unique ``digest``."""
-    items = seqs.select(*keep, F.explode(column).alias("item")).select(*keep, "item.position", "item.kind", "item.text", "item.digest", "item.caption", "item.alt")
-    return items.join(media, "digest", "left")
+    """A row per item with its media's columns (null for texts and missing media); ``media`` has unique ``digest``.
+
+    Texts and references without a digest are not part of the join.
+    """
+    items = _unpacked(seqs.select(*keep, F.explode(column).alias("item")), keep, "item")
+    joined = items.filter(F.col("digest").isNotNull()).join(media, "digest", "left")
+    return joined.unionByName(items.filter(F.col("digest").isNull()), allowMissingColumns=True)
+
+
+def resolve_one(rows: DataFrame, media: DataFrame, item: str, prefix: str) -> DataFrame:
+    """``rows`` with one reference (the struct ``item``) in place of its struct: position, caption and the media's columns.
+
+    ``media`` is written and has ``uses``, how often each digest is referred to; a medium of very many rows is copied to them.
+    """
+    named = media.withColumnsRenamed({c: prefix + c for c in media.columns})
+    keep = [c for c in rows.columns if c != item]
+    return join_hot(_unpacked(rows, keep, item, prefix).drop(f"{prefix}kind", f"{prefix}text", f"{prefix}alt"), named, f"{prefix}digest", f"{prefix}uses", "left")
 
 
 # --- whole texts as media -----------------------------------------------------------------------------------------
 def store_texts(docs: DataFrame, path: str) -> str:
-    """Write (doc_id, n_bytes, html, digest, media): each text's stored form and the page that refers to it."""
-    small_batches(docs.sparkSession, 256)
+    """Write (digest, media): the stored form of each text and of its cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, pages, digests, media = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                data = (text or "").encode("utf-8")
-                image = png(padded(data))
-                digest = hashlib.sha256(image).hexdigest()
-                sizes.append(len(data))
-                digests.append(digest)
-                media.append(image)
-                pages.append(f'<article><p>A text of {len(data)} bytes.</p><figure><img src="{SCHEME}{digest}" alt="{escape(str(len(data)))}"><figcaption>{len(data)} bytes, {len(padded(data)) // ROW} rows</figcaption></figure></article>')
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "html", "digest", "media"])
-
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary").write.option("compression", "zstd").parquet(path)
-    return path
+            digests, media = [], []
+            for text in batch.column(0).to_pylist():
+                whole = padded((text or "").encode("utf-8"))
+                for samples, width in ((whole, ROW), (whole[:COVER], COVER)):
+                    digests.append(hashlib.sha256(samples).hexdigest())
+                    media.append(png(samples, width))
+            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(media, pa.binary())], ["digest", "media"])
+
+    return written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest string, media binary"), path)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
-    """One row per distinct stored medium, decoded again: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, feature, ok."""
-    small_batches(spark, 256)
+    """One row per distinct stored medium, decoded again: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, ok, uses."""
+    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "ok"]
     kinds = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, ok boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in names]
             for digest, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 samples = png_samples(image)
-                own = hashlib.sha256(image).hexdigest()
-                row = (digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(image), own, feature(samples), own == digest)
+                own = hashlib.sha256(samples).hexdigest()
+                row = (digest, len(samples), own, zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), own == digest)
                 for c, v in zip(cols, row):
                     c.append(v)
             types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "ok"])
-
-    return spark.read.parquet(path).select("digest", "media").mapInArrow(run, kinds).dropDuplicates(["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    sums = spark.read.schema("digest string, media binary").parquet(path).mapInArrow(run, kinds)
+    return staged(sums.groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:-1]], F.bool_and("ok").alias("ok"), F.count("*").alias("uses")), "media-sums")
+
+
+def article(text: Column) -> tuple[Column, Column]:
+    """The page of a text (not null), and the digest of its whole payload."""
+    data = text.cast("binary")
+    size = F.octet_length(text)
+    whole = F.concat(data, F.unhex(F.repeat(F.lit("FF"), F.greatest(F.ceil(size / ROW) * ROW, F.lit(ROW)).cast("int") - size)))
+    digest, cover = F.sha2(whole, 256), F.sha2(F.substring(whole, 1, COVER), 256)
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.split(safe, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
+    half = F.floor(F.size(lines) / 2).cast("int")
+    paragraphs = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    figure = lambda d, caption: F.concat(F.lit(f'<figure><img src="{SCHEME}'), d, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    named = F.concat(size.cast("string"), F.lit(" bytes"))
+    html = F.concat(
+        F.lit("<article>"), paragraphs(F.slice(lines, 1, half)), figure(cover, F.concat(F.lit("The beginning of "), named)),
+        paragraphs(F.slice(lines, half + 1, F.size(lines))), figure(digest, F.concat(F.lit("All "), named)), F.lit("</article>"),
+    )
+    return html, digest
+
+
+def interleave_texts(docs: DataFrame) -> DataFrame:
+    """For every row of ``docs`` (doc_id, text): its stored media, their places in its sequence, and a digest of the sequence's texts."""
+    spark = docs.sparkSession
+    media = read_media(spark, store_texts(docs, new_path(spark, "media")))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    html, digest = article(F.col("text"))
+    items = sequences(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("whole_digest"), html.alias("html")))
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    pictures = F.filter("items", lambda x: x["kind"] == "media")
+    facts = items.select("doc_id", "n_bytes", "whole_digest", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"), pictures[0].alias("cover"), pictures[1].alias("whole"))
+    facts = staged(facts, "sequences")  # positions and captions, without the texts
+    both = resolve_one(resolve_one(facts, media, "cover", "cover_"), media, "whole", "")
+    ok = F.coalesce(F.col("ok") & F.col("cover_ok") & (F.col("payload_sha256") == F.col("whole_digest")), F.lit(False))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "cover_position", "cover_caption", "n_items", "text_sha256"]
+    return both.select(*columns, ok.alias("verified"))
 
 
 def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "media"))
-    pages = sequences(spark.read.parquet(path).select("doc_id", "n_bytes", "html"))
-    items = resolve(pages, staged(read_media(spark, path), "media-sums"), ["doc_id", "n_bytes"])
-    media = items.filter(F.col("kind") == "media")
-    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", F.coalesce("ok", F.lit(False)).alias("verified"))
+    return interleave_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .mixing import BUCKETS, SEED, SHARE
-from .quality_rules import FENCE, LEAST_GROUP, MEASURES, TOP_STEP
-from .secret_scan import ACCESS, ASSIGN, CANDIDATE, COPIED_OWNERS, HEX, LEAST_VALUE, LIVE_CHARACTERS
+from .quality_rules import EXTREME, GRID_BITS, MEASURES, MILD, PRIOR
+from .secret_scan import ACCESS, ASSIGN, CANDIDATE, COPIED_OWNERS, COPIED_REPOSITORIES, HEX, LEAST_VALUE, LIVE_CHARACTERS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -32,8 +32,8 @@ base AS ({_spans(0, ASSIGN, 2, LEAST_VALUE)} UNION ALL {_spans(1, ACCESS, 0, 18)
 live AS (SELECT * FROM ({_spans(3, CANDIDATE, 0, 20)}) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS}),
 cand AS (SELECT * FROM live c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c."end" AND c.start < b."end")),
 both_ AS (SELECT * FROM base UNION ALL SELECT * FROM cand),
-verdicts AS (SELECT v, CASE WHEN owners >= {COPIED_OWNERS} THEN 'copied' WHEN owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} THEN 'owned' END AS verdict
-  FROM (SELECT v, count(DISTINCT coalesce(owner, '\0null')) AS owners FROM both_ GROUP BY v)),
+verdicts AS (SELECT v, CASE WHEN owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} THEN 'copied' WHEN owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} THEN 'owned' END AS verdict
+  FROM (SELECT v, count(DISTINCT coalesce(owner, '\0null')) AS owners, count(DISTINCT (coalesce(owner, '\0null'), coalesce(repository, '\0null'))) AS repositories FROM both_ GROUP BY v)),
 all_ AS (SELECT b.*, verdict FROM both_ b JOIN verdicts USING (v) WHERE kind < 3 OR verdict = 'owned'),
 counted AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   {_LISTED} FILTER (kind < 3) AS base, {_LISTED} AS spans, count(*) FILTER (verdict = 'owned') AS n_owned, count(*) FILTER (verdict = 'copied') AS n_copied FROM all_ GROUP BY doc_id)
@@ -55,28 +55,38 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 
 
 # --- op8 --------------------------------------------------------------------------------------------------------------
+def _step(measure: str) -> str:
+    top, factor, below, _ = MEASURES[measure]
+    value = f"(({top} * {factor}) // {below})"
+    cut = f"greatest(length(bin({value})) - {GRID_BITS}, 0)"
+    return f"CASE WHEN {below} > 0 THEN (({value} >> {cut}) << {cut}) END"
+
+
 def _steps() -> str:
-    return " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, least(({top} * {factor}) // {below}, {TOP_STEP}) AS step FROM judged WHERE NOT base_failed AND {below} > 0" for m, (top, factor, below, _, _) in MEASURES.items())
+    return " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_step(m)} AS step FROM judged WHERE NOT base_failed AND {below} > 0" for m, (_, _, below, _) in MEASURES.items())
 
 
-def _quartiles(keys: str) -> str:
-    group = f"{keys}, measure" if keys else "measure"
-    return f"""SELECT {group}, max(total) AS total, min(step) FILTER (upto * 4 >= total) AS q1, min(step) FILTER (upto * 4 >= total * 3) AS q3 FROM
-      (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY step) AS upto, sum(n) OVER (PARTITION BY {group}) AS total FROM (SELECT {group}, step, count(*) AS n FROM steps GROUP BY {group}, step)) GROUP BY {group}"""
+def _drawn(keys: list[str], wider: str, of: list[str]) -> str:
+    own, on = ", ".join(keys), " AND ".join(f"o.{k} IS NOT DISTINCT FROM w.{k}" for k in [*of, "measure"])
+    names, same = ", ".join(f"g.{k}" for k in keys), " AND ".join(f"g.{k} IS NOT DISTINCT FROM c.{k}" for k in [*keys, "measure", "step"])
+    return f"""SELECT {own}, measure, step, (CAST(sum(n) OVER (PARTITION BY {own}, measure ORDER BY step) AS DOUBLE) + {PRIOR}::DOUBLE * wide) / (CAST(sum(n) OVER (PARTITION BY {own}, measure) AS DOUBLE) + {PRIOR}::DOUBLE) AS f FROM (
+      SELECT {names}, g.measure, g.step, g.wide, coalesce(c.n, 0) AS n FROM (SELECT {", ".join("o." + k for k in keys)}, o.measure, w.step, w.f AS wide FROM (SELECT DISTINCT {own}, measure FROM steps) o JOIN {wider} w ON {on}) g
+      LEFT JOIN (SELECT {own}, measure, step, count(*) AS n FROM steps GROUP BY {own}, measure, step) c ON {same})"""
 
 
-def _bad() -> str:
-    out = []
-    for m, (top, factor, below, margin, both) in MEASURES.items():
-        step = f"CASE WHEN {below} > 0 THEN least(({top} * {factor}) // {below}, {TOP_STEP}) END"
-        high = f"{step} > q3_{m} + {FENCE} * (q3_{m} - q1_{m}) + {margin}"
-        out.append(f"coalesce({high}, false)")
-        if both:
-            out.append(f"coalesce({step} < q1_{m} - ({FENCE} * (q3_{m} - q1_{m}) + {margin}), false)")
-    return " OR ".join(out)
+def _verdict() -> str:
+    one, two = [], []
+    for m, (_, _, _, both) in MEASURES.items():
+        step = _step(m)
+        high = f"{step} > extreme_{m}" + (f" OR {step} < low_extreme_{m}" if both else "")
+        more = f"({step} > mild_{m} AND mild_{m} > median_{m})" + (f" OR ({step} < low_mild_{m} AND low_mild_{m} < median_{m})" if both else "")
+        one.append(f"coalesce({high}, false)")
+        two.append(f"CAST(coalesce({more}, false) AS INT)")
+    return f"({' OR '.join(one)}) OR ({' + '.join(two)}) >= 2"
 
 
-_PIVOT = ", ".join(f"max(q1) FILTER (measure = '{m}') AS q1_{m}, max(q3) FILTER (measure = '{m}') AS q3_{m}" for m in MEASURES)
+_LEVELS = {"median": "0.5", "extreme": f"{EXTREME!r}", "mild": f"{MILD!r}", "low_extreme": f"{1 - EXTREME!r}", "low_mild": f"{1 - MILD!r}"}
+_PIVOT = ", ".join(f"min(step) FILTER (measure = '{m}' AND f >= CAST('{q}' AS DOUBLE)) AS {name}_{m}" for m in MEASURES for name, q in _LEVELS.items())
 
 OP8 = f"""
 WITH split AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
@@ -86,12 +96,12 @@ measured AS (SELECT s.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, C
   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM split s LEFT JOIN repeated r USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
 steps AS ({_steps()}),
-own AS ({_quartiles("lang, source")}), by_lang AS ({_quartiles("lang")}), overall AS ({_quartiles("")}),
-picked AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= {LEAST_GROUP} THEN o.q1 WHEN l.total >= {LEAST_GROUP} THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.total >= {LEAST_GROUP} THEN o.q3 WHEN l.total >= {LEAST_GROUP} THEN l.q3 ELSE a.q3 END AS q3
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN overall a ON a.measure = o.measure),
-fences AS (SELECT lang, source, {_PIVOT} FROM picked GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_bad()}) AS kept
-FROM judged j LEFT JOIN fences f ON j.lang IS NOT DISTINCT FROM f.lang AND j.source IS NOT DISTINCT FROM f.source
+overall AS (SELECT measure, step, CAST(sum(n) OVER (PARTITION BY measure ORDER BY step) AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY measure) AS DOUBLE) AS f FROM (SELECT measure, step, count(*) AS n FROM steps GROUP BY measure, step)),
+languages AS ({_drawn(["lang"], "overall", [])}),
+found AS ({_drawn(["lang", "source"], "languages", ["lang"])}),
+thresholds AS (SELECT lang, source, {_PIVOT} FROM found GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_verdict()}) AS kept
+FROM judged j LEFT JOIN thresholds f ON j.lang IS NOT DISTINCT FROM f.lang AND j.source IS NOT DISTINCT FROM f.source
 """
 
 # --- op9 --------------------------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_offsets, small_batches, staged
+from .common import range_offsets, staged
 from .token_ids import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -32,25 +32,28 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
 
     ``keep_ids`` adds the ids (array of int), for building the sequences with :func:`sequences`.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
+            cols: list[list] = [[] for _ in kinds]
+            whole = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                 ids = np.concatenate([ids.astype("<u4"), end])
                 start, stop, k = 0, len(ids) % capacity or capacity, 0
                 while start < len(ids):
                     part = ids[start:stop]
-                    for c, v in zip(cols, (doc_id, k, start, len(part), zlib.crc32(part.tobytes()), part.tolist() if keep_ids else None)):
+                    for c, v in zip(cols, (doc_id, k, start, len(part), zlib.crc32(part))):
                         c.append(v)
                     start, stop, k = stop, stop + capacity, k + 1
+                whole.append(ids)
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + keep_ids], names[: 5 + keep_ids])
+            if keep_ids:  # pieces stand in the order of their document's ids
+                ends = np.concatenate([[0], np.cumsum(cols[3])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *whole]).view(np.int32))))
+            yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return whole.mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
@@ -129,9 +132,10 @@ def sequences(packed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    packed = pack(encode_pieces(docs, vocabulary, end_id, capacity), capacity)
-    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
+    """A row per piece with its sequence and place, and with ``keep_ids`` its ids."""
+    packed = pack(encode_pieces(docs, vocabulary, end_id, capacity, keep_ids), capacity)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
 
 
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ shape words (each word's pattern of cases and symbols, hashed apart), structure
 digits, repeated words, neighbours, lines) in ``BINS`` steps each, and the text's length as metadata.
 
 The model is fitted on a bounded sample of labelled rows: the ``SAMPLE`` rows with the least hash of their doc_id among
-those labelled and not held out. Scoring is one pass over all rows and never shuffles a text.
+those labelled and not held out, in that order until they have ``SAMPLE_FEATURES`` features together (the first one
+always counts). One task fits it; the driver sees the finished model alone, whose size is fixed. Scoring is one pass
+over all rows and never shuffles a text.
 
 Defined results: null and empty texts get the score of a text without words. Labels that are null, or whose document is
 missing, are ignored; without any label of either kind the score is the mean label (0.5 with none). Rows that repeat a
@@ -24,11 +26,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import discard, small_batches, staged
 
+#: Features of the fitting sample at most (48 MB).
+SAMPLE_FEATURES = 4_000_000
 #: Rows of the fitting sample at most, hashed word features, steps per statistic, rank, passes, rows per step.
 SAMPLE, BUCKETS, BINS, RANK, PASSES, BATCH = 12_000, 1 << 15, 8, 6, 8, 64
 SYMBOLS = frozenset("#*$%&|<>{}[]\\^~_=+@")
@@ -148,9 +152,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows that are not held out, chosen by the hash of their doc_id."""
-    small_batches(docs.sparkSession, 256)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most ``sample`` labelled rows that are not held out, chosen by the hash of their doc_id, with ``most`` features in all."""
     key = F.col("doc_id").cast("long")
     known = labels.select(key.alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -161,18 +164,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         of = Features().of
         for batch in batches:
             found = [of(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "at": [i.astype("<i4").tobytes() for i, _ in found], "value": [v.astype("<f4").tobytes() for _, v in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "n": [len(i) for i, _ in found], "at": [i.astype("<i4").tobytes() for i, _ in found], "value": [v.astype("<f8").tobytes() for _, v in found]})
 
     texts = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id long, quality int, at binary, value binary")  # bounded by ``sample``
-    rows = staged(rows, "features").orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit(sample)
-    return fit([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64), r["quality"]) for r in rows.collect()])
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id long, quality int, n long, at binary, value binary")  # bounded by ``sample``
+    rows = staged(rows, "features")
+    # rows that repeat a doc_id may be more than the sample; from here on there are at most ``sample``
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("at")]
+    first = rows.select("doc_id", "n", "at").orderBy(*order).limit(sample)
+    place = Window.orderBy(*order)
+    first = first.withColumn("place", F.row_number().over(place)).withColumn("upto", F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    last = first.filter((F.col("upto") <= most) | (F.col("place") == 1)).count()
+    bounded = rows.orderBy(*order).limit(last).coalesce(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f8"), q) for b in batches for a, v, q in zip(b["at"], b["value"], b["quality"])]
+        model = fit(found)
+        yield pd.DataFrame({"bias": [model.bias], "linear": [model.linear.astype("<f4").tobytes()], "factors": [model.factors.astype("<f4").tobytes()]})
+
+    fitted = staged(bounded.select("at", "value", "quality").mapInPandas(run, "bias double, linear binary, factors binary"), "model")
+    got = fitted.first()
+    discard(chosen, rows, fitted)
+    if got is None:
+        return Model()
+    return Model(got["bias"], np.frombuffer(got["linear"], "<f4"), np.frombuffer(got["factors"], "<f4").reshape(DIMENSIONS, RANK))
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the model's score of ``text`` in ``column`` (which must be a new name)."""
+    """``docs`` with the model's score of ``text`` in ``column`` (which must be a new name).
+
+    The plan runs Python when the caller runs it, so the bounds of its batches stay set in the session.
+    """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # of a fixed size: DIMENSIONS * (RANK + 1) numbers
 
     @F.pandas_udf("double")

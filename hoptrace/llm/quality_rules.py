@@ -1,13 +1,23 @@
 """Quality rules with adaptive thresholds. DataFrame functions alone.
 
-Measures of every whole text are summed into mergeable quantile sketches per language and source: counts on a fixed
-grid of integer steps, so that sketches add up in any order to the same result and a quantile is off by one step at
-most. Each group's thresholds are fences around its quartiles (``FENCE`` interquartile ranges and a margin away), in
-place of cutoffs for all. Sketches of groups under ``LEAST_GROUP`` texts are merged by language, and those of a
-language under it over all. Thresholds are joined to the texts' measures; the texts themselves are never shuffled.
+Measures of every whole text are summed into mergeable quantile sketches per language and source: counts on a grid of
+integer steps that keeps a value's first ``GRID_BITS`` binary digits, without a top. So sketches add up in any order
+to the same result, and a quantile is off by a 32nd of its value at most.
+
+Every threshold is a quantile of the text's own group; no measure has a cutoff of its own. A group's distribution is
+drawn towards its language's by ``PRIOR`` texts' weight, and a language's so towards that of all, which steadies small
+groups: F = (own count + PRIOR * F of the wider group) / (own total + PRIOR). A text is rejected if
+
+* one of its measures is beyond its group's 0.99 quantile, or
+* two or more are beyond their 0.95 quantiles. Such a quantile that is no higher than the group's median, as for
+  measures that are zero as a rule, marks no tail and is not used.
+
+The mean word length counts as beyond on its low side as well (0.01 and 0.05). Thresholds are joined to the texts'
+measures; the texts themselves are never shuffled.
 
 Defined results: null and empty texts have no words and fail the base rules. Null languages and sources are groups of
-their own. Rows that repeat a doc_id are judged each. An empty table gives no row. Other columns are ignored.
+their own. A text that equals a threshold is kept, so one that is alone in the corpus is. Rows that repeat a doc_id are
+judged each. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +28,14 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, staged, words_of
 
 WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-LEAST_GROUP, FENCE, TOP_STEP = 30, 3, 4000
-#: Measure: (numerator, factor, denominator, margin in steps, whether low values are rejected as well).
+#: Weight of the wider group in texts; quantiles for one measure alone and for two or more; digits of the grid.
+PRIOR, EXTREME, MILD, GRID_BITS = 100, 0.99, 0.95, 6
+#: Measure: (numerator, factor, denominator, whether low values are beyond as well).
 MEASURES = {
-    "symbols": ("n_symbols", 1000, "word_chars", 60, False),
-    "word_length": ("word_chars", 10, "n_words", 40, True),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 600, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 280, False),
+    "symbols": ("n_symbols", 1000, "word_chars", False),
+    "word_length": ("word_chars", 10, "n_words", True),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", False),
+    "repeats": ("n_repeat_words", 1000, "n_words", False),
 }
 
 
@@ -62,10 +73,16 @@ def measures(docs: DataFrame) -> DataFrame:
     return runs.withColumn("base_failed", failed)
 
 
+def grid_step(value: Column) -> Column:
+    """The least number with the same first ``GRID_BITS`` binary digits and the same length."""
+    cut = F.greatest(F.length(F.bin(value)) - GRID_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, cut), cut)
+
+
 def step_of(measure: str) -> Column:
     """The grid step of a text's measure; null without a denominator."""
-    top, factor, below, _, _ = MEASURES[measure]
-    return F.least(F.expr(f"CASE WHEN {below} > 0 THEN ({top} * {factor}) DIV {below} END"), F.lit(TOP_STEP)).cast("int")
+    top, factor, below, _ = MEASURES[measure]
+    return grid_step(F.expr(f"CASE WHEN {below} > 0 THEN ({top} * {factor}) DIV {below} END"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -75,44 +92,63 @@ def sketches(rows: DataFrame) -> DataFrame:
     return found.filter(F.col("step").isNotNull()).groupBy("lang", "source", "measure", "step").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, total, q1, q3) of merged sketches."""
-    merged = sketch.groupBy(*keys, "measure", "step").agg(F.sum("n").alias("n"))
+def _same(keys: list[str]) -> Column:
+    """Whether the sides ``a`` and ``b`` of a join agree in ``keys``, nulls included."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return out
+
+
+def _drawn(sketch: DataFrame, wider: DataFrame, keys: list[str], of: list[str], prior: float) -> DataFrame:
+    """(keys, measure, step, f): each group's distribution, drawn towards that of its wider group (``of``, measure, step, f)."""
+    own = sketch.groupBy(*keys, "measure", "step").agg(F.sum("n").alias("n"))
     group = [*keys, "measure"]
-    run = Window.partitionBy(*group).orderBy("step")
-    placed = merged.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("step")))
-    return placed.groupBy(*group).agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-
-
-def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP, fence: int = FENCE) -> DataFrame:
-    """A row per (lang, source) with columns low_<measure> and high_<measure>."""
-    own = quartiles(sketch, ["lang", "source"])
-    by_lang = quartiles(sketch, ["lang"]).select("lang", "measure", *[F.col(c).alias(f"l_{c}") for c in ("total", "q1", "q3")])
-    overall = quartiles(sketch, []).select("measure", *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3")])
-    rows = own.join(by_lang.withColumnRenamed("lang", "_lang").withColumnRenamed("measure", "_measure"), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure"))).join(overall, "measure")
-    pick = lambda c: F.when(F.col("total") >= least_group, F.col(c)).when(F.col("l_total") >= least_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    rows = rows.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    out = []
-    for m, (_, _, _, margin, both) in MEASURES.items():
-        far = fence * (F.col("q3") - F.col("q1")) + margin
-        out.append(F.max(F.when(F.col("measure") == m, F.col("q3") + far)).alias(f"high_{m}"))
+    groups = own.select(*group).distinct()
+    grid = groups.alias("a").join(wider.alias("b"), _same([*of, "measure"])).select(*[F.col(f"a.{k}") for k in group], "b.step", F.col("b.f").alias("wide"))
+    both = grid.alias("a").join(own.alias("b"), _same([*group, "step"]), "left").select(*[F.col(f"a.{c}") for c in (*group, "step", "wide")], F.coalesce("b.n", F.lit(0)).alias("n"))
+    own_group = Window.partitionBy(*group)
+    upto = F.sum("n").over(own_group.orderBy("step")).cast("double")
+    total = F.sum("n").over(own_group).cast("double")
+    return both.withColumn("f", (upto + F.lit(float(prior)) * F.col("wide")) / (total + F.lit(float(prior)))).select(*group, "step", "f")
+
+
+def distributions(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(lang, source, measure, step, f): f is the share of texts up to a step. At most some 700 steps a measure."""
+    every = sketch.groupBy("measure", "step").agg(F.sum("n").alias("n"))
+    measure = Window.partitionBy("measure")
+    overall = every.select("measure", "step", (F.sum("n").over(measure.orderBy("step")).cast("double") / F.sum("n").over(measure).cast("double")).alias("f"))
+    by_lang = staged(_drawn(sketch, overall, ["lang"], [], prior), "languages")
+    return _drawn(sketch, by_lang, ["lang", "source"], ["lang"], prior)
+
+
+def thresholds(sketch: DataFrame, prior: float = PRIOR, extreme: float = EXTREME, mild: float = MILD) -> DataFrame:
+    """A row per (lang, source) with a struct per measure: median, extreme, mild, low_extreme, low_mild (grid steps)."""
+    levels = {"median": 0.5, "extreme": extreme, "mild": mild, "low_extreme": 1 - extreme, "low_mild": 1 - mild}
+    at = [F.min(F.when(F.col("f") >= q, F.col("step"))).alias(name) for name, q in levels.items()]
+    found = distributions(sketch, prior).groupBy("lang", "source", "measure").agg(*at)
+    return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.struct(*levels))).alias(f"at_{m}") for m in MEASURES])
+
+
+def rejected() -> Column:
+    """The method's verdict, from the measures and their group's thresholds."""
+    one, two = F.lit(False), F.lit(0)
+    for m, (_, _, _, both) in MEASURES.items():
+        step, at = step_of(m), F.col(f"at_{m}")
+        extreme, mild = step > at["extreme"], (step > at["mild"]) & (at["mild"] > at["median"])
         if both:
-            out.append(F.max(F.when(F.col("measure") == m, F.col("q1") - far)).alias(f"low_{m}"))
-    return rows.groupBy("lang", "source").agg(*out)
+            extreme, mild = extreme | (step < at["low_extreme"]), mild | ((step < at["low_mild"]) & (at["low_mild"] < at["median"]))
+        one = one | F.coalesce(extreme, F.lit(False))
+        two = two + F.coalesce(mild, F.lit(False)).cast("int")
+    return one | (two >= 2)
 
 
 def apply_rules(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, the measures, base_failed and kept for every row of ``docs`` (doc_id, text, lang, source)."""
     rows = staged(measures(docs), "measures")
-    fences = staged(thresholds(sketches(rows), **kw), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = rows.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    bad = F.lit(False)
-    for m, (_, _, _, _, both) in MEASURES.items():
-        bad = bad | F.coalesce(step_of(m) > F.col(f"high_{m}"), F.lit(False))
-        if both:
-            bad = bad | F.coalesce(step_of(m) < F.col(f"low_{m}"), F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
+    found = staged(thresholds(staged(sketches(rows), "sketches"), **kw), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected()).alias("kept"))
 
 
 def op8_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Every whole text is searched for assignments, access keys and hexadecimal runs (the base spans), and for candidates:
 long mixed tokens that look like credentials. The hashes of all found values are counted over the corpus by distinct
-repositories and owners. A value that many owners have is a copied example; one that a single owner has and that looks
-live (digits and letters mixed, many different characters) is that owner's credential. The method adds the owned
-candidates' spans to the base ones, which stay, and marks copied values.
+repositories and owners. A value that many owners have, or that stands in many repositories even of few owners, is a
+copied example; one that a single owner has in few repositories and that looks live (digits and letters mixed, many
+different characters) is that owner's credential. The method adds the owned candidates' spans to the base ones, which
+stay, and marks copied values.
 
 ``documents`` has no owner column: its ``source`` is the owner, and an owner's texts of one ``lang`` a repository.
 Offsets are code points, ends exclusive. Values leave the text's row only as hashes.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_by_size, join_hot, staged
 
 # The base patterns, with the letters of names in either case.
 NAMES = ("password", "passwd", "secret", "token", "api_?key")
@@ -34,8 +35,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters and more
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Owners from which on a value is a copied example; different characters that a live-looking value has at least.
-COPIED_OWNERS, LIVE_CHARACTERS = 3, 10
+#: Owners, and repositories, from which on a value is a copied example; different characters that a live-looking value has at least.
+COPIED_OWNERS, COPIED_REPOSITORIES, LIVE_CHARACTERS = 3, 4, 10
+#: Matches wherever one of the patterns does: an assigned value of ``LEAST_VALUE`` characters, or a run as long as the shortest of the others.
+ANY_SPAN = rf"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{{{LEAST_VALUE}}}|[A-Za-z0-9+/_=-]{{16}}"""
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string,live:boolean>>"
 
@@ -84,15 +87,21 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.max("live").alias("live"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("found").alias("found"))
 
 
-def judged(scanned: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """``scanned`` with ``owned`` and ``copied``, the hashes of its values of either kind, and ``spans``, all spans in order."""
-    counts = staged(ownership(scanned), "ownership")
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when((F.col("owners") == 1) & F.col("live"), "owned")
-    values = scanned.select("doc_id", F.explode(F.array_distinct(F.transform(F.concat("base", "candidates"), lambda s: s["hash"]))).alias("hash")).distinct()
-    marked = values.join(counts.select("hash", verdict.alias("verdict")).filter(F.col("verdict").isNotNull()), "hash")
+def judged(scanned: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """``scanned`` with ``owned`` and ``copied``, the hashes of its values of either kind, and ``spans``, all spans in order.
+
+    Values meet their verdict in a shuffle by hash, but for the few most frequent ones, whose verdicts go to all tasks.
+    Rows without values take no part.
+    """
+    verdict = F.when((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories), "copied").when((F.col("owners") == 1) & F.col("live"), "owned")
+    counts = staged(ownership(scanned).select("hash", "found", verdict.alias("verdict")).filter(F.col("verdict").isNotNull()), "ownership")
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("text_hash").alias("k2")]
+    hashes = F.array_distinct(F.transform(F.concat("base", "candidates"), lambda s: s["hash"]))
+    values = scanned.select(*keys, F.explode(hashes).alias("hash")).distinct()
+    marked = join_hot(values, counts, "hash", "found")
     of = lambda v: F.collect_set(F.when(F.col("verdict") == v, F.col("hash")))  # noqa: E731  a row's own values
-    by_doc = marked.groupBy(F.col("doc_id").alias("_doc")).agg(of("owned").alias("owned"), of("copied").alias("copied"))
-    rows = scanned.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    by_row = marked.groupBy("k0", "k1", "k2").agg(of("owned").alias("owned"), of("copied").alias("copied"))
+    rows = scanned.withColumns({"k0": keys[0], "k1": keys[1], "k2": keys[2]}).join(by_row, ["k0", "k1", "k2"], "left").drop("k0", "k1", "k2")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({"owned": F.coalesce("owned", none), "copied": F.coalesce("copied", none)})
     added = F.filter("candidates", lambda c: F.array_contains("owned", c["hash"]))
@@ -108,14 +117,20 @@ def listed(array: str | Column) -> Column:
 def masked(docs: DataFrame, cover: str = "*") -> DataFrame:
     """``docs`` with every character of a found span covered, so that places and lengths stay. Its columns are unchanged.
 
-    Spans of copied examples that the base rules alone have found are covered too: a base span stays a finding.
+    Spans of copied examples that the base rules alone have found are covered too: a base span stays a finding. Rows
+    without anything like a value have no span and stay where they are; of the others the spans are
+    joined by doc_id and text hash. Null texts stay null, and rows that repeat each other are covered alike.
     """
-    rows = judged(scan(docs)).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_hash"])
+    rows = judged(scan(docs)).filter(F.size("spans") > 0).select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("text_hash").alias("k2"), "spans").dropDuplicates(["k0", "k1", "k2"])
+    rows = staged(rows, "found")
     own = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
-    keyed = own.join(rows, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_hash")), "left")
-    text = F.aggregate("_spans", F.col("_text"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(cover), (s["end"] - s["start"]).cast("int")), F.substr(t, s["end"].cast("int") + 1)))
-    covered = F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("_text")).alias("text")
-    return keyed.select(*[covered if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    may = F.coalesce(F.col("_text").rlike(ANY_SPAN), F.lit(False))
+    same = (F.coalesce("_id", F.lit(0)) == F.col("k0")) & (F.col("_id").isNull() == F.col("k1")) & (F.xxhash64("_text") == F.col("k2"))
+    keyed = join_by_size(own.filter(may), rows, same, "left")
+    text = F.aggregate("spans", F.col("_text"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(cover), (s["end"] - s["start"]).cast("int")), F.substr(t, s["end"].cast("int") + 1)))
+    covered = F.when(F.col("spans").isNotNull(), text).otherwise(F.col("_text")).alias("text")
+    columns = lambda value: [value if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    return keyed.select(*columns(covered)).unionByName(own.filter(~may).select(*columns(F.col("_text").alias("text"))))
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Exact token ids of whole texts, with a bounded cache of the ids of their pre-tokens.
+"""Exact token ids of whole texts: those of the ``tokenizers`` library's own ``encode``, with a bounded cache.
 
-A byte-pair tokenizer first cuts a text into pre-tokens by a published pattern, and merges never cross a cut. So the
-whole text is cut by that pattern, the model of the ``tokenizers`` library gives each distinct pre-token's ids, and
-the ids are joined. Words between blanks, which are always cuts, are looked up first. Tests compare the ids with those of the library's own ``encode`` on whole texts.
-A tokenizer file of another kind is handled by the library's ``encode_batch``.
+A byte-pair tokenizer first cuts a text into pre-tokens by a published pattern, and merges never cross a cut. So a text
+of well-known characters is cut by that pattern here, the model of the library gives each distinct pre-token's ids, and
+the ids are joined. Words between blanks, which are always cuts, are looked up first.
+
+Every other text goes to the library's ``encode`` as a whole: one with a character outside ``KNOWN`` (Unicode tables
+differ between libraries, and combining marks change their neighbours), or with the content of an added token, such as
+an end-of-text mark, in any case of letters. Tests compare the ids over every code point and over the added tokens. A
+tokenizer file of another kind is handled by the library alone.
 """
 
 from __future__ import annotations
@@ -11,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -63,9 +66,11 @@ class _Pieces(dict):
         return ids
 
 
+#: Characters that both cut alike, whatever stands beside them: ASCII without most controls, Latin and Cyrillic letters,
+#: usual marks, kana, ideographs and Hangul syllables; all are in composed form already.
+KNOWN = r"\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 #: Blanks that are not known to be cuts where a blank goes with the word behind it.
-RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\0")
-_OTHER_BLANK = re.compile(r"[^\S \n]").search
+RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 
 
 class TextEncoder:
@@ -76,7 +81,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
@@ -92,23 +96,21 @@ class TextEncoder:
             elif len(parts) == 2 and self.lower and parts[0].get("pattern", {}).get("Regex") == WITHOUT_SPACE:
                 self.cut = (re.compile(WITHOUT_SPACE_ASCII, re.ASCII).findall, regex.compile(WITHOUT_SPACE).findall)
         self.pieces = _Pieces(self.tokenizer.model, self.dtype, size, self.cut)
+        self.unknown = re.compile(f"[^{KNOWN}]").search
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _bytes(self, text: str) -> bytes:
         """Ids of a whole text, cut at blanks first: a blank is dropped, or a lone one goes with the word behind it."""
+        low = text.lower()
+        if self.cut is None or self.unknown(text) or any(mark in low for mark in self.added):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         if self.lower:
-            if text.isascii():
-                text = text.lower()
-            else:
-                text = unicodedata.normalize("NFC", text)
-                text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # a final sigma depends on its place
-            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
-        if any(x in text for x in RUNS) or (not text.isascii() and _OTHER_BLANK(text)):
+            return b"".join(map(self.pieces.__getitem__, low.replace("\n", " ").split(" ")))
+        if any(x in text for x in RUNS):
             return b"".join(map(self.pieces.__getitem__, self.cut[not text.isascii()](text)))
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if self.cut is None:
-            return [np.asarray(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         return [np.frombuffer(self._bytes(t) if t else b"", dtype=self.dtype) for t in texts]
 
 

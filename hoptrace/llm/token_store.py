@@ -2,18 +2,20 @@
 
 ``write_store`` encodes whole texts, cuts each id stream where a rolling hash over its last ids says so, and writes
 
-* ``chunks``: every distinct chunk once, under the SHA-256 of its bytes;
+* ``chunks``: every distinct chunk once, under the SHA-256 of its bytes, with the number of its uses;
 * ``recipes``: per document, in ascending doc_id order (parts by number, rows inside a part), the digests of its chunks in order, its ids' count, the number
-  of ids of all documents before it, and the Merkle root over its chunk digests;
-* ``manifest``: per file range of recipes, the Merkle root over its documents' roots, its documents and ids.
+  of ids of all documents before it, its rank, and the Merkle root over its chunk digests;
+* ``manifest``: a Merkle tree over all documents' roots by rank, ``FANOUT`` nodes to a parent, with documents and ids under each node.
 
 A cut depends on the ids around it alone, so a passage that many documents share gives the same chunks in each.
-``read_store`` reads the files back, recomputes every chunk's digest from its bytes and every document's Merkle root
-from its recipe, and gives each document's checksum; ``read_documents`` gives the ids themselves.
+``read_store`` joins recipes with chunks, puts every document's ids together again, hashes each chunk and takes the
+checksum of the whole; the Merkle roots are made again from what was read and held against the manifest's.
 
 Defined results: null and empty texts hold the end id alone. Rows are documents: rows that repeat a doc_id each count,
 in a fixed order among themselves (by text digest). A null doc_id comes last. An empty table gives an empty store.
-Columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
+Columns other than ``doc_id`` and ``text`` are ignored, whatever their names. A changed or missing chunk, and a changed
+recipe, make their documents' ``verified`` false; a missing recipe makes it false for all documents under its node of
+the manifest, and reading fails if all of a node's recipes are missing.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, range_offsets, ranked_partitions, small_batches, staged
+from .common import discard, join_hot, new_path, range_offsets, ranked_partitions, staged, written
 from .token_ids import encoder
 
+#: Children of a node of the manifest at most.
+FANOUT = 1024
 #: Ids that a cut decision looks at (a power of two), bits of its hash that must be zero (an average chunk is 2**CUT_BITS ids), bounds.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 
@@ -70,49 +74,12 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-# --- CRC-32 of a whole from those of its parts ------------------------------------------------------------------
-def _shift_tables() -> np.ndarray:
-    """[k][byte place][byte]: the CRC after 2**k zero bytes, as an operator on the CRC's bits, in lookup form."""
-    crc = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        crc = np.where(crc & 1, (crc >> 1) ^ np.uint32(0xEDB88320), crc >> 1)
-    tables = np.zeros((40, 4, 256), np.uint32)
-    for place in range(4):
-        v = np.arange(256, dtype=np.uint32) << np.uint32(8 * place)
-        tables[0, place] = crc[v & 0xFF] ^ (v >> 8)
-    for k in range(1, 40):
-        for place in range(4):
-            tables[k, place] = _apply(tables[k - 1], tables[k - 1, place])
-    return tables
-
-
-def _apply(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return t[0][v & 0xFF] ^ t[1][(v >> 8) & 0xFF] ^ t[2][(v >> 16) & 0xFF] ^ t[3][v >> 24]
-
-
-_TABLES: list[np.ndarray] = []
-
-
-def crc_shifted(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    """Each CRC-32 moved before ``zeros`` further bytes; the XOR of all parts' moved CRCs is the CRC of the whole."""
-    if not _TABLES:
-        _TABLES.append(_shift_tables())
-    out = crc.astype(np.uint32)
-    for k in range(40):
-        bit = (zeros >> k) & 1
-        if bit.any():
-            out = np.where(bit == 1, _apply(_TABLES[0][k], out), out)
-    return out
-
-
 # --- writing ------------------------------------------------------------------------------------------------------
 _ENCODED = "doc_id long, n_tokens long, root binary, text_digest binary, chunks array<struct<digest:binary,n:int,data:binary>>"
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """One row per document with its chunks; the bytes are ids as little-endian unsigned integers of ``item_bytes``."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.array([end_id], dtype=enc.dtype)
@@ -140,108 +107,117 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
 
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> str:
     """Write chunks, recipes and manifest below ``path``; gives ``path``."""
-    encoded = staged(encode_documents(docs, vocabulary, end_id), "ids")
-    (
-        encoded.select(F.explode("chunks").alias("c"))
-        .select("c.digest", "c.n", "c.data")
-        .dropDuplicates(["digest"])
-        .write.option("compression", "zstd").parquet(f"{path}/chunks")
-    )
-    recipes = ranked_partitions(
-        encoded.select("doc_id", "n_tokens", "root", "text_digest", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("sizes")), ["doc_id", "text_digest"], "recipes"
-    )
-    order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_last(), "text_digest").rowsBetween(Window.unboundedPreceding, -1)
-    (
-        recipes.join(range_offsets(recipes, F.col("n_tokens")), "_range")
-        .withColumn("start", (F.col("_before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long"))
-        .select(F.col("_range").alias("part"), "doc_id", "text_digest", "start", "n_tokens", "root", "digests", "sizes")
-        .write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
-    )
     spark = docs.sparkSession
-    _roots(_recipes(spark, path)).write.parquet(f"{path}/manifest")
-    return path
+    encoded = staged(encode_documents(docs, vocabulary, end_id), "ids")
+    chunks = encoded.select(F.explode("chunks").alias("c")).select("c.digest", "c.n", "c.data")
+    written(chunks.groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("uses")), f"{path}/chunks")
+    short = encoded.select("doc_id", "n_tokens", "root", "text_digest", F.col("chunks.digest").alias("digests"))
+    recipes = ranked_partitions(short, ["doc_id", "text_digest"], "recipes")
+    discard(encoded)
+    order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_last(), "text_digest")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = range_offsets(recipes, F.lit(1)).withColumnRenamed("_before", "_rows")
+    placed = (
+        recipes.join(range_offsets(recipes, F.col("n_tokens")), "_range").join(rows, "_range")
+        .withColumn("start", (F.col("_before") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).cast("long"))
+        .withColumn("rank", (F.col("_rows") + F.row_number().over(order) - 1).cast("long"))
+        .select(F.col("_range").alias("part"), "doc_id", "text_digest", "start", "rank", "n_tokens", "root", "digests")
+    )
+    written(placed, f"{path}/recipes", "part")
+    discard(recipes)
+    nodes = _recipes(spark, path).select("rank", F.col("n_tokens").alias("ids"), F.lit(1).cast("long").alias("documents"), "root")
+    level = 0
+    while True:  # a level has a FANOUT-th of the rows of the one below
+        level += 1
+        written(_parents(nodes), f"{path}/manifest/level={level}")
+        nodes = _manifest(spark, path).filter(F.col("level") == level).drop("level")
+        if nodes.count() <= 1:
+            return path
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    kinds = "doc_id long, text_digest binary, start long, n_tokens long, root binary, digests array<binary>, sizes array<int>, part int"
+    kinds = "doc_id long, text_digest binary, start long, rank long, n_tokens long, root binary, digests array<binary>, part int"
     return spark.read.schema(kinds).parquet(f"{path}/recipes")
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    """Per range of recipes the Merkle root over its documents' roots, in order; one short row a document comes together."""
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("rank long, documents long, ids long, root binary, level int").parquet(f"{path}/manifest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [{"part": r["part"], "documents": len(r["roots"]), "ids": r["ids"], "root": merkle_root([x["root"] for x in r["roots"]])} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())]))
 
-    by = recipes.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    return by.select(F.col("part").cast("int").alias("part"), "ids", "roots").mapInArrow(run, "part int, documents long, ids long, root binary")
-
-
-# --- reading ------------------------------------------------------------------------------------------------------
-def verified_chunks(chunks: DataFrame) -> DataFrame:
-    """(digest, n, crc, ok): each chunk's bytes are read, hashed again, and their CRC-32 taken over 4-byte ids."""
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The next level of the tree: (rank, documents, ids, root) over at most ``FANOUT`` nodes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for digest, n, data in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                ids = np.frombuffer(data, dtype=f"<u{len(data) // n}")
-                out.append((digest, n, zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(data).digest() == digest))
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], ["digest", "n", "crc", "ok"])
+            roots = [merkle_root([x["root"] for x in r]) for r in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], ["rank", "documents", "ids", "root"])
 
-    return chunks.select("digest", "n", "data").mapInArrow(run, "digest binary, n int, crc long, ok boolean")
+    by = nodes.groupBy(F.expr(f"rank DIV {FANOUT}").alias("rank")).agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("rank", "root"))).alias("roots"))
+    return by.mapInArrow(run, "rank long, documents long, ids long, root binary")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ``verified`` of each document, all from the files.
+# --- reading ------------------------------------------------------------------------------------------------------
+def _rebuilt(spark: SparkSession, path: str, keep_ids: bool) -> DataFrame:
+    """Every document put together from its recipe and chunks: doc_id, start, rank, n_tokens, root (made again), ids_crc32, good, and its ids.
 
-    A document's checksum is put together from those of its chunks, each read once, so hot chunks are not sent to
-    their many documents. ``verified``: all its chunks' digests hold, and so does the Merkle root of its recipe.
+    Chunks stream by in a document's order, so no document's chunks are gathered in one row.
     """
-    recipes = _recipes(spark, path)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, sizes = batch.column(4), batch.column(5).flatten().to_numpy()
-            counts = np.diff(digests.offsets.to_numpy())
-            of = np.repeat(np.arange(len(counts)), counts)
-            upto = np.cumsum(sizes, dtype=np.int64)
-            whole = np.concatenate([[0], upto])[np.cumsum(counts)]  # ids up to the end of each document
-            sums = np.diff(whole, prepend=0).tolist()
-            rooted = [merkle_root(d) == r and n == m for d, r, n, m in zip(digests.to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), sums)]
-            at = pa.array(of)
-            columns = [batch.column(i).take(at) for i in range(3)] + [digests.flatten(), pa.array(whole[of] - upto), pa.array(rooted, pa.bool_()).take(at)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "digest", "after", "rooted"])
-
-    parts = recipes.select("doc_id", "start", "n_tokens", "root", "digests", "sizes").mapInArrow(places, "doc_id long, start long, n_tokens long, digest binary, after long, rooted boolean")
-    found = parts.join(staged(verified_chunks(spark.read.parquet(f"{path}/chunks")), "chunk-sums"), "digest", "left")
-
-    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc, after = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 3))
-            part = crc_shifted(crc.astype(np.uint32), after.astype(np.int64) * 4).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(part), batch.column(5)], ["doc_id", "start", "n_tokens", "part", "ok"])
-
-    rows = found.select("doc_id", "start", "n_tokens", "after", F.coalesce("crc", F.lit(0)).alias("crc"), (F.coalesce("ok", F.lit(False)) & F.col("rooted")).alias("ok"))
-    rows = rows.mapInArrow(moved, "doc_id long, start long, n_tokens long, part long, ok boolean")
-    return rows.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.bool_and("ok").alias("verified"))
+    parts = _recipes(spark, path).select("doc_id", "start", "rank", "n_tokens", F.col("root").alias("stored"), F.posexplode("digests").alias("pos", "digest"))
+    chunks = spark.read.schema("digest binary, n int, data binary, uses long").parquet(f"{path}/chunks")
+    found = join_hot(parts, chunks, "digest", "uses", "left")
+    ordered = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start").sortWithinPartitions("start", "pos")
+    names = ["doc_id", "start", "rank", "n_tokens", "root", "ids_crc32", "good"] + ["ids"] * keep_ids
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()] + [pa.list_(pa.int64())] * keep_ids
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids (array of long) of each document, rebuilt from recipes and chunks."""
-    parts = _recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
-    found = parts.join(spark.read.parquet(f"{path}/chunks"), "digest")
-    whole = found.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "data"))).alias("parts"))
+        def close():
+            doc_id, start, rank, n_tokens, stored, crc, n, good, digests, ids = now
+            root = merkle_root(digests)
+            out.append((doc_id, start, rank, n_tokens, root, crc, good and n == n_tokens and root == stored) + ((np.concatenate(ids),) if keep_ids else ()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [[int(x) for p in parts for x in np.frombuffer(p["data"], dtype=f"<u{len(p['data']) // p['n']}")] for parts in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
-
-    return whole.mapInArrow(run, "doc_id long, start long, ids array<long>")
+            for doc_id, start, rank, n_tokens, stored, digest, n, data in zip(*[batch.column(i).to_pylist() for i in range(8)]):
+                if now is None or now[1] != start:
+                    if now is not None:
+                        close()
+                    now = [doc_id, start, rank, n_tokens, stored, 0, 0, True, [], []]
+                good = data is not None and hashlib.sha256(data).digest() == digest
+                now[7] &= good
+                now[8].append(digest)
+                if data:
+                    ids = np.frombuffer(data, dtype=f"<u{len(data) // n}").astype("<u4")
+                    now[5] = zlib.crc32(ids, now[5])
+                    now[6] += len(ids)
+                    if keep_ids:
+                        now[9].append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] or [pa.array([], k) for k in kinds], names)
+            out.clear()
+        if now is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    schema = "doc_id long, start long, rank long, n_tokens long, root binary, ids_crc32 long, good boolean" + (", ids array<long>" if keep_ids else "")
+    return ordered.select("doc_id", "start", "rank", "n_tokens", "stored", "digest", "n", "data").mapInArrow(run, schema)
+
+
+def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ``verified`` of each document, and with ``keep_ids`` its ids (array of long).
+
+    All is taken from the ids as they were put together again. ``verified``: the chunks' digests hold, so does the
+    Merkle root of the recipe, and so does its node of the manifest over the documents that were read.
+    """
+    rows = staged(_rebuilt(spark, path, keep_ids), "rebuilt")
+    made = _parents(rows.select("rank", F.col("n_tokens").alias("ids"), F.lit(1).cast("long").alias("documents"), "root"))
+    stored = _manifest(spark, path).filter(F.col("level") == 1).select(F.col("rank").alias("node"), *[F.col(c).alias(f"s_{c}") for c in ("documents", "ids", "root")])
+    held = staged(stored.join(made.withColumnRenamed("rank", "node"), "node", "full"), "nodes")
+    lost = held.filter(F.col("documents").isNull()).count()
+    if lost:
+        raise ValueError(f"all recipes under {lost} nodes of the manifest are missing")
+    same = held.select("node", F.coalesce((F.col("documents") == F.col("s_documents")) & (F.col("ids") == F.col("s_ids")) & (F.col("root") == F.col("s_root")), F.lit(False)).alias("whole"))
+    joined = rows.withColumn("node", F.expr(f"rank DIV {FANOUT}")).join(same, "node")
+    return joined.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("good") & F.col("whole")).alias("verified"), *["ids"] * keep_ids)
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

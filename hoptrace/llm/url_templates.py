@@ -1,16 +1,19 @@
 """URL filter: a path-template tree per host, judged by smoothed labelled purity.
 
-1. A url's host and path are cut out; the path is split into segments.
+1. A url's host and path are cut out; the path is split into segments. From the ``DEPTH``-th on the segments of a path
+   count as one, so a tree has at most so many levels.
 2. Segments that look variable (digits, long hexadecimal or mixed runs, dates) become wildcards at once; any file
-   ending is kept. Level by level, a tree node with more than ``max_children`` different children turns its rare ones
-   into wildcards as well.
-3. Sibling branches whose labelled shares do not differ from their node's (two-proportion test at ``z``) merge into one
-   wildcard branch; branches that do differ stay apart.
+   ending is kept. From the top down, a tree node with more than ``max_children`` different children turns its rare
+   ones into wildcards as well.
+3. From the leaves up, siblings at one level whose templates are equal everywhere else are compared by their labelled
+   shares: one that differs from all its other siblings together (two-proportion test at ``z``) stays apart, the others
+   merge into one wildcard and their counts are summed. So branches merge at every level, also over inner folders.
 4. A template's purity is (good + strength * base) / (labelled + strength), base being that of all labels; templates
    under ``least_purity`` are rejected.
 
-All counts are grouped sums, so a host with a third of all urls is summed before it is shuffled. The join of urls with
-their branch is salted by a part of the url's hash.
+All counts are grouped sums, so a host with a third of all urls is summed before it is shuffled, and the levels work on
+distinct templates. Urls meet their template's verdict in a shuffle, but for the most frequent templates, which go to
+all tasks.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, and is allowed unless a rule fits. Rows
 that repeat a page_id or a url are judged alike. Without labels no template is rejected. An empty table gives no row.
@@ -22,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, join_hot, staged
 
 #: Rules of the registered query: (verdict, host suffix, path prefix). Fixed values.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-MAX_CHILDREN, Z, STRENGTH, LEAST_PURITY, SALTS = 50, 2.6, 8.0, 0.4, 16
+MAX_CHILDREN, Z, STRENGTH, LEAST_PURITY, DEPTH = 50, 2.6, 8.0, 0.4, 8
 WILD = "*"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -59,66 +62,85 @@ def segments_of(path: Column) -> Column:
         variable = body.rlike(r"^[0-9._:-]+$") | body.rlike(r"^[0-9a-fA-F-]{16,}$") | body.rlike(r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{12,}$") | body.rlike(r"[0-9]{4,}")
         return F.when(variable, F.concat(F.lit(WILD), ending)).otherwise(s)
 
-    return F.transform(parts, general)
+    found = F.transform(parts, general)
+    tail = F.array_join(F.slice(found, DEPTH, F.size(found)), "/")
+    return F.when(F.size(found) > DEPTH, F.concat(F.slice(found, 1, DEPTH - 1), F.array(tail))).otherwise(found)
 
 
-def _by_level(urls: DataFrame, max_children: int) -> DataFrame:
-    """Rows (host, segments, n, labelled, good) with rare children of wide nodes as wildcards, from the top down."""
-    deepest = urls.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
-        at = F.when(F.size("segments") > level, F.col("segments")[level])
-        parent = F.slice("segments", 1, level)
-        nodes = urls.filter(F.size("segments") > level).groupBy("host", parent.alias("parent"), at.alias("child")).agg(F.sum("n").alias("n"))
-        wide = nodes.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("total")).filter(F.col("children") > max_children)
-        if wide.isEmpty():
+def _without(level: int) -> list[Column]:
+    """What siblings at a level have in common: their host, and the segments before and behind."""
+    return [F.col("host"), F.slice("segments", 1, level).alias("before"), F.slice("segments", level + 2, DEPTH).alias("behind")]
+
+
+def _with_wildcard(level: int) -> Column:
+    return F.concat(F.slice("segments", 1, level), F.array(F.lit(WILD)), F.slice("segments", level + 2, DEPTH))
+
+
+def _narrowed(templates: DataFrame, max_children: int) -> DataFrame:
+    """``templates`` with rare children of wide nodes as wildcards, from the top down."""
+    for level in range(DEPTH):
+        at = F.get("segments", F.lit(level))
+        deep = templates.filter(F.size("segments") > level)
+        nodes = deep.groupBy("host", F.slice("segments", 1, level).alias("before"), at.alias("child")).agg(F.sum("n").alias("n"))
+        wide = staged(nodes.groupBy("host", "before").agg(F.count("*").alias("children"), F.sum("n").alias("total")).filter(F.col("children") > max_children), "wide")
+        if not wide.isEmpty():
+            rare = nodes.join(wide, ["host", "before"]).filter(F.col("n") * max_children < F.col("total")).select("host", "before", "child", F.lit(True).alias("rare"))
+            keyed = templates.withColumn("before", F.slice("segments", 1, level)).withColumn("child", at)
+            cut = F.when(F.col("rare"), _with_wildcard(level)).otherwise(F.col("segments"))
+            templates = staged(keyed.join(rare, ["host", "before", "child"], "left").select("host", "first", cut.alias("segments"), "n", "k", "g"), f"level-{level}")
+        discard(wide)
+    return templates
+
+
+def _merged(templates: DataFrame, z: float) -> DataFrame:
+    """``templates`` with siblings that are alike as wildcards, from the leaves up."""
+    for level in reversed(range(DEPTH)):
+        deep = templates.filter(F.size("segments") > level)
+        if deep.isEmpty():
             continue
-        rare = nodes.join(wide, ["host", "parent"]).filter(F.col("n") * max_children < F.col("total")).select("host", "parent", "child", F.lit(True).alias("rare"))
-        keyed = urls.withColumn("parent", parent).withColumn("child", at)
-        cut = F.concat(F.slice("segments", 1, level), F.array(F.lit(WILD)), F.slice(F.col("segments"), level + 2, deepest))
-        urls = keyed.join(rare, ["host", "parent", "child"], "left").select(
-            "host", "key", F.when(F.col("rare"), cut).otherwise(F.col("segments")).alias("segments"), "n", "labelled", "good"
-        )
-        urls = staged(urls, f"level-{level}")
-    return urls
+        members = deep.groupBy(*_without(level), F.get("segments", F.lit(level)).alias("child")).agg(F.sum("k").alias("k"), F.sum("g").alias("g"))
+        nodes = members.groupBy("host", "before", "behind").agg(F.sum("k").alias("all_k"), F.sum("g").alias("all_g"))
+        rest_k, rest_g, p = F.col("all_k") - F.col("k"), F.col("all_g") - F.col("g"), F.try_divide("all_g", "all_k")
+        spread = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), "k") + F.try_divide(F.lit(1), rest_k)))
+        apart = F.coalesce(F.try_divide(F.abs(F.try_divide("g", "k") - F.try_divide(rest_g, rest_k)), spread) > z, F.lit(False))
+        keys = ["host", "before", "behind"]
+        judged = staged(members.join(nodes, keys).select(*keys, "child", apart.alias("apart")), "siblings")
+        alike = judged.filter(~F.col("apart")).groupBy(*keys).agg(F.count("*").alias("alike")).filter("alike > 1")
+        merging = judged.filter(~F.col("apart")).join(alike, keys, "left_semi").select(*keys, "child", F.lit(True).alias("merges"))
+        keyed = templates.select("*", *_without(level)[1:], F.get("segments", F.lit(level)).alias("child"))
+        cut = F.when(F.col("merges"), _with_wildcard(level)).otherwise(F.col("segments"))
+        templates = staged(keyed.join(merging, [*keys, "child"], "left").select("host", "first", cut.alias("segments"), "n", "k", "g"), f"merged-{level}")
+        discard(judged)
+    return templates
 
 
 def template_verdicts(urls: DataFrame, max_children: int = MAX_CHILDREN, z: float = Z, strength: float = STRENGTH, least_purity: float = LEAST_PURITY) -> DataFrame:
-    """From (host, path, label or null) rows: (host, key, template, purity, verdict), one per distinct host and raw segments."""
-    raw = urls.select("host", F.array_join(segments_of(F.col("path")), "/").alias("key"), "label")
-    sums = raw.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"))
-    sums = staged(sums, "templates")
-    base = sums.agg(F.sum("good"), F.sum("labelled")).first()
+    """From (host, key, label or null) rows: (host, key, urls, template, purity, verdict), one per host and key (segments with looks alone generalised)."""
+    sums = urls.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("label").alias("k"), F.coalesce(F.sum("label"), F.lit(0)).alias("g"))
+    sums = staged(sums.withColumn("segments", F.col("key")), "templates")
+    base = sums.agg(F.sum("g"), F.sum("k")).first()
     mean = float(base[0] / base[1]) if base[1] else 1.0
-    keyed = sums.withColumn("segments", F.filter(F.split("key", "/"), lambda s: s != ""))
-    tree = _by_level(keyed, max_children)
-    leaf = F.coalesce(F.try_element_at("segments", F.lit(-1)), F.lit(""))
-    tree = tree.withColumn("parent", F.array_join(F.slice("segments", 1, F.greatest(F.size("segments") - 1, F.lit(0))), "/")).withColumn("leaf", leaf)
-    branch = tree.groupBy("host", "parent", "leaf").agg(F.sum("n").alias("n"), F.sum("labelled").alias("k"), F.sum("good").alias("g"))
-    node = branch.groupBy("host", "parent").agg(F.sum("k").alias("all_k"), F.sum("g").alias("all_g"))
-    p = F.try_divide("all_g", "all_k")
-    apart = F.coalesce((F.col("k") > 0) & (p > 0) & (p < 1) & (F.try_divide(F.abs(F.col("g") - p * F.col("k")), F.sqrt(F.col("k") * p * (1 - p))) > z), F.lit(False))
-    merged = branch.join(node, ["host", "parent"]).withColumn("branch", F.when(apart, F.col("leaf")).otherwise(F.lit(WILD)))
-    merged = staged(merged.select("host", "parent", "leaf", "branch", "k", "g"), "branches")
+    tree = _merged(_narrowed(sums.withColumnRenamed("key", "first"), max_children), z)
     purity = (F.sum("g") + strength * mean) / (F.sum("k") + strength)
-    judged = merged.groupBy("host", "parent", "branch").agg(purity.alias("purity"))
-    out = tree.select("host", "key", "parent", "leaf").join(merged.select("host", "parent", "leaf", "branch"), ["host", "parent", "leaf"]).join(judged, ["host", "parent", "branch"])
-    template = F.concat(F.lit("/"), F.when(F.col("parent") != "", F.concat("parent", F.lit("/"))).otherwise(F.lit("")), "branch")
-    return out.select("host", "key", template.alias("template"), "purity", F.when(F.col("purity") < least_purity, "block").otherwise("allow").alias("verdict"))
+    judged = staged(tree.groupBy("host", "segments").agg(purity.alias("purity")), "judged")
+    template = F.concat(F.lit("/"), F.array_join("segments", "/"))
+    out = tree.join(judged, ["host", "segments"])
+    return out.select("host", F.col("first").alias("key"), F.col("n").alias("urls"), template.alias("template"), "purity", F.when(F.col("purity") < least_purity, "block").otherwise("allow").alias("verdict"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, salts: int = SALTS, **kw) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, **kw) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages``.
 
     ``labels``: (page_id, label) with label 1 good, 0 bad.
     """
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = labels.filter(F.col("label").isNotNull()).groupBy("page_id").agg(F.max("label").cast("int").alias("label"))
-    rows = staged(cut.join(known, "page_id", "left").withColumn("key", F.array_join(segments_of(F.col("path")), "/")), "urls")
-    verdicts = staged(template_verdicts(rows, **kw), "verdicts")
-    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int")).join(salted, ["host", "key", "salt"], "left")
+    rows = staged(cut.join(known, "page_id", "left").withColumn("key", segments_of(F.col("path"))), "urls")
+    place = F.struct("host", "key").alias("place")
+    verdicts = staged(template_verdicts(rows, **kw).select(place, "urls", "template", "purity", F.col("verdict").alias("found")), "verdicts")
+    joined = join_hot(rows.select("page_id", "host", "path", place), verdicts, "place", "urls", "left")
     host, path = F.col("host"), F.col("path")
-    verdict = F.coalesce(rule_for(host, path, rules, "verdict"), F.when(host == "", F.lit("allow")).otherwise(F.coalesce("verdict", F.lit("allow"))))
+    verdict = F.coalesce(rule_for(host, path, rules, "verdict"), F.when(host == "", F.lit("allow")).otherwise(F.coalesce("found", F.lit("allow"))))
     return joined.select("page_id", "host", "path", rule_for(host, path, rules).alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 

@@ -23,11 +23,13 @@ def wildcard(s):
 
 def templates(rows, max_children=U.MAX_CHILDREN, z=U.Z, strength=U.STRENGTH, least=U.LEAST_PURITY):
     """{(host, path): (template, purity, verdict)} of (host, path, label or None) rows."""
-    raw = {(h, p): tuple(wildcard(s) for s in p.split("/") if s) for h, p, _ in rows}
-    now = dict(raw)
+    now = {}
+    for h, p, _ in rows:
+        s = [wildcard(x) for x in p.split("/") if x]
+        now[h, p] = tuple(s if len(s) <= U.DEPTH else [*s[: U.DEPTH - 1], "/".join(s[U.DEPTH - 1 :])])
     labels = [x for _, _, x in rows if x is not None]
     base = sum(labels) / len(labels) if labels else 1.0
-    for level in range(max(map(len, now.values()), default=0)):
+    for level in range(U.DEPTH):
         n = Counter((h, now[h, p][:level], now[h, p][level]) for h, p, _ in rows if len(now[h, p]) > level)
         children, total = Counter(), Counter()
         for (h, parent, _), k in n.items():
@@ -36,30 +38,34 @@ def templates(rows, max_children=U.MAX_CHILDREN, z=U.Z, strength=U.STRENGTH, lea
         for (h, p), s in now.items():
             if len(s) > level and children[h, s[:level]] > max_children and n[h, s[:level], s[level]] * max_children < total[h, s[:level]]:
                 now[h, p] = (*s[:level], "*", *s[level + 1 :])
-    k, g, all_k, all_g = Counter(), Counter(), Counter(), Counter()
+    for level in reversed(range(U.DEPTH)):
+        siblings = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for h, p, x in rows:
+            s = now[h, p]
+            if len(s) > level:
+                one = siblings[h, s[:level], s[level + 1 :]][s[level]]
+                one[0] += x is not None
+                one[1] += x or 0
+        merging = set()
+        for node, own in siblings.items():
+            all_k, all_g, alike = sum(k for k, _ in own.values()), sum(g for _, g in own.values()), []
+            for child, (k, g) in own.items():
+                rest, share = all_k - k, all_g / all_k if all_k else 0
+                apart = k and rest and 0 < share < 1 and abs(g / k - (all_g - g) / rest) / (share * (1 - share) * (1 / k + 1 / rest)) ** 0.5 > z
+                alike += [] if apart else [child]
+            merging |= {(node, child) for child in alike if len(alike) > 1}
+        for (h, p), s in now.items():
+            if len(s) > level and ((h, s[:level], s[level + 1 :]), s[level]) in merging:
+                now[h, p] = (*s[:level], "*", *s[level + 1 :])
+    k, g = Counter(), Counter()
     for h, p, x in rows:
-        s = now[h, p]
-        if x is not None:
-            for a, b, key in ((k, g, (h, s[:-1], s[-1:])), (all_k, all_g, (h, s[:-1]))):
-                a[key] += 1
-                b[key] += x
-    branch = {}
-    for h, p, _ in rows:
-        s = now[h, p]
-        key, node = (h, s[:-1], s[-1:]), (h, s[:-1])
-        share = all_g[node] / all_k[node] if all_k[node] else 0
-        apart = k[key] and 0 < share < 1 and abs(g[key] - share * k[key]) / (k[key] * share * (1 - share)) ** 0.5 > z
-        branch[key] = (s[-1] if s else "") if apart else "*"
-    bk, bg = Counter(), Counter()
-    for key, b in branch.items():
-        bk[key[0], key[1], b] += k[key]
-        bg[key[0], key[1], b] += g[key]
+        k[h, now[h, p]] += x is not None
+        g[h, now[h, p]] += x or 0
     out = {}
     for h, p, _ in rows:
         s = now[h, p]
-        b = branch[h, s[:-1], s[-1:]]
-        purity = (bg[h, s[:-1], b] + strength * base) / (bk[h, s[:-1], b] + strength)
-        out[h, p] = ("/" + "/".join((*s[:-1], b)), round(purity, 9), "block" if purity < least else "allow")
+        purity = (g[h, s] + strength * base) / (k[h, s] + strength)
+        out[h, p] = ("/" + "/".join(s), round(purity, 9), "block" if purity < least else "allow")
     return out
 
 
