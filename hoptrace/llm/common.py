@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 #: Rows and bytes of an Arrow batch of whole texts at most (a longer text is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 #: A key is hot if it has over this part of all rows; so there are at most as many hot keys.
 HOT_PART = 1000
 #: Rows of a side that may be copied to every executor; a larger one is joined by a merge of both sides.
@@ -94,7 +94,7 @@ def small_batches(spark: SparkSession) -> None:
     """The bounds of :func:`written` for a plan that the caller runs: Spark reads them when it runs, so they stay set."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key, str(most)))
+        now = int(spark.conf.get(key))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 

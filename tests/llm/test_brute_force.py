@@ -5,7 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
-from test_contracts import SF, least_reachable, secret_spans, simhash, words
+from test_contracts import SF, secret_spans, words
+from test_near_copies import groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -109,7 +110,7 @@ def test_pipeline(spark):
     score = {r["doc_id"]: r["score"] for r in quality_fm.classify(table, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert sorted(r["doc_id"] for r in after) == sorted(k for k, v in score.items() if v >= 0.3)
     before, after = seen["near_dedup"]
-    component = least_reachable({r["doc_id"]: simhash(r["text"]) for r in before})
+    component = groups([(r["doc_id"], r["text"]) for r in before])
     assert sorted(r["doc_id"] for r in after) == sorted(k for k, v in component.items() if k == v)
     before, after = seen["secrets"]
     texts = {r["doc_id"]: r["text"] for r in after}
@@ -131,8 +132,9 @@ def test_pipeline(spark):
     tok, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), defaultdict(int)
     for r in before:
         want[r["doc_id"]] += len(tok.encode(r["text"], add_special_tokens=False).ids) + 1
-    got, bins = defaultdict(int), defaultdict(list)
+    got, bins, ids = defaultdict(int), defaultdict(list), {r["doc_id"]: [*tok.encode(r["text"], add_special_tokens=False).ids, 2] for r in before}
     for r in after:
         got[r["doc_id"]] += r["length"]
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["ids"] == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
     assert got == want and all(sum(n for _, n in b) <= 1024 for b in bins.values())

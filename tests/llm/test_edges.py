@@ -58,6 +58,28 @@ def test_copied_secrets(spark):
     assert {r["doc_id"]: len(r["spans"]) for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1, 10: 1} and all(r["copied"] for r in got if r["doc_id"] < 9)
 
 
+def test_repositories(spark):
+    """A value that one owner has in many repositories is an example as well; in one repository it is a credential."""
+    rows = [(i, "use Zx81kQp0vT93mLr7Yb2d", f"l{i}", "s0") for i in range(4)] + [(9 + i, "ours Ab3dEf6hIj9lMn2pQr5t", "en", "s0") for i in range(4)]
+    got = secret_scan.judged(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1, 10: 1, 11: 1, 12: 1} and all(r["copied"] for r in got if r["doc_id"] < 9)
+
+
+def test_many_spans(spark):
+    """Some thousand spans in one long text, a hot value in most texts, and null ids: same as a loop."""
+    rng = random.Random(3)
+    long = " ".join(f"token={''.join(rng.choices('abcdef0123456789XYZ', k=14))} and {rng.getrandbits(80):020x}" for _ in range(2000))
+    rows = [(None if i % 3 else i, "secret = AAAABBBBCCCC1111" if i % 2 else f"text {i}", "en", f"s{i % 5}") for i in range(300)] + [(1000, long, "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    want = Counter()
+    for i, t, _, _ in rows:
+        cover = bytearray(len(t))
+        for a, _, b in secret_spans(t):
+            cover[a:b] = b"x" * (b - a)
+        want[i, "".join("*" if c else x for c, x in zip(cover, t))] += 1
+    assert texts(secret_scan.masked(docs)) == want
+
+
 def test_masking(odd):
     got = secret_scan.masked(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
@@ -86,6 +108,57 @@ def test_factorisation_identity():
     assert abs(m._raw(at, x, np.array([0]))[0][0] - slow) < 1e-4
 
 
+def plain_score(model, text):
+    """The machine's score by loops over words, shapes, statistics and pairs of features."""
+    import math
+
+    q, text = quality_fm, text or ""
+    words, x = text.split(), Counter()
+    for size, base, weight, name in ((q.BUCKETS, 0, 1.0, str.lower), (q.SHAPES, q.BUCKETS, 1.5, q._shape)):
+        n = Counter()
+        for w in words:
+            n[zlib.crc32(name(w).encode()) % size] += 1
+        norm = math.sqrt(sum(math.log1p(k) ** 2 for k in n.values()))
+        for i, k in n.items():
+            x[base + i] += weight * math.log1p(k) / norm
+    n, chars, alpha = max(len(words), 1), max(len(text), 1), sum(c.isalpha() for c in text)
+    lines = [y for y in text.split("\n") if y.strip()]
+    stats = [
+        min(1, 4 * sum(c in q.SYMBOLS for c in text) / chars), sum(c.isupper() for c in text) / max(alpha, 1), sum(c.isdigit() for c in text) / chars,
+        1 - len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(lines)) / max(len(lines), 1), min(1, alpha / n / 20), len(set(words)) / n,
+        1 - min(1, alpha / chars), min(1, math.log1p(len(words)) / 12), min(1, math.log1p(len(text)) / 15), sum(w[-1] in q.SYMBOLS for w in words) / n, sum(w.isupper() for w in words) / n,
+    ]
+    for j, v in enumerate(stats):
+        base = q.BUCKETS + q.SHAPES + j * (q.BINS + 1)
+        x[base + min(int(v * q.BINS), q.BINS - 1)] += 0.5
+        x[base + q.BINS] += v
+    raw = model.bias + sum(float(model.linear[i]) * v for i, v in x.items())
+    at = sorted(x)
+    v = np.array([x[i] for i in at])
+    vx = model.factors[at].astype(float) * v[:, None]
+    dots = vx @ vx.T
+    raw += sum(dots[i, j] for i in range(len(at)) for j in range(i))
+    return 1 / (1 + math.exp(-max(-30, min(30, raw))))
+
+
+def test_scores(spark):
+    """Scores of a fitted model against loops that take every pair of features by itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 1500).alias("text")).limit(60).unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "A #b C## 12")], "doc_id long, text string"))
+    model = quality_fm.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert model.factors.any()
+    for r in quality_fm.with_score(docs, model).collect():
+        assert abs(r["score"] - plain_score(model, r["text"])) < 1e-5
+
+
+def test_bounded_sample(spark):
+    """The sample ends with its features; which rows count depends on their ids alone."""
+    docs = spark.createDataFrame([(i, f"word{i} other#{i % 3}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    models = [quality_fm.train(d, labels, most=most) for d, most in ((docs, 900), (docs.repartition(5), 900), (docs, 4_000_000), (docs, 1))]
+    assert np.array_equal(models[0].factors, models[1].factors) and not np.array_equal(models[0].factors, models[2].factors)
+    assert abs(models[3].bias) > 5  # one row, one label
+
+
 PAGES = "page_id long, url string, html string, host string, key string, n int"
 
 
@@ -107,23 +180,39 @@ def test_url_branches(spark):
     assert {(r["template"], r["verdict"]) for r in got} == {("/spam/*.html", "block"), ("/news/*.html", "allow"), ("/blog/*.html", "allow")} or {r["verdict"] for r in got if "/spam/" in r["path"]} == {"block"}
     wide = [(i, f"http://h.com/u/name{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}/x", "", "", "", 1) for i in range(300)]
     got = url_templates.judge_urls(spark.createDataFrame(wide, PAGES), labels.limit(0)).collect()
-    assert {r["template"] for r in got} == {"/u/*/*"} and {r["verdict"] for r in got} == {"allow"}
+    assert {r["template"] for r in got} == {"/u/*/x"} and {r["verdict"] for r in got} == {"allow"}
+
+
+def test_inner_branches(spark):
+    """A host of bad labels spread over inner folders, too few in each, is one template and rejected; a long path costs no more."""
+    rows = [(i, f"http://{'bad' if i < 40 else 'good'}.com/{['en', 'fr', 'de', 'es'][i % 4]}/page{'abcdefghij'[i % 10]}.html") for i in range(400)]
+    rows += [(1000, "http://deep.com" + "/x" * 300), (1001, "http://deep.com" + "/x" * 301)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(400)], "page_id long, label int")
+    got = {r["page_id"]: r for r in url_templates.judge_urls(pages, labels, []).collect()}
+    assert {got[i]["verdict"] for i in range(40)} == {"block"} and {got[i]["verdict"] for i in range(40, 400)} == {"allow"}
+    assert {got[i]["template"] for i in range(400)} == {"/*/*"} and got[1000]["verdict"] == "allow"
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_token_ids(path):
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    rng = random.Random(4)
-    made = ["".join(rng.choice("ab Z9.,'\n\t\u00e9\u0301\u03a3\u4e2d\x85\xa0\u2003s") for _ in range(rng.randrange(40))) for _ in range(3000)]
-    for text, ids in zip(TEXTS + made, token_ids.TextEncoder(path).encode(TEXTS + made)):
+    """The library's own ids for every code point, random texts and added tokens; the tokenizer is as its file says."""
+    tok, enc, rng = Tokenizer.from_file(path), token_ids.TextEncoder(path), random.Random(4)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    known = [c for c in points if not enc.unknown(c)]
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    made = [f"a{c}b" for c in points] + [f"1{c} {c}\n{c}{c}'s{c} .{c}!" for c in known] + known
+    made += ["".join(rng.choice("ab Z9.,'\n\t\u00e9\u0301\u03a3\u4e2d\x85\xa0\u2003s<|>") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    made += ["".join(rng.choice(known if rng.random() < 0.3 else "ab Z9.,'\n\t") for _ in range(rng.randrange(40))) for _ in range(10_000)]
+    made += [x for m in marks for x in (m, f"a {m} b", f"x{m}", m.upper(), m[:-1], f"{m}{m}")]
+    for text, ids in zip(TEXTS + made, enc.encode(TEXTS + made)):
         assert ids.tolist() == tok.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert len(known) > 30_000 and any("<|" in t for t in made)
 
 
 def test_token_store(spark, odd, empty):
     path = token_store.write_store(odd, new_path(spark, "t"), WORD)
     tok, at = Tokenizer.from_file(WORD), 0
-    tok.encode_special_tokens = True
     rows = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], hashlib.sha256((r["text"] or "").encode()).digest()))
     want = []
     for r in rows:
@@ -132,21 +221,40 @@ def test_token_store(spark, odd, empty):
         at += len(ids)
     got = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [w[:4] for w in want] and all(r["verified"] for r in got)
-    assert [r["ids"] for r in token_store.read_documents(spark, path).orderBy("start").collect()] == [w[4] for w in want]
+    assert [r["ids"] for r in token_store.read_store(spark, path, keep_ids=True).orderBy("start").collect()] == [w[4] for w in want]
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
-    assert spark.read.parquet(f"{path}/manifest").agg(F.sum("documents"), F.sum("ids")).first()[:] == (len(rows), at)
+    assert spark.read.parquet(f"{path}/manifest/level=1").agg(F.sum("documents"), F.sum("ids")).first()[:] == (len(rows), at)
     assert token_store.read_store(spark, token_store.write_store(empty, new_path(spark, "t"), WORD)).count() == 0
 
 
 def test_damaged_chunk(spark):
     path = token_store.write_store(spark.createDataFrame([(1, "some words"), (2, "others")], "doc_id long, text string"), new_path(spark, "t"), WORD)
     chunks = spark.read.parquet(f"{path}/chunks").collect()
-    bad = [(c["digest"], c["n"], bytes(c["data"][::-1]) if i == 0 else bytes(c["data"])) for i, c in enumerate(chunks)]
-    spark.createDataFrame(bad, "digest binary, n int, data binary").write.mode("overwrite").parquet(f"{path}/chunks")
+    kinds = "digest binary, n int, data binary, uses long"
+    bad = [(c["digest"], c["n"], bytes(c["data"][::-1]) if i == 0 else bytes(c["data"]), c["uses"]) for i, c in enumerate(chunks)]
+    spark.createDataFrame(bad, kinds).write.mode("overwrite").parquet(f"{path}/chunks")
+    assert sorted(r["verified"] for r in token_store.read_store(spark, path).collect()) == [False, True]
+    spark.createDataFrame(bad[1:], kinds).write.mode("overwrite").parquet(f"{path}/chunks")
     assert sorted(r["verified"] for r in token_store.read_store(spark, path).collect()) == [False, True]
 
 
+def test_lost_recipes(spark, monkeypatch):
+    """A recipe that is gone or changed shows in the manifest; with a whole node gone, reading fails."""
+    monkeypatch.setattr(token_store, "FANOUT", 4)
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
+    path = token_store.write_store(docs, new_path(spark, "t"), WORD)
+    assert {r["level"]: r["count"] for r in spark.read.parquet(f"{path}/manifest").groupBy("level").count().collect()} == {1: 10, 2: 3, 3: 1}
+    read = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.createDataFrame(read.collect(), read.schema)
+    recipes.filter("doc_id <> 9").write.mode("overwrite").partitionBy("part").parquet(f"{path}/recipes")
+    got = {r["doc_id"]: r["verified"] for r in token_store.read_store(spark, path).collect()}
+    assert got == {i: i not in (8, 10, 11) for i in range(40) if i != 9}
+    recipes.filter("doc_id not between 8 and 11").write.mode("overwrite").partitionBy("part").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError):
+        token_store.read_store(spark, path)
+
+
 def test_chunks_of_shared_passages():
     rng = np.random.default_rng(2)
     shared, a, b = (rng.integers(0, 49_000, n).astype("<u2") for n in (6000, 700, 911))
@@ -157,11 +265,6 @@ def test_chunks_of_shared_passages():
 
     x, y = cuts(np.concatenate([a, shared])), cuts(np.concatenate([b, shared]))
     assert len(x & y) >= 0.6 * len(x) and all(len(c) // 2 <= token_store.MOST for c in x)
-    data = rng.integers(0, 256, 5000).astype("u1").tobytes()
-    parts = [data[i:j] for i, j in zip([0, 1, 900, 4000], [1, 900, 4000, 5000])]
-    left = np.array([4999, 4100, 1000, 0])
-    crc = token_store.crc_shifted(np.array([zlib.crc32(p) for p in parts], "u4"), left)
-    assert int(np.bitwise_xor.reduce(crc)) == zlib.crc32(data)
 
 
 def test_near_duplicates(odd, empty, spark):
@@ -190,9 +293,11 @@ def test_links_and_components(spark):
 
 
 def test_forest_sizes():
+    """Lists tallied pair by pair, and split ones, against all pairs."""
     rng = np.random.default_rng(3)
     for n in (2, 200, 3000):
-        free = rng.choice(1 << 16, n, replace=False).astype(np.uint16)
+        free = rng.choice(1 << 16, n, replace=False).astype(np.uint64)
+        fps = (free & np.uint64(255)) << np.uint64(8) | (free >> np.uint64(8)) << np.uint64(40) | np.uint64(0x1200340000560000)
         roots = list(range(n))
 
         def find(i):
@@ -200,13 +305,26 @@ def test_forest_sizes():
                 i = roots[i]
             return i
 
-        for i, j in sh.forest(free, 2):
-            assert int(free[i] ^ free[j]).bit_count() <= 2 and find(i) != find(j)
+        for i, j in sh.forest(fps, 2):
+            assert int(fps[i] ^ fps[j]).bit_count() <= 2 and find(i) != find(j)
             roots[find(i)] = find(j)
-        near = np.argwhere(np.triu(np.bitwise_count(free[:, None] ^ free[None, :]) <= 2, 1))
+        near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
         assert all(find(i) == find(j) for i, j in near.tolist())
 
 
+def test_tally(spark):
+    """The tally counts equal bytes at equal positions; every pair within two bits is in a list and reaches six."""
+    a, b = np.array([0x0102030405060708], np.uint64), np.array([0x0102FF0405060709], np.uint64)
+    assert sh.tally(a, b).tolist() == [6] and sh.linked(a, b, 2).tolist() == [False]
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(50)]
+    pairs = [(x, x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))) for x in base]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x), signed(y)) for x, y in pairs], "x long, y long")
+    shared = df.select("x", "y", F.size(F.array_intersect(sh._keys(F.col("x")), sh._keys(F.col("y")))).alias("lists")).collect()
+    assert all(r["lists"] >= 1 for r in shared) and all(sh.tally(np.array([x], np.uint64), np.array([y], np.uint64))[0] >= 6 for x, y in pairs)
+
+
 def test_packing(spark, odd, empty):
     got = packing.pack_documents(odd, BYTE).collect()
     bins = {}
@@ -225,6 +343,41 @@ def test_packing(spark, odd, empty):
     assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in got) and max(len(r["ids"]) for r in whole) <= 1024
 
 
+def plain_best_two_fit(lengths, capacity):
+    """Bins of the rule applied piece by piece, longest first."""
+    left, bins = sorted(lengths), []
+    while left:
+        gap, own = capacity, []
+        while True:
+            fits = [x for x in left if x <= gap]
+            if not fits:
+                break
+            own.append(max(fits))
+            left.remove(own[-1])
+            gap -= own[-1]
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[:i] if a + b <= room]
+            if pairs and max(pairs)[0] > own[-1]:
+                _, a, b = max(pairs)
+                left.remove(a)
+                left.remove(b)
+                left.append(own.pop())
+                left.sort()
+                own += [a, b]
+        bins.append(sorted(own))
+    return bins
+
+
+def test_plan_of_documents(spark):
+    """The bins of real texts are those of the rule applied piece by piece."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    got, bins = packing.pack_documents(docs, BYTE).collect(), {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    assert sorted(sorted(b) for b in bins.values()) == sorted(plain_best_two_fit([r["length"] for r in got], 1024))
+
+
 def test_two_replace_one():
     """The smallest of 60 + 25 (gap 15) gives way to 20 and 20, which fill the bin."""
     assert packing.plan_bins({60: 1, 25: 1, 20: 2}, 100)[0] == (1, [60, 20, 20])
@@ -253,25 +406,80 @@ def test_mixing(spark, odd, empty):
     assert max(times.values()) <= 2 and times == {r["doc_id"]: r["n"] for r in mixing.sample(docs.repartition(7)).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
 
 
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def plain_verdicts(docs):
+    """(kept by the method) of each document that passes the base rules, by loops over groups and their values."""
+    rules = quality_rules
+    values, groups = {}, {}
+    for i, (doc_id, text, lang, source) in enumerate(docs):
+        n_words, chars, symbols, dup, repeat = base_measures(text)
+        if n_words < 20 or 100 * repeat > 30 * n_words:
+            continue
+        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n"))
+        raw = {"symbols": symbols * 1000 // chars, "word_length": chars * 10 // n_words, "dup_lines": dup * 1000 // lines, "repeats": repeat * 1000 // n_words}
+        values[i] = {m: v >> (c := max(0, v.bit_length() - rules.GRID_BITS)) << c for m, v in raw.items()}
+        for key in ((), (lang,), (lang, source)):
+            groups.setdefault(key, []).append(i)
+
+    def share(key, m, step):
+        own = [values[i][m] for i in groups[key]]
+        upto = sum(v <= step for v in own)
+        return upto / len(own) if not key else (upto + float(rules.PRIOR) * share(key[:-1], m, step)) / (len(own) + float(rules.PRIOR))
+
+    out = {}
+    for i, own in values.items():
+        key, beyond, far = docs[i][2:4], 0, False
+        for m, v in own.items():
+            steps = sorted({x[m] for x in values.values()})
+            at = {q: next(s for s in steps if share(key, m, s) >= q) for q in (0.5, rules.EXTREME, rules.MILD, 1 - rules.EXTREME, 1 - rules.MILD)}
+            low = rules.MEASURES[m][3]
+            far |= v > at[rules.EXTREME] or (low and v < at[1 - rules.EXTREME])
+            beyond += (v > at[rules.MILD] > at[0.5]) or (low and v < at[1 - rules.MILD] < at[0.5])
+        out[docs[i][0]] = not far and beyond < 2
+    return out
+
+
 def test_rules(odd, empty, spark):
     got = quality_rules.apply_rules(odd)
     assert got.count() == odd.count() and quality_rules.apply_rules(empty).count() == 0
     for r in got.filter("doc_id is not null").collect():
         assert [r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]] == base_measures(TEXTS[r["doc_id"]])
-    good = [(i, "plain words in a row that are quite usual here and go on for a while until twenty are reached, number %d" % i, "en", "s") for i in range(200)]
-    bad = [(900, "wor#d " * 3 + " ".join(f"x{i}###" for i in range(60)), "en", "s")]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(kept[i] for i in range(200)) and not kept[900]
+    rng = random.Random(7)
+    made = [(i, " ".join("w" * rng.randrange(1, 9) + "#" * (rng.random() < 0.05 * (i % 4)) for _ in range(rng.randrange(15, 60))), rng.choice(["en", "fr", None]), rng.choice(["a", "b", None])) for i in range(150)]
+    made.append((999, "x" * 900 + " " + " ".join("y" * 700 for _ in range(30)), "en", "a"))  # words far longer than all others
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(spark.createDataFrame(made, DOCS)).collect()}
+    want = plain_verdicts(made)
+    assert {k: kept[k] for k in want} == want and not kept[999] and not all(want.values()) and not any(kept[k] for k in kept.keys() - want.keys())
+
+
+def test_thresholds_follow_the_group(spark):
+    """One text among groups of different habits: usual where symbols are usual, rejected where they are not."""
+    words = "plain words in a row that are quite usual here and go on for a while until twenty are reached"
+    rng = random.Random(1)
+    prose = [(i, f"{words} number {'abcdefghij'[i % 10] * 3}", "en", "prose") for i in range(1500)]
+    code = [(5000 + i, f"{words} {' '.join('x#' for _ in range(rng.randrange(4, 12)))}", "en", "code") for i in range(1500)]
+    same = f"{words} {' '.join('x#' for _ in range(6))}"
+    docs = spark.createDataFrame([*prose, *code, (9000, same, "en", "prose"), (9001, same, "en", "code")], DOCS)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs).collect()}
+    assert not kept[9000] and kept[9001]
+    found = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(docs))).collect()}
+    assert found["code"]["at_symbols"]["extreme"] > 5 * max(1, found["prose"]["at_symbols"]["extreme"])
 
 
 def test_sketches_merge(spark):
-    """Sketches of parts add up to that of the whole, and quartiles are exact to one step."""
-    rows = [(i % 7, i, "m", (i * i) % 501) for i in range(2000)]
-    df = spark.createDataFrame(rows, "part int, i int, measure string, step int")
-    parts = df.groupBy("part", "measure", "step").agg(F.count("*").alias("n"))
-    got = quality_rules.quartiles(parts, []).first()
-    values = sorted(r[3] for r in rows)
-    assert (got["total"], got["q1"], got["q3"]) == (2000, values[499], values[1499])
+    """Sketches of parts add up to that of the whole, and a quantile is that of the values to one step."""
+    rows = [(f"l{i % 2}", f"s{i % 7}", "m", (i * i) % 501) for i in range(4000)]
+    df = spark.createDataFrame(rows, "lang string, source string, measure string, step long")
+    whole, parts = (df.groupBy(*k).agg(F.count("*").alias("n")) for k in (("lang", "source", "measure", "step"), ("lang", "source", "measure", "step", (F.col("step") % 3).alias("part"))))
+    a, b = ({(r["lang"], r["source"], r["step"]): r["f"] for r in quality_rules.distributions(x, prior=0).collect()} for x in (whole, parts.drop("part")))
+    assert a == b
+    own = sorted(r[3] for r in rows if r[:2] == ("l0", "s0"))
+    at = {s: f for (lang, source, s), f in a.items() if (lang, source) == ("l0", "s0")}
+    assert all(abs(f - sum(v <= s for v in own) / len(own)) < 1e-12 for s, f in at.items())
+    steps = {r["v"]: r["s"] for r in spark.range(0, 5000).select(F.col("id").alias("v"), quality_rules.grid_step(F.col("id")).alias("s")).collect()}
+    assert all(s <= v <= s * 33 / 32 for v, s in steps.items()) and all(steps[v] == v for v in range(64))
 
 
 def test_warc(spark):
@@ -282,12 +490,20 @@ def test_warc(spark):
     kinds = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got)
     assert kinds == Counter({(3, 4, "revisit", 1): 1, (1, 4, "response", None): 2, (None, 4, "revisit", 1): 1, (2, 0, "response", None): 1, (5, 0, "revisit", 2): 1, (7, 140_000, "response", None): 1, (None, 5, "response", None): 1})
     assert all(r["verified"] for r in got) and spark.read.parquet(f"{path}/payloads").count() == 4
+    urls, built = Counter((p[0], p[1], p[2]) for p in rows), Counter()
     for r in warc_archive.records(spark, path).collect():
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         assert head.startswith(b"WARC/1.1") and block.endswith(b"\r\n\r\n") and len(block) - 4 == int(fields["Content-Length"])
+        built[fields["WARC-Record-ID"], fields["WARC-Type"], fields["WARC-Target-URI"]] += 1
         if fields["WARC-Type"] == "response":
-            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block[:-4]).digest()).decode()
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block[:-4]).digest()).decode() and hashlib.sha256(block[:-4]).digest() == bytes(r["sha256"])
+    assert sum(built.values()) == sum(urls.values()) and built["<urn:x-page:3>", "revisit", "u%0A%0Ax"] == 1
+    store = spark.read.parquet(f"{path}/payloads")
+    changed = [(r["sha256"], r["first_page"], r["uses"], b"SAME" if bytes(r["payload"]) == b"same" else bytes(r["payload"])) for r in store.collect() if bytes(r["payload"]) != b"alone"]
+    spark.createDataFrame(changed, store.schema).write.mode("overwrite").parquet(f"{path}/payloads")
+    damaged = warc_archive.read_archive(spark, path).collect()
+    assert Counter((r["page_id"], r["verified"]) for r in damaged) == Counter({(3, False): 1, (1, False): 2, (None, False): 2, (2, True): 1, (5, True): 1, (7, True): 1})
     few = warc_archive.read_archive(spark, warc_archive.write_archive(pages, new_path(spark, "w"), least_bytes=5)).collect()
     assert sum(r["record_type"] == "revisit" for r in few) == 0
     assert warc_archive.read_archive(spark, warc_archive.write_archive(spark.createDataFrame([], PAGES), new_path(spark, "w"))).count() == 0
@@ -300,7 +516,7 @@ def test_sequences(spark):
     assert items[2]["digest"] == "abc" and items[3]["digest"] == hashlib.sha256(b"x.png").hexdigest() and interleaved.parse(None) == []
     pages = spark.createDataFrame([(1, html, "x"), (2, None, "y"), (3, "", "z")], "page_id long, html string, digest string")
     media = spark.createDataFrame([("abc", b"payload")], "digest string, payload binary")
-    got = interleaved.resolve(interleaved.sequences(pages), media, ["page_id"]).orderBy("position").collect()
+    got = interleaved.resolve(interleaved.sequences(pages.drop("digest")), media, ["page_id"]).orderBy("position").collect()
     assert len(got) == 6 and [bytes(r["payload"]) if r["payload"] else None for r in got] == [None, None, b"payload", None, None, None] and got[2]["caption"] == "Cap & tion"
 
 
@@ -311,5 +527,38 @@ def test_media(spark, odd, empty):
         interleaved.png_samples(interleaved.png(interleaved.padded(b"x"))[:-20] + b"y" * 20)
     path = interleaved.store_texts(odd, new_path(spark, "m"))
     media = interleaved.read_media(spark, path).collect()
-    assert len(media) == len({r["text"] or "" for r in odd.collect()}) and all(r["ok"] for r in media)
+    whole = [interleaved.padded((r["text"] or "").encode()) for r in odd.collect()]
+    assert len(media) == len({*whole, *(x[:72] for x in whole)}) and all(r["ok"] for r in media) and sum(r["uses"] for r in media) == 2 * len(whole)
     assert interleaved.read_media(spark, interleaved.store_texts(empty, new_path(spark, "m"))).count() == 0
+
+
+def test_interleaved_texts(odd, empty):
+    """Order, places and captions of whole texts, and features by loops over the samples."""
+    def lines(text):
+        kept = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        shown = lambda part: [" ".join(x.split()) for x in part if x.split()]
+        return shown(kept[: len(kept) // 2]), shown(kept[len(kept) // 2 :])
+
+    got = interleaved.interleave_texts(odd).collect()
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r["doc_id"], r["n_bytes"]), []).append(r)
+    for d in odd.collect():
+        text = d["text"] or ""
+        data = text.encode()
+        r = by_text[d["doc_id"], len(data)][0]
+        before, after = lines(text)
+        assert (r["cover_position"], r["position"], r["n_items"]) == (len(before), len(before) + 1 + len(after), len(before) + len(after) + 2)
+        assert (r["caption"], r["cover_caption"]) == (f"All {len(data)} bytes", f"The beginning of {len(data)} bytes") and r["verified"]
+        assert r["text_sha256"] == hashlib.sha256("\n".join(before + after).encode()).hexdigest()
+        samples = list(interleaved.padded(data))
+        height = len(samples) // 576
+        column = [sum(samples[y * 576 + x] for y in range(height)) / height for x in range(576)]
+        cell = [[sum(column[72 * i + 8 * j : 72 * i + 8 * j + 8]) / 8 for j in range(9)] for i in range(8)]
+        code = sum(1 << (8 * i + j) for i in range(8) for j in range(8) if cell[i][j + 1] > cell[i][j] + 1e-9)
+        mean = sum(samples) / len(samples)
+        deviation = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+        assert r["feature"].startswith(f"rows={height};mean={mean:.4f};std={deviation:.4f};") and r["feature"].endswith(f"dhash={code:016x}")
+        image = interleaved.png(bytes(samples))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+    assert len(got) == odd.count() and interleaved.interleave_texts(empty).count() == 0
