@@ -92,11 +92,10 @@ def discard(*tables: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """The bounds of :func:`written` for a plan that the caller runs: Spark reads them when it runs, so they stay set."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key))
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
