@@ -12,6 +12,8 @@ from .params import DEFAULT, Params
 
 log = logging.getLogger("hoptrace")
 
+# The names of commands and options below are those of the job's usual command line.
+
 
 def _reads(p: argparse.ArgumentParser) -> None:
     p.add_argument("-l", "--left", "--r1", required=True, help="FASTQ file of first mates, or of single reads")
@@ -23,6 +25,10 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--sample", default="sample", help="name of the sample")
 
 
+def _threads(p: argparse.ArgumentParser) -> None:
+    p.add_argument("-c", "--threads", type=int, help="cores to use where no Spark master is given")
+
+
 def _trimming(p: argparse.ArgumentParser) -> None:
     p.add_argument("--len-cut-match", type=int, default=DEFAULT.len_cut_match, help="least aligned bases in the element")
     p.add_argument("--len-cut-trim", type=int, default=DEFAULT.len_cut_trim, help="least bases of a flank")
@@ -38,12 +44,12 @@ def build_parser() -> argparse.ArgumentParser:
     add = lambda name, text: sub.add_parser(name, help=text, formatter_class=argparse.ArgumentDefaultsHelpFormatter)
 
     p = add("trim", "map reads to the element library and trim them")
-    _reads(p), _common(p), _trimming(p)
+    _reads(p), _common(p), _trimming(p), _threads(p)
     p.add_argument("-t", "--te", required=True, help="FASTA of elements")
     p.set_defaults(run=_trim)
 
     p = add("align-genome", "map flanks and recovered mates to the genome")
-    _reads(p), _common(p)
+    _reads(p), _common(p), _threads(p)
     p.add_argument("-g", "--genome", required=True, help="FASTA of the genome")
     p.set_defaults(run=_align)
 
@@ -70,7 +76,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.set_defaults(run=_characterize)
 
     p = add("run", "all steps")
-    _reads(p), _common(p), _trimming(p)
+    _reads(p), _common(p), _trimming(p), _threads(p)
     p.add_argument("-t", "--te", required=True, help="FASTA of elements")
     p.add_argument("-g", "--genome", required=True, help="FASTA of the genome")
     p.add_argument("--repeatmasker", help="RepeatMasker .out file of the genome")
@@ -83,7 +89,9 @@ def _spark(args):
     from pyspark.sql import SparkSession
 
     b = SparkSession.builder.appName("hoptrace").config("spark.sql.session.timeZone", "UTC")
-    return (b.master(args.master) if args.master else b).getOrCreate()
+    threads = getattr(args, "threads", None)
+    master = args.master or (f"local[{threads}]" if threads else None)
+    return (b.master(master) if master else b).getOrCreate()
 
 
 def _library(args):
@@ -114,18 +122,19 @@ def _trim(args) -> None:
     done = trim_step(_library(args).reads(spark), read_fasta(spark, args.te), _params(args))
     sinks.write_trimmed(done.reads, args.outdir, args.sample)
     sinks.write_read_repeat(done.repeat, args.outdir, args.sample)
-    done.reads.write.mode("overwrite").parquet(f"{args.outdir}/flanking/{args.sample}.trimmed.parquet")
 
 
 def _align(args) -> None:
+    from . import sinks
     from .plans.sample import Trimmed, align_step
+    from .sources.library import flanking_reads
     from .sources.text import read_fasta, read_read_repeat
 
     spark = _spark(args)
-    trimmed = Trimmed(spark.read.parquet(f"{args.outdir}/flanking/{args.sample}.trimmed.parquet"), read_read_repeat(spark, f"{args.outdir}/te_containing/{args.sample}.read_repeat_name.txt"))
+    trimmed = Trimmed(flanking_reads(spark, args.outdir, args.sample), read_read_repeat(spark, f"{args.outdir}/te_containing/{args.sample}.read_repeat_name.txt"))
     flanks, full = align_step(_library(args).reads(spark), trimmed, read_fasta(spark, args.genome))
-    flanks.write.mode("overwrite").parquet(f"{args.outdir}/genome_aln/{args.sample}.genome.parquet")
-    full.write.mode("overwrite").parquet(f"{args.outdir}/genome_aln/{args.sample}.fullreads.genome.parquet")
+    sinks.write_alignments(flanks, f"{args.outdir}/genome_aln/{args.sample}.genome.parquet")
+    sinks.write_alignments(full, f"{args.outdir}/genome_aln/{args.sample}.fullreads.genome.parquet")
 
 
 def _find(args) -> None:

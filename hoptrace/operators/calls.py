@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,33 +21,47 @@ TSD_UNKNOWN, TSD_SUPPORT, TSD_SHARED, NO_ELEMENT = "UNK", "supporting_reads", "s
 
 CLUSTER = ("chrom", "cluster_id")
 #: Columns of a call, for all operators that give calls.
-CALL = ("chrom", "cluster_id", "start", "end", "te_name", "strand", "tsd", "left_junction", "right_junction", "left_support", "right_support", "note", "left_names", "right_names")
+CALL = ("chrom", "cluster_id", "start", "end", "te_name", "strand", "tsd", "left_junction", "right_junction", "left_support", "right_support", "note")
 
 
 def breakpoint_counts(junction_reads: DataFrame, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
     return junction_reads.groupBy(*keys, "side", "position").agg(F.count("*").alias("n_reads"))
 
 
-def _pairs(lefts: Column, rights: Column, window: int) -> Column:
-    """Array of (left, right): each left, ascending, takes the nearest right that is left over, the smaller of two; null where none is near."""
-    empty = F.struct(rights.alias("rem"), F.array().cast("array<struct<l:bigint,r:bigint>>").alias("out"))
+def _pairs(events: Column, window: int) -> Column:
+    """Array of (left, right): each left, ascending, takes the nearest right that is left over, the smaller of two; null where none is near.
+
+    ``events``: (at, is_left, place), sorted; a right comes up ``window`` before its place, a left at its own. So a left
+    finds all rights near it among those open, and rights too far behind it are closed: never more than two windows' places are open.
+    """
+    pair = lambda l, r: F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"))
+    none = F.lit(None).cast("long")
+    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<struct<l:bigint,r:bigint>>").alias("out"))
+    lone = lambda rights: F.transform(rights, lambda r: pair(none, r))
 
-    def step(acc: Column, left: Column) -> Column:
-        nearest = F.array_min(F.transform(acc["rem"], lambda r: F.struct(F.abs(r - left).alias("d"), r.alias("r"))))
-        took = F.when(nearest["d"] <= window, nearest["r"])
-        pair = F.struct(left.cast("long").alias("l"), took.cast("long").alias("r"))
-        return F.struct(F.when(took.isNull(), acc["rem"]).otherwise(F.array_remove(acc["rem"], took)).alias("rem"), F.concat(acc["out"], F.array(pair)).alias("out"))
+    def step(acc: Column, e: Column) -> Column:
+        left = e["place"]
+        gone = F.filter(acc["open"], lambda r: r < left - window)
+        near = F.filter(acc["open"], lambda r: r >= left - window)
+        took = F.array_min(F.transform(near, lambda r: F.struct(F.abs(r - left).alias("d"), r.alias("r"))))["r"]
+        done = F.struct(F.when(took.isNull(), near).otherwise(F.array_remove(near, took)).alias("open"), F.concat(acc["out"], lone(gone), F.array(pair(left, took))).alias("out"))
+        return F.when(e["is_left"] == 1, done).otherwise(F.struct(F.concat(acc["open"], F.array(e["place"])).alias("open"), acc["out"].alias("out")))
 
-    lone = lambda acc: F.transform(acc["rem"], lambda r: F.struct(F.lit(None).cast("long").alias("l"), r.cast("long").alias("r")))
-    return F.aggregate(lefts, empty, step, lambda acc: F.concat(acc["out"], lone(acc)))
+    return F.aggregate(events, start, step, lambda acc: F.concat(acc["out"], lone(acc["open"])))
 
 
 def pair_breakpoints(junction_reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
-    """(keys, left_pos, right_pos): the greedy pairing of a cluster's breakpoints. The arrays hold distinct positions of one cluster."""
-    places = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("position")).distinct()
-    on = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("position"))))
-    sides = places.groupBy(*keys).agg(on("left").alias("lefts"), on("right").alias("rights"))
-    pairs = sides.select(*keys, F.explode(_pairs(F.col("lefts"), F.col("rights"), p.pair_window)).alias("x"))
+    """(keys, left_pos, right_pos): the greedy pairing of a cluster's breakpoints.
+
+    Nothing pairs over a gap of more than ``pair_window``, so distinct positions are first cut into islands at such
+    gaps, and each island is paired by itself; a cluster may span a contig.
+    """
+    places = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("gstart"), F.col("position").cast("long").alias("gend")).distinct()
+    islands = clusters(staged(places, "places"), replace(p, range_allowance=p.pair_window), keys, "_island")
+    at = F.when(F.col("side") == "left", F.col("gstart")).otherwise(F.col("gstart") - p.pair_window)
+    event = F.struct(at.alias("at"), (F.col("side") == "left").cast("int").alias("is_left"), F.col("gstart").alias("place"))
+    sides = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    pairs = sides.select(*keys, F.explode(_pairs(F.col("events"), p.pair_window)).alias("x"))
     return pairs.select(*keys, F.col("x.l").alias("left_pos"), F.col("x.r").alias("right_pos"))
 
 
@@ -61,16 +77,14 @@ def strand_vote(side: Column, te_end: Column) -> Column:
 
 
 def call_insertions(junction_reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
-    """One call per breakpoint pair; its support is not counted yet, and its duplication's bases not fetched (dots)."""
+    """One call per breakpoint pair, with its two positions; its support is not counted yet, and its duplication's bases not fetched (dots)."""
     pairs = pair_breakpoints(junction_reads, p, keys)
     ends = pairs.select(*keys, "left_pos", "right_pos", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left_pos").alias("position")), F.struct(F.lit("right").alias("side"), F.col("right_pos").alias("position")))).alias("e"))
     ends = ends.select(*keys, "left_pos", "right_pos", "e.side", "e.position").filter(F.col("position").isNotNull())
-    reads = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("position"), "name", "te_name", "te_end").join(ends, [*keys, "side", "position"])
-    on = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    reads = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("position"), "te_name", "te_end").join(ends, [*keys, "side", "position"])
     called = reads.groupBy(*keys, "left_pos", "right_pos").agg(
-        F.count(on("left", "name")).alias("left_junction"), F.count(on("right", "name")).alias("right_junction"),
+        F.count_if(F.col("side") == "left").alias("left_junction"), F.count_if(F.col("side") == "right").alias("right_junction"),
         family_mode(F.col("te_name")).alias("te_name"), strand_vote(F.col("side"), F.col("te_end")).alias("strand"),
-        F.array_sort(F.collect_list(on("left", "name"))).alias("left_names"), F.array_sort(F.collect_list(on("right", "name"))).alias("right_names"),
     )
     called = called.withColumn("_i", tsd_interval(F.col("left_pos"), F.col("right_pos"), p))
     start, end = F.col("_i.start"), F.col("_i.end")
@@ -78,23 +92,29 @@ def call_insertions(junction_reads: DataFrame, p: Params = DEFAULT, keys: tuple[
     zero = F.lit(0).cast("long")
     return called.select(
         *keys, start.alias("start"), end.alias("end"), "te_name", "strand", tsd.alias("tsd"), "left_junction", "right_junction",
-        zero.alias("left_support"), zero.alias("right_support"), F.lit(NOTE_NONREF).alias("note"), "left_names", "right_names",
+        zero.alias("left_support"), zero.alias("right_support"), F.lit(NOTE_NONREF).alias("note"), "left_pos", "right_pos",
     )
 
 
-def count_support(calls: DataFrame, support_reads: DataFrame, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
+def count_support(calls: DataFrame, support_reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
     """Supporting reads of a call's cluster: forward ones that end at or before its start, reverse ones that start at or behind its end.
 
-    Reads and calls are merged along the cluster and summed in one run each way, so they are never paired.
+    Reads and calls are merged along the cluster and summed in one run each way, so they are never paired. The runs are
+    cut into bins, over which the sums are carried, as a cluster may span a contig.
     """
     borders = calls.select(*keys, "start", "end").distinct()
 
     def along(strand: str, at: str, border: str, ascending: bool) -> DataFrame:
         reads = support_reads.filter(F.col("strand") == strand).select(*keys, F.col(at).cast("long").alias("p"), F.lit(0).alias("call"), F.lit(1).alias("w"))
         ends = borders.select(*keys, F.col(border).cast("long").alias("p")).distinct().select(*keys, "p", F.lit(1).alias("call"), F.lit(0).alias("w"))
-        order = [F.col("p") if ascending else F.desc("p"), F.col("call")]
-        run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return reads.unionByName(ends).withColumn("n", F.sum("w").over(run)).filter(F.col("call") == 1).select(*keys, F.col("p").alias(border), "n")
+        # equal positions count once with their number, so that a run has a row a place
+        both = reads.groupBy(*keys, "p", "call").agg(F.sum("w").alias("w")).unionByName(ends).withColumn("_bin", F.floor(F.col("p") / p.cluster_bin))
+        way = lambda c: F.col(c) if ascending else F.desc(c)
+        earlier = Window.partitionBy(*keys).orderBy(way("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+        before = both.groupBy(*keys, "_bin").agg(F.sum("w").alias("_sum")).select(*keys, "_bin", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        run = Window.partitionBy(*keys, "_bin").orderBy(way("p"), "call").rowsBetween(Window.unboundedPreceding, 0)
+        summed = both.join(before, [*keys, "_bin"]).withColumn("n", F.col("_before") + F.sum("w").over(run))
+        return summed.filter(F.col("call") == 1).select(*keys, F.col("p").alias(border), "n")
 
     left, right = along("+", "gend", "start", True).withColumnRenamed("n", "_l"), along("-", "gstart", "end", False).withColumnRenamed("n", "_r")
     counted = calls.join(left, [*keys, "start"], "left").join(right, [*keys, "end"], "left")
@@ -109,10 +129,10 @@ def support_only_calls(support_reads: DataFrame, p: Params = DEFAULT, keys: tupl
         F.count_if(ahead).alias("left_support"), F.count_if(behind).alias("right_support"),
     )
     good = sides.filter((F.col("left_support") >= p.min_support_only) & (F.col("right_support") >= p.min_support_only) & (F.col("start") <= F.col("end")))
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    zero = F.lit(0).cast("long")
     return good.select(
         *keys, "start", "end", F.lit(NO_ELEMENT).alias("te_name"), F.lit("+").alias("strand"), F.lit(TSD_SUPPORT).alias("tsd"), zero.alias("left_junction"), zero.alias("right_junction"),
-        "left_support", "right_support", F.lit(NOTE_SUPPORT).alias("note"), none.alias("left_names"), none.alias("right_names"),
+        "left_support", "right_support", F.lit(NOTE_SUPPORT).alias("note"),
     )
 
 
@@ -120,20 +140,24 @@ def required_junctions(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return calls.filter((F.col("left_junction") >= p.required_junction_reads) | (F.col("right_junction") >= p.required_junction_reads))
 
 
-def false_junctions(calls: DataFrame, fullreads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
+def false_junctions(calls: DataFrame, junction_reads: DataFrame, fullreads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
     """Calls of whose reads at least ``false_fraction`` on both sides map through the breakpoint untrimmed.
 
-    ``fullreads``: read_name, chrom, gstart, gend. Left reads are probed at the call's end, right ones at its start.
+    ``calls`` have the positions of their pair. ``junction_reads``: keys, side, position, name. ``fullreads``: read_name,
+    chrom, gstart, gend. Left reads are probed at the call's end, right ones at its start. Reads meet their call by its
+    breakpoints and their full alignments by name, one row each; no call gathers its reads.
     """
     own = [k for k in keys if k != "cluster_id"]
     ids = [*keys, "start", "end", "te_name", "strand"]
-    probes = lambda names, at, side: calls.select(*ids, F.lit(side).alias("side"), F.col(at).alias("bp"), F.posexplode(names).alias("pos", "tagged"))
-    reads = probes("left_names", "end", "left").unionByName(probes("right_names", "start", "right")).withColumn("read_name", strip_junction_tag(F.col("tagged")))
+    side = lambda s, at, bp: F.struct(F.lit(s).alias("side"), F.col(at).alias("position"), F.col(bp).alias("bp"))
+    ends = calls.select(*ids, F.inline(F.array(side("left", "left_pos", "end"), side("right", "right_pos", "start")))).filter(F.col("position").isNotNull())
+    reads = junction_reads.groupBy(*keys, "side", F.col("position").cast("long").alias("position"), strip_junction_tag(F.col("name")).alias("read_name"), "name").agg(F.count("*").alias("n"))
+    probes = reads.join(ends, [*keys, "side", "position"])
     spans = fullreads.select(*own, "read_name", F.col("gstart").alias("s"), F.col("gend").alias("e"))
     wide = (F.col("s") <= F.col("bp") - p.fullread_extend) & (F.col("e") >= F.col("bp") + p.fullread_extend)
-    hit = reads.join(spans, [*own, "read_name"], "left").groupBy(*ids, "side", "pos").agg(F.max(F.coalesce(wide, F.lit(False)).cast("int")).alias("hit"))
-    total = lambda s: F.count_if(F.col("side") == s)
-    hits = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("hit"))), F.lit(0))
+    hit = probes.join(spans, [*own, "read_name"], "left").groupBy(*ids, "side", "name", "n").agg(F.max(F.coalesce(wide, F.lit(False)).cast("int")).alias("hit"))
+    total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0))
+    hits = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n") * F.col("hit"))), F.lit(0))
     judged = hit.groupBy(*ids).agg(*[f(s).alias(f"{n}_{s}") for s in ("left", "right") for n, f in (("n", total), ("h", hits))])
     bad = F.lit(True)
     for s in ("left", "right"):
@@ -141,10 +165,10 @@ def false_junctions(calls: DataFrame, fullreads: DataFrame, p: Params = DEFAULT,
     return judged.filter(bad).select(*ids)
 
 
-def drop_false_junctions(calls: DataFrame, fullreads: DataFrame | None, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
+def drop_false_junctions(calls: DataFrame, junction_reads: DataFrame, fullreads: DataFrame | None, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
     if fullreads is None:
         return calls
-    return calls.join(false_junctions(calls, fullreads, p, keys), [*keys, "start", "end", "te_name", "strand"], "left_anti")
+    return calls.join(false_junctions(calls, junction_reads, fullreads, p, keys), [*keys, "start", "end", "te_name", "strand"], "left_anti")
 
 
 def genome_tiles(genome: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -178,10 +202,11 @@ def find_insertions(
     if repeat is not None:
         junction_reads = te_family(junction_reads, repeat, (*[k for k in keys if k != "chrom"], "name"))
     sustained = support(grouped)
-    called = staged(required_junctions(call_insertions(staged(junction_reads, "junctions"), p, cluster), p), "calls")
+    junction_reads = staged(junction_reads, "junctions")
+    called = staged(required_junctions(call_insertions(junction_reads, p, cluster), p), "calls")
     if fullreads is not None:
-        called = staged(drop_false_junctions(called, fullreads, p, cluster), "true-calls")
-    called = count_support(called, sustained, cluster)
+        called = staged(drop_false_junctions(called, junction_reads, fullreads, p, cluster), "true-calls")
+    called = count_support(called.drop("left_pos", "right_pos"), sustained, p, cluster)
     if tiles is not None:
         called = fetch_tsd(called, tiles, p)
     called = staged(called, "supported")

@@ -14,8 +14,8 @@ from ..functions import junction_info
 from ..params import DEFAULT, Params
 
 
-def clusters(reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """``reads`` with ``cluster_id``, counted from 1 along each contig by (gstart, gend)."""
+def clusters(reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ("chrom",), name: str = "cluster_id") -> DataFrame:
+    """``reads`` with ``name``, the cluster's number, counted from 1 along each contig by (gstart, gend)."""
     rows = reads.withColumn("_bin", F.floor(F.col("gstart") / p.cluster_bin))
     per_bin = rows.groupBy(*keys, "_bin").agg(F.max("gend").alias("_max"))
     earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,7 +28,7 @@ def clusters(reads: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ("ch
     begun = rows.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_begun"))
     before = begun.select(*keys, "_bin", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)).alias("_before"))
     inner = F.sum("_new").over(Window.partitionBy(*keys, "_bin").orderBy("gstart", "gend", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(before, [*keys, "_bin"]).withColumn("cluster_id", (F.col("_before") + inner).cast("long")).drop("_bin", "_carried", "_new", "_before")
+    return rows.join(before, [*keys, "_bin"]).withColumn(name, (F.col("_before") + inner).cast("long")).drop("_bin", "_carried", "_new", "_before")
 
 
 def junctions(clustered: DataFrame) -> DataFrame:

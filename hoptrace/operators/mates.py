@@ -25,6 +25,7 @@ def support_mates(repeat: DataFrame, reads: DataFrame, keys: tuple[str, ...] = (
 
 
 def junction_fullreads(repeat: DataFrame, reads: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The untrimmed reads of junction reads; middle reads are not wanted."""
-    wanted = repeat.filter(is_junction(F.col("name"))).select(*keys, strip_tag(F.col("name")).alias("name")).distinct()
+    """The untrimmed reads of junction reads; middle reads are not wanted, nor names without /1 or /2."""
+    name = strip_tag(F.col("name"))
+    wanted = repeat.filter(is_junction(F.col("name")) & (split_mate(name)["mate"] != "")).select(*keys, name.alias("name")).distinct()
     return reads.join(wanted, [*keys, "name"], "left_semi")

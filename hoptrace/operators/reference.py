@@ -49,12 +49,11 @@ def shared_insertions(matched: DataFrame, keys: tuple[str, ...] = CLUSTER) -> Da
     """One call per cluster and matched element, placed and named as the element is."""
     places = matched.groupBy(*keys, F.col("ref_te_start").alias("start"), F.col("ref_te_end").alias("end")).agg(
         F.min_by(F.struct("ref_te_name", "ref_strand"), "ref_ord").alias("te"), F.count_if(F.col("side") == "left").alias("left_junction"), F.count_if(F.col("side") == "right").alias("right_junction"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == "left", F.col("name")))).alias("left_names"), F.array_sort(F.collect_list(F.when(F.col("side") == "right", F.col("name")))).alias("right_names"),
     )
     zero = F.lit(0).cast("long")
     return places.select(
         *keys, "start", "end", F.col("te.ref_te_name").alias("te_name"), F.col("te.ref_strand").alias("strand"), F.lit(TSD_SHARED).alias("tsd"), "left_junction", "right_junction",
-        zero.alias("left_support"), zero.alias("right_support"), F.lit(NOTE_SHARED).alias("note"), "left_names", "right_names",
+        zero.alias("left_support"), zero.alias("right_support"), F.lit(NOTE_SHARED).alias("note"),
     )
 
 

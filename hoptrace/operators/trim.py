@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import boundary_score, match_counts, reference_span, trim_read
 from ..functions.alignment import cigar_length
 from ..params import DEFAULT, Params
+from ..staging import staged
 
 
 def carry_query_length(alignments: DataFrame, within: list[str], order: list[str], length: str = "qlen") -> DataFrame:
     """``alignments`` with ``carried``: the own length, or for a record without sequence the last one seen before it (0 at first).
 
-    Records are ordered inside each ``within`` group, as they stand in one file.
+    Records are ordered inside each ``within`` group, as they stand in one file. Groups may be as large as the file, so
+    the order is cut into ranges: the last length of each range is carried over the (few) ranges behind it, and inside
+    a range from record to record.
     """
-    seen = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return alignments.withColumn("carried", F.coalesce(F.last(F.nullif(F.col(length), F.lit(0)), ignorenulls=True).over(seen), F.lit(0)))
+    # the range's number is written, hence stable when a task runs again
+    ranged = staged(alignments.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = F.nullif(F.col(length), F.lit(0))
+    lasts = ranged.groupBy(*within, "_range").agg(F.max_by(own, F.when(own.isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select(*within, "_range", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    seen = Window.partitionBy(*within, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.join(before, [*within, "_range"])
+    return rows.withColumn("carried", F.coalesce(F.last(own, ignorenulls=True).over(seen), "_before", F.lit(0))).drop("_range", "_before")
 
 
 def element_alignments(records: DataFrame, within: list[str]) -> DataFrame:

@@ -6,7 +6,37 @@ import re
 
 from .fixtures import DERIVED, sql
 
+def _read_seeds(k: int) -> str:
+    """Seeds of both strands, every third place; k-mers that repeat up to three bases are left out."""
+    same = " OR ".join(f"kmer[{p + 1}:] = kmer[:{k - p}]" for p in (1, 2, 3))
+    return f"""SELECT * FROM (SELECT id, strand, q, upper(s[q + 1:q + {k}]) AS kmer FROM (SELECT *, unnest(range(0, len(s) - {k} + 1, 3)) AS q FROM
+        (SELECT id, '+' AS strand, s FROM stretches UNION ALL SELECT id, '-' AS strand, reverse(translate(s, 'ACGTNacgtn', 'TGCANtgcan')) AS s FROM stretches))) WHERE NOT ({same})"""
+
+
+def _library_seeds(k: int) -> str:
+    return f"SELECT ref_name, r, upper(seq[r + 1:r + {k}]) AS kmer FROM (SELECT concat('d', doc_id) AS ref_name, seq, unnest(range(0, len(seq) - {k} + 1)) AS r FROM genome)"
+
+
+def _votes(own: str, index: str, weight: int) -> str:
+    return f"SELECT id, strand, ref_name, r - q AS diagonal, {weight} * count(*) AS seeds FROM {own} JOIN {index} USING (kmer) GROUP BY id, strand, ref_name, r - q HAVING count(*) >= 2"
+
+
 STEPS = {
+    "stretches": """
+        SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN x ELSE reverse(translate(x, 'ACGTNacgtn', 'TGCANtgcan')) END AS s FROM (SELECT doc_id, substring(seq, 1 + doc_id % 40, 100) AS x FROM genome)""",
+    "short_own": _read_seeds(13),
+    "short_index": _library_seeds(13),
+    "long_own": _read_seeds(26),
+    "long_index": _library_seeds(26),
+    "frequent": "SELECT kmer FROM short_index GROUP BY kmer HAVING count(*) > 20",
+    "rare_own": "SELECT * FROM short_own WHERE kmer NOT IN (SELECT kmer FROM frequent)",
+    "rare_votes": _votes("rare_own", "short_index", 1),
+    "repeated": """
+        SELECT id FROM (SELECT id, max(n) AS n FROM (SELECT id, strand, count(*) AS n FROM short_own WHERE kmer IN (SELECT kmer FROM frequent) GROUP BY id, strand) GROUP BY id)
+        LEFT JOIN (SELECT id, max(seeds) AS seeds FROM rare_votes GROUP BY id) USING (id) WHERE n > coalesce(seeds, 0)""",
+    "again_own": "SELECT * FROM long_own WHERE id IN (SELECT id FROM repeated)",
+    "long_votes": _votes("again_own", "long_index", 2),
+    "all_votes": "SELECT id, strand, ref_name, diagonal, max(seeds) AS seeds FROM (SELECT * FROM rare_votes UNION ALL SELECT * FROM long_votes) GROUP BY id, strand, ref_name, diagonal",
     "clustered": """
         SELECT *, CAST(sum(nw) OVER (PARTITION BY chrom ORDER BY gstart, gend, nw DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster_id
         FROM (SELECT *, CASE WHEN hi IS NULL OR gstart > hi + 1000 THEN 1 ELSE 0 END AS nw FROM
@@ -141,7 +171,8 @@ SELECTS = {
     "evaluate_calls": """SELECT (SELECT count(*) FROM ref_te) AS n_truth, (SELECT count(*) FROM found) AS n_calls,
         (SELECT count(*) FROM ref_te t WHERE EXISTS (SELECT 1 FROM found f WHERE f.chrom = t.chrom AND t.te_start - 10 <= f."end" AND t.te_start + 1 + 10 >= f.start)) AS recovered,
         (SELECT count(*) FROM found f WHERE EXISTS (SELECT 1 FROM ref_te t WHERE f.chrom = t.chrom AND f.start - 10 <= t.te_start + 1 AND f."end" + 10 >= t.te_start)) AS true_calls""",
-    "seed_join": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "seed_join": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''",
+    "seed_candidates": """SELECT id, strand, ref_name, CAST(diagonal AS BIGINT) AS diagonal, CAST(seeds AS BIGINT) AS seeds FROM all_votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY seeds DESC, ref_name, diagonal, strand) = 1""",
 }
 
 

@@ -203,7 +203,7 @@ def call_insertions(r: Relations) -> DataFrame:
 @query
 def count_support(r: Relations) -> DataFrame:
     grouped = staged(cluster.clusters(r.genome_aln), "clustered")
-    called = staged(calls.call_insertions(cluster.junctions(grouped)), "calls")
+    called = staged(calls.call_insertions(staged(cluster.junctions(grouped), "junctions")), "calls")
     return calls.count_support(called, cluster.support(grouped)).select("chrom", "cluster_id", "start", "end", "left_junction", "right_junction", "left_support", "right_support")
 
 
@@ -219,7 +219,8 @@ def required_junction_filter(r: Relations) -> DataFrame:
 
 @query
 def false_junction(r: Relations) -> DataFrame:
-    return calls.false_junctions(staged(calls.call_insertions(_junctions(r)), "calls"), r.fullreads).select("chrom", "cluster_id", "start", "end", "te_name", "strand")
+    reads = _junctions(r)
+    return calls.false_junctions(staged(calls.call_insertions(reads), "calls"), reads, r.fullreads).select("chrom", "cluster_id", "start", "end", "te_name", "strand")
 
 
 @query
@@ -290,4 +291,13 @@ def seed_join(r: Relations) -> DataFrame:
     return found.select(c("read_id").alias("doc_id"), c("ref_id").alias("item_id"))
 
 
+@query
+def seed_candidates(r: Relations) -> DataFrame:
+    """The diagonal with most votes of a stretch of each text's letters, every other one reversed, among all texts' letters."""
+    stretch = F.substr("seq", (1 + c("doc_id") % 40).cast("int"), F.lit(100))
+    reads = r.genome.select(c("doc_id").alias("id"), F.when(c("doc_id") % 2 == 0, stretch).otherwise(H.reverse_complement(stretch)).alias("seq"))
+    library = r.genome.select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("ref_name"), F.lit(0).cast("long").alias("offset"), "seq")
+    return align.seed_candidates(reads, library, k=13, step=3, most_seed_hits=20, least_seeds=2, keep=1)
+
+
 QUERIES["genotype"] = QUERIES.pop("genotype_calls")

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__, sinks
@@ -19,7 +19,7 @@ from ..params import DEFAULT, Params
 from ..sources.library import ReadLibrary
 from ..sources.sam import genome_reads
 from ..sources.text import read_fasta, read_repeatmasker
-from ..staging import staged
+from ..staging import scratch, staged
 
 log = logging.getLogger("hoptrace")
 
@@ -32,6 +32,19 @@ def provenance(spark: SparkSession, **inputs: str) -> dict[str, str]:
     return found
 
 
+#: Counters of the last run of each step, by the step's name.
+COUNTERS: dict[str, dict[str, int]] = {}
+
+
+def counted(df: DataFrame, name: str, **counters: Column) -> DataFrame:
+    """``df`` staged, with counters taken while it is written; they are logged and kept in ``COUNTERS``."""
+    seen = Observation(name)
+    out = staged(df.observe(seen, *[c.alias(k) for k, c in counters.items()]), name)
+    COUNTERS[name] = dict(seen.get)
+    log.info("%s: %s", name, ", ".join(f"{v} {k.replace('_', ' ')}" for k, v in COUNTERS[name].items()))
+    return out
+
+
 @dataclass
 class Trimmed:
     reads: DataFrame  # name, seq, qual, te_name, strand, junction_type, te_portion, direction
@@ -45,16 +58,20 @@ def trim_step(reads: DataFrame, library: DataFrame, p: Params = DEFAULT) -> Trim
     parts = []
     for direction in (1, 2):
         own = reads.filter(F.col("mate") == direction).select("id", "name", "seq", "qual")
-        parts.append(align.align(own, library, k=11, step=2, secondary=4).withColumn("direction", F.lit(direction)))
+        parts.append(align.align(own, library, k=11, step=2, secondary=4, tried=20).withColumn("direction", F.lit(direction)))
     mapped = staged(parts[0].unionByName(parts[1]), "te-alignments")
     best = trim.best_alignment(trim.element_alignments(mapped, ["direction"]), ["direction", "read_name"])
-    trimmed = staged(trim.trimmed_reads(best, p, ("direction",)), "trimmed")
+    kinds = {k: F.count_if(F.col("junction_type") == v) for k, v in (("five_prime", "5"), ("three_prime", "3"))}
+    trimmed = counted(trim.trimmed_reads(best, p, ("direction",)), "trimmed", reads=F.count("*"), **kinds)
     repeat = staged(trim.read_repeat(trimmed, ["direction", "name"]), "read-repeat")
     return Trimmed(trimmed, repeat)
 
 
 def align_step(reads: DataFrame, trimmed: Trimmed, genome: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(alignments of flanks and recovered mates, alignments of full junction reads), canonical columns."""
+    """(alignments of flanks and recovered mates, alignments of full junction reads), canonical columns.
+
+    Of ``trimmed.reads`` the names, sequences, qualities and directions are used.
+    """
     paired = not reads.filter(F.col("mate") == 2).isEmpty()
     own = trimmed.reads.select(F.xxhash64("direction", "name").alias("id"), "name", "seq", "qual")
     if paired:
@@ -67,7 +84,8 @@ def align_step(reads: DataFrame, trimmed: Trimmed, genome: DataFrame, p: Params
 def call_step(flanks: DataFrame, repeat: DataFrame, genome: DataFrame, full: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     spans = None if full is None else genome_reads(full).select(F.col("name").alias("read_name"), "chrom", "gstart", "gend")
     tiles = calls.genome_tiles(genome.select(F.col("ref_name").alias("chrom"), "seq"), p)
-    return staged(calls.find_insertions(genome_reads(flanks), repeat, spans, tiles, p), "insertions")
+    lone = F.count_if(F.col("tsd") == calls.TSD_SUPPORT)
+    return counted(calls.find_insertions(genome_reads(flanks), repeat, spans, tiles, p), "insertions", calls=F.count("*"), by_junctions=F.count("*") - lone, by_support_only=lone)
 
 
 def reference_step(flanks: DataFrame, repeat: DataFrame, elements: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -75,18 +93,26 @@ def reference_step(flanks: DataFrame, repeat: DataFrame, elements: DataFrame, p:
     from ..operators.cluster import clusters, junctions
 
     rows = mates.te_family(junctions(staged(clusters(genome_reads(flanks), p), "clustered")), repeat)
-    return staged(reference.shared_insertions(reference.match_reference(rows, elements, p)), "shared")
+    return counted(reference.shared_insertions(reference.match_reference(rows, elements, p)), "shared", calls=F.count("*"))
 
 
 def genotype_step(found: DataFrame, reads: DataFrame, genome: DataFrame, p: Params = DEFAULT) -> DataFrame:
     whole = align.align(reads.select("id", "name", "seq", "qual"), genome, k=15, step=7, tile=p.tile)
-    return staged(genotype.genotype(found, genome_reads(staged(whole, "read-alignments")), p), "genotypes")
+    return counted(genotype.genotype(found, genome_reads(staged(whole, "read-alignments")), p), "genotypes", two_sided=F.count("*"))
 
 
 def run_sample(
     spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None = None, with_genotype: bool = False, p: Params = DEFAULT,
 ) -> str:
-    """Run every step for one sample and write its results; gives the path of the calls' GFF."""
+    """Run every step for one sample and write its results; gives the path of the calls' GFF.
+
+    What the steps stage is deleted at the end.
+    """
+    with scratch(spark):
+        return _run_sample(spark, reads, te_library, genome, outdir, repeatmasker, with_genotype, p)
+
+
+def _run_sample(spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None, with_genotype: bool, p: Params) -> str:
     began, s = time.monotonic(), reads.name
     provenance(spark, te_library=te_library, genome=genome, sample=s)
     library, contigs = staged(read_fasta(spark, te_library), "library"), staged(read_fasta(spark, genome), "contigs")
@@ -97,8 +123,8 @@ def run_sample(
     sinks.write_read_repeat(trimmed.repeat, outdir, s)
     log.info("aligning flanks of %s", s)
     flanks, full = align_step(rows, trimmed, contigs, p)
-    flanks.write.mode("overwrite").parquet(f"{outdir}/genome_aln/{s}.genome.parquet")
-    full.write.mode("overwrite").parquet(f"{outdir}/genome_aln/{s}.fullreads.genome.parquet")
+    sinks.write_alignments(flanks, f"{outdir}/genome_aln/{s}.genome.parquet")
+    sinks.write_alignments(full, f"{outdir}/genome_aln/{s}.fullreads.genome.parquet")
     log.info("calling insertions of %s", s)
     found = call_step(flanks, trimmed.repeat, contigs, full, p)
     if repeatmasker:

@@ -69,11 +69,12 @@ def write_genotypes(calls: DataFrame, gff: str, txt: str, sample: str, single: b
 
 def write_trimmed(trimmed: DataFrame, outdir: str, sample: str) -> None:
     """Flanks as FASTQ per direction, element portions as FASTA per end, and the read-repeat table."""
-    directions = {1: "left", 2: "right"}
-    for number, direction in directions.items():
+    from ..sources.library import flanking_path
+
+    for number in (1, 2):
         own = trimmed.filter(F.col("direction") == number)
         if not own.isEmpty():
-            own.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.mode("overwrite").text(f"{outdir}/flanking/{sample}.{direction}.flankingReads.fq")
+            own.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.mode("overwrite").text(flanking_path(outdir, sample, number))
     for kind, label in (("5", "five_prime"), ("3", "three_prime")):
         own = trimmed.filter((F.col("junction_type") == kind) & (F.coalesce("te_portion", F.lit("")) != ""))
         own.select(F.concat(F.lit(">"), "name", F.lit("\n"), "te_portion").alias("value")).write.mode("overwrite").text(f"{outdir}/te_portions/{sample}.{label}.fa")
@@ -83,6 +84,12 @@ def write_read_repeat(repeat: DataFrame, outdir: str, sample: str) -> None:
     repeat.select(F.concat_ws("\t", "name", "te_name", "strand").alias("value")).write.mode("overwrite").text(f"{outdir}/te_containing/{sample}.read_repeat_name.txt")
 
 
+def write_alignments(rows: DataFrame, path: str) -> None:
+    """Canonical alignments as Parquet in order of contig and place, files by range: a region is read from few of them."""
+    order = ["ref_index", "ref_start", "ordinal"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def sam_line() -> Column:
     """A canonical record as SAM text; mate fields are not kept."""
     return F.concat_ws("\t", "name", _text("flag"), F.coalesce("ref_name", F.lit("*")), _text(F.coalesce(F.col("ref_start") + 1, F.lit(0))), F.lit("60"), F.coalesce("cigar", F.lit("*")), F.lit("*"), F.lit("0"), F.lit("0"),

@@ -4,20 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: ContextVar[str | None] = ContextVar("own_folder", default=None)
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
-    Only where that is not set, as in local tests, is a local folder made.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where that is not set, a local folder is made in local mode, as in tests; on a cluster it is an error, as executors
+    would write to their own disks.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.hoptrace.stage.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.hoptrace.stage.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """All that is staged inside the block goes to a folder of its own, which is deleted at its end."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _OWN.set(path)
+    try:
+        yield path
+    finally:
+        _OWN.reset(token)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{_OWN.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

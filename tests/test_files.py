@@ -3,12 +3,14 @@
 import gzip
 import subprocess
 import sys
+from pathlib import Path
 
 import pytest
 
 from hoptrace import cli, sinks
 from hoptrace.operators.reference import existing_bed
 from hoptrace.sources import sam, text
+from hoptrace.sources.library import flanking_reads
 from conftest import ROOT
 
 
@@ -114,3 +116,37 @@ def test_without_optional_part():
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
     for p in (ROOT / "hoptrace").rglob("*.py"):
         assert "llm" in p.parts or "hoptrace.llm" not in p.read_text()
+
+
+def test_flanking_files(spark, tmp_path):
+    """Flanking reads come back from their files; without any the step says so."""
+    with pytest.raises(FileNotFoundError):
+        flanking_reads(spark, str(tmp_path), "s")
+    rows = [("a/1:end:5", "ACGT", "IIII", "T", "+", "5", "GG", 1), ("b/2:start:3", "AC", "II", "T", "+", "3", "", 2)]
+    sinks.write_trimmed(spark.createDataFrame(rows, "name string, seq string, qual string, te_name string, strand string, junction_type string, te_portion string, direction int"), str(tmp_path), "s")
+    assert sorted(map(tuple, flanking_reads(spark, str(tmp_path), "s").collect())) == [("a/1:end:5", "ACGT", "IIII", 1), ("b/2:start:3", "AC", "II", 2)]
+    assert cli.main(["align-genome", "-l", "x", "-g", "y", "-o", str(tmp_path / "none"), "-c", "2"]) == 1
+
+
+def test_sorted_alignments(spark, tmp_path):
+    """Alignments are written by contig and place, and a region's filter reaches the files."""
+    rows = [(i, f"r{i}", i % 3, (i * 37) % 1000) for i in range(500)]
+    sinks.write_alignments(spark.createDataFrame(rows, "ordinal long, name string, ref_index int, ref_start int").repartition(4), str(tmp_path / "a.parquet"))
+    seen = []
+    for part in sorted((tmp_path / "a.parquet").glob("part-*")):
+        seen += [(r["ref_index"], r["ref_start"]) for r in spark.read.parquet(str(part)).collect()]
+    assert seen == sorted((r[2], r[3]) for r in rows)
+    plan = spark.read.parquet(str(tmp_path / "a.parquet")).filter("ref_index = 1 and ref_start between 100 and 200")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ref_index,1)" in plan and "GreaterThanOrEqual(ref_start," in plan
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    """What a run stages is gone at its end; on a cluster a missing shared folder is an error."""
+    from hoptrace import staging
+
+    with staging.scratch(spark) as own:
+        assert staging.staged(spark.range(3), "x").count() == 3 and Path(own.removeprefix("file:")).exists()
+    assert not Path(own.removeprefix("file:")).exists()
+    none = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d: None)}), "sparkContext": type("X", (), {"master": "spark://host:7077"})})
+    with pytest.raises(ValueError):
+        staging.shared_folder(none)

@@ -45,6 +45,7 @@ def test_pairs_equal_the_loop(spark):
     rng, rows, expected = random.Random(6), [], {}
     cases = [([100], [98]), ([100], [500]), ([100, 5000], [98, 4998]), ([100], [90, 110])]
     cases += [(rng.sample(range(400), rng.randrange(6)), rng.sample(range(400), rng.randrange(1, 6))) for _ in range(60)]
+    cases += [(rng.sample(range(4000), 300), rng.sample(range(4000), 300)), (rng.sample(range(2_000_000), 400), rng.sample(range(2_000_000), 400)), ([0, 100], [100, 200, 201])]
     for k, (a, b) in enumerate(cases):
         rows += [("c", k, s, x) for s, xs in (("left", a), ("right", b)) for x in xs]
         expected[k] = paired(a, b)
@@ -62,3 +63,20 @@ def test_overlap_joins(spark):
     hit = sorted(x for x in a if any(x[1] - 7 <= y[2] and x[2] + 7 >= y[1] for y in b))
     assert sorted(map(tuple, rangejoin.overlapping(left, right, ["chrom"], 7, 500, "left_semi").collect())) == hit
     assert rangejoin.overlapping(left, right, ["chrom"], 7, 500, "left_anti").count() == len(a) - len(hit)
+
+
+def test_session_clusters_of_a_stream(spark, tmp_path):
+    """Reads that come in files, in order of place, give the clusters of the whole table; the last ones close with the watermark."""
+    rng = random.Random(11)
+    rows = sorted((c, "+-"[rng.randrange(2)], s, s + rng.randrange(30, 200)) for c in ("c", "d") for s in (rng.randrange(200_000) for _ in range(150)))
+    rows.sort(key=lambda r: r[2])
+    schema = "chrom string, strand string, gstart long, gend long"
+    whole = spark.createDataFrame(rows, schema)
+    for k in range(0, len(rows), 60):
+        spark.createDataFrame(rows[k : k + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("end", "+", 10_000_000, 10_000_100)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = session_clusters(stream, lateness=250_000).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    got = sorted(map(tuple, spark.table("sessions").collect()))
+    assert got == sorted(map(tuple, session_clusters(whole).collect())) and len(got) > 20

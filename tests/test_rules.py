@@ -120,11 +120,12 @@ def test_fallback_after_filter(spark):
 
 def test_false_fraction(spark):
     """Exactly three tenths of the reads on both sides are enough."""
-    call = [("c", 1, 100, 102, "T", "+", [f"l{i}:end:5" for i in range(10)], [f"r{i}:start:3" for i in range(10)])]
-    made = spark.createDataFrame(call, "chrom string, cluster_id long, start long, end long, te_name string, strand string, left_names array<string>, right_names array<string>")
+    made = spark.createDataFrame([("c", 1, 100, 102, "T", "+", 102, 100)], "chrom string, cluster_id long, start long, end long, te_name string, strand string, left_pos long, right_pos long")
+    names = [("left", 102, "l{}:end:5"), ("right", 100, "r{}:start:3")]
+    reads = spark.createDataFrame([("c", 1, side, at, name.format(i)) for side, at, name in names for i in range(10)], "chrom string, cluster_id long, side string, position long, name string")
     full = lambda n: spark.createDataFrame([(f"{s}{i}", "c", 90, 112) for s in "lr" for i in range(n)], "read_name string, chrom string, gstart long, gend long")
-    assert calls.false_junctions(made, full(3)).count() == 1 and calls.false_junctions(made, full(2)).count() == 0
-    assert calls.false_junctions(made, full(3).filter("read_name like 'l%'")).count() == 0
+    assert calls.false_junctions(made, reads, full(3)).count() == 1 and calls.false_junctions(made, reads, full(2)).count() == 0
+    assert calls.false_junctions(made, reads, full(3).filter("read_name like 'l%'")).count() == 0
 
 
 def test_mates(spark):
@@ -132,6 +133,7 @@ def test_mates(spark):
     reads = spark.createDataFrame([(f"p{i}/{m}",) for i in (1, 2, 3) for m in (1, 2)], "name string")
     assert [r["name"] for r in mates.support_mates(repeat, reads).collect()] == ["p1/2"]
     assert sorted(r["name"] for r in mates.junction_fullreads(repeat, reads).collect()) == ["p1/1", "p2/1"]
+    assert mates.junction_fullreads(repeat, reads.unionByName(spark.createDataFrame([("odd",)], "name string"))).filter("name = 'odd'").count() == 0
     named = mates.te_family(spark.createDataFrame([("p1/1:end:5",), ("x:end:5",)], "name string"), repeat)
     assert {r["name"]: r["te_name"] for r in named.collect()} == {"p1/1:end:5": "T", "x:end:5": "NA"}
 

@@ -3,7 +3,7 @@
 import pytest
 
 from hoptrace.operators.genotype import evaluate
-from hoptrace.plans.sample import run_sample, run_samples
+from hoptrace.plans.sample import COUNTERS, run_sample, run_samples
 from hoptrace.sources.library import ReadLibrary
 from hoptrace.sources.text import read_insertions
 
@@ -21,6 +21,7 @@ def test_recall_and_precision(spark, world):
     reads = ReadLibrary((str(folder / "r1.fq"), str(folder / "r2.fq")), "s1")
     gff = run_sample(spark, reads, str(folder / "te.fa"), str(folder / "genome.fa"), str(folder / "out"), with_genotype=True)
     found = read_insertions(spark, gff)
+    assert COUNTERS["insertions"]["calls"] == found.count() == sum(COUNTERS["insertions"][k] for k in ("by_junctions", "by_support_only")) and COUNTERS["trimmed"]["reads"] > 0
     known = spark.createDataFrame([(c, s, e) for c, s, e, _ in truth], "chrom string, start long, end long")
     r = evaluate(found, known).first()
     assert r["recovered"] >= 0.75 * len(truth) and r["true_calls"] >= 0.85 * r["n_calls"], r
