@@ -29,7 +29,7 @@ from .common import SPACE_CLASS, staged, words_of
 
 WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Weight of the wider group in texts; quantiles for one measure alone and for two or more; digits of the grid.
-PRIOR, EXTREME, MILD, GRID_BITS = 100, 0.99, 0.95, 6
+PRIOR, EXTREME, MILD, GRID_BITS = 20, 0.99, 0.95, 6
 #: Measure: (numerator, factor, denominator, whether low values are beyond as well).
 MEASURES = {
     "symbols": ("n_symbols", 1000, "word_chars", False),

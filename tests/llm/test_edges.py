@@ -297,7 +297,7 @@ def test_forest_sizes():
     rng = np.random.default_rng(3)
     for n in (2, 200, 3000):
         free = rng.choice(1 << 16, n, replace=False).astype(np.uint64)
-        fps = (free & np.uint64(255)) << np.uint64(8) | (free >> np.uint64(8)) << np.uint64(40) | np.uint64(0x1200340000560000)
+        fps = (free & np.uint64(255)) << np.uint64(8) | (free >> np.uint64(8)) << np.uint64(40) | np.uint64(0x1200000034560000)
         roots = list(range(n))
 
         def find(i):
