@@ -2,7 +2,8 @@
 
 ``write_store`` encodes whole texts, cuts each id stream where a rolling hash over its last ids says so, and writes
 
-* ``chunks``: every distinct chunk once, under the SHA-256 of its bytes, with the number of its uses;
+* ``chunks``: every distinct chunk once, under the SHA-256 of its bytes, with the number of its uses; the bytes are ids
+  as little-endian unsigned integers, in one zstd frame, so that they move packed;
 * ``recipes``: per document, in ascending doc_id order (parts by number, rows inside a part), the digests of its chunks in order, its ids' count, the number
   of ids of all documents before it, its rank, and the Merkle root over its chunk digests;
 * ``manifest``: a Merkle tree over all documents' roots by rank, ``FANOUT`` nodes to a parent, with documents and ids under each node.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +81,9 @@ _ENCODED = "doc_id long, n_tokens long, root binary, text_digest binary, chunks
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """One row per document with its chunks; the bytes are ids as little-endian unsigned integers of ``item_bytes``."""
+    """One row per document with its chunks; the bytes are packed ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc, pack = encoder(vocabulary), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], dtype=enc.dtype)
         for batch in batches:
             texts, counts, roots, offsets = batch.column(1).to_pylist(), [], [], [0]
@@ -90,8 +92,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
                 ids = np.concatenate([ids, end])
                 last, first = 0, len(digests)
                 for p in cut_points(ids):
-                    data.append(ids[last:p].tobytes())
-                    digests.append(hashlib.sha256(data[-1]).digest())
+                    raw = ids[last:p].tobytes()
+                    data.append(pack(raw))
+                    digests.append(hashlib.sha256(raw).digest())
                     sizes.append(p - last)
                     last = p
                 counts.append(len(ids))
@@ -162,7 +165,8 @@ def _rebuilt(spark: SparkSession, path: str, keep_ids: bool) -> DataFrame:
 
     Chunks stream by in a document's order, so no document's chunks are gathered in one row.
     """
-    parts = _recipes(spark, path).select("doc_id", "start", "rank", "n_tokens", F.col("root").alias("stored"), F.posexplode("digests").alias("pos", "digest"))
+    parts = _recipes(spark, path).select("doc_id", "start", "rank", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
+    parts = parts.withColumn("stored", F.when(F.col("pos") == 0, F.col("root"))).drop("root")  # once a document
     chunks = spark.read.schema("digest binary, n int, data binary, uses long").parquet(f"{path}/chunks")
     found = join_hot(parts, chunks, "digest", "uses", "left")
     ordered = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start").sortWithinPartitions("start", "pos")
@@ -170,7 +174,7 @@ def _rebuilt(spark: SparkSession, path: str, keep_ids: bool) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()] + [pa.list_(pa.int64())] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
+        now, out, unpack = None, [], zstandard.ZstdDecompressor().decompress
 
         def close():
             doc_id, start, rank, n_tokens, stored, crc, n, good, digests, ids = now
@@ -183,11 +187,14 @@ def _rebuilt(spark: SparkSession, path: str, keep_ids: bool) -> DataFrame:
                     if now is not None:
                         close()
                     now = [doc_id, start, rank, n_tokens, stored, 0, 0, True, [], []]
-                good = data is not None and hashlib.sha256(data).digest() == digest
-                now[7] &= good
+                try:
+                    raw = unpack(data, max_output_size=8 * MOST) if data else b""
+                except zstandard.ZstdError:
+                    raw = b""
+                now[7] &= bool(raw) and hashlib.sha256(raw).digest() == digest
                 now[8].append(digest)
-                if data:
-                    ids = np.frombuffer(data, dtype=f"<u{len(data) // n}").astype("<u4")
+                if raw and len(raw) % n == 0 and len(raw) // n in (2, 4):
+                    ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")
                     now[5] = zlib.crc32(ids, now[5])
                     now[6] += len(ids)
                     if keep_ids:
