@@ -161,17 +161,12 @@ def sequences(pages: DataFrame, html: str = "html", column: str = "items") -> Da
     return pages.withColumn(column, parsed(F.col(html).cast("string"))).drop(html)
 
 
-def _unpacked(rows: DataFrame, keep: list[str], item: str, prefix: str = "") -> DataFrame:
-    fields = ("position", "kind", "text", "digest", "caption", "alt")
-    return rows.select(*keep, *[F.col(item)[f].alias(prefix + f) for f in fields])
-
-
 def resolve(seqs: DataFrame, media: DataFrame, keep: list[str], column: str = "items") -> DataFrame:
     """A row per item with its media's columns (null for texts and missing media); ``media`` has unique ``digest``.
 
     Texts and references without a digest are not part of the join.
     """
-    items = _unpacked(seqs.select(*keep, F.explode(column).alias("item")), keep, "item")
+    items = seqs.select(*keep, F.explode(column).alias("item")).select(*keep, *[F.col("item")[f].alias(f) for f in ("position", "kind", "text", "digest", "caption", "alt")])
     joined = items.filter(F.col("digest").isNotNull()).join(media, "digest", "left")
     return joined.unionByName(items.filter(F.col("digest").isNull()), allowMissingColumns=True)
 
@@ -182,8 +177,8 @@ def resolve_one(rows: DataFrame, media: DataFrame, item: str, prefix: str) -> Da
     ``media`` is written and has ``uses``, how often each digest is referred to; a medium of very many rows is copied to them.
     """
     named = media.withColumnsRenamed({c: prefix + c for c in media.columns})
-    keep = [c for c in rows.columns if c != item]
-    return join_hot(_unpacked(rows, keep, item, prefix).drop(f"{prefix}kind", f"{prefix}text", f"{prefix}alt"), named, f"{prefix}digest", f"{prefix}uses", "left")
+    fields = [F.col(item)[f].alias(prefix + f) for f in ("position", "digest", "caption")]
+    return join_hot(rows.select(*[c for c in rows.columns if c != item], *fields), named, f"{prefix}digest", f"{prefix}uses", "left")
 
 
 # --- whole texts as media -----------------------------------------------------------------------------------------
@@ -204,9 +199,12 @@ def store_texts(docs: DataFrame, path: str) -> str:
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
-    """One row per distinct stored medium, decoded again: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, ok, uses."""
-    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "ok"]
-    kinds = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, ok boolean"
+    """One row per distinct stored medium, decoded again: digest (of its samples), payload_bytes, tail_crc32, media_bytes, media_sha256, feature, ok, uses.
+
+    ``ok``: it was stored under this digest.
+    """
+    names = ["digest", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature", "ok"]
+    kinds = "digest string, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string, ok boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,18 +212,18 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
             for digest, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 samples = png_samples(image)
                 own = hashlib.sha256(samples).hexdigest()
-                row = (digest, len(samples), own, zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), own == digest)
+                row = (own, len(samples), zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), own == digest)
                 for c, v in zip(cols, row):
                     c.append(v)
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     sums = spark.read.schema("digest string, media binary").parquet(path).mapInArrow(run, kinds)
     return staged(sums.groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:-1]], F.bool_and("ok").alias("ok"), F.count("*").alias("uses")), "media-sums")
 
 
-def article(text: Column) -> tuple[Column, Column]:
-    """The page of a text (not null), and the digest of its whole payload."""
+def article(text: Column) -> Column:
+    """The page of a text (not null)."""
     data = text.cast("binary")
     size = F.octet_length(text)
     whole = F.concat(data, F.unhex(F.repeat(F.lit("FF"), F.greatest(F.ceil(size / ROW) * ROW, F.lit(ROW)).cast("int") - size)))
@@ -236,11 +234,10 @@ def article(text: Column) -> tuple[Column, Column]:
     paragraphs = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
     figure = lambda d, caption: F.concat(F.lit(f'<figure><img src="{SCHEME}'), d, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
     named = F.concat(size.cast("string"), F.lit(" bytes"))
-    html = F.concat(
+    return F.concat(
         F.lit("<article>"), paragraphs(F.slice(lines, 1, half)), figure(cover, F.concat(F.lit("The beginning of "), named)),
         paragraphs(F.slice(lines, half + 1, F.size(lines))), figure(digest, F.concat(F.lit("All "), named)), F.lit("</article>"),
     )
-    return html, digest
 
 
 def interleave_texts(docs: DataFrame) -> DataFrame:
@@ -248,16 +245,15 @@ def interleave_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     media = read_media(spark, store_texts(docs, new_path(spark, "media")))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    html, digest = article(F.col("text"))
-    items = sequences(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("whole_digest"), html.alias("html")))
+    items = sequences(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), article(F.col("text")).alias("html")))
     texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
-    pictures = F.filter("items", lambda x: x["kind"] == "media")
-    facts = items.select("doc_id", "n_bytes", "whole_digest", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"), pictures[0].alias("cover"), pictures[1].alias("whole"))
+    pictures = F.transform(F.filter("items", lambda x: x["kind"] == "media"), lambda x: F.struct(x["position"].alias("position"), x["digest"].alias("digest"), x["caption"].alias("caption")))
+    facts = items.select("doc_id", "n_bytes", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"), pictures[0].alias("cover"), pictures[1].alias("whole"))
     facts = staged(facts, "sequences")  # positions and captions, without the texts
-    both = resolve_one(resolve_one(facts, media, "cover", "cover_"), media, "whole", "")
-    ok = F.coalesce(F.col("ok") & F.col("cover_ok") & (F.col("payload_sha256") == F.col("whole_digest")), F.lit(False))
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "cover_position", "cover_caption", "n_items", "text_sha256"]
-    return both.select(*columns, ok.alias("verified"))
+    covers = media.select("digest", "ok", "uses")
+    both = resolve_one(resolve_one(facts, covers, "cover", "cover_"), media, "whole", "")
+    columns = ["doc_id", "n_bytes", "payload_bytes", F.when(F.col("ok").isNotNull(), F.col("digest")).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "cover_position", "cover_caption", "n_items", "text_sha256"]
+    return both.select(*columns, F.coalesce(F.col("ok") & F.col("cover_ok"), F.lit(False)).alias("verified"))
 
 
 def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
