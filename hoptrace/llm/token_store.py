@@ -163,12 +163,13 @@ def _parents(nodes: DataFrame) -> DataFrame:
 def _rebuilt(spark: SparkSession, path: str, keep_ids: bool) -> DataFrame:
     """Every document put together from its recipe and chunks: doc_id, start, rank, n_tokens, root (made again), ids_crc32, good, and its ids.
 
-    Chunks stream by in a document's order, so no document's chunks are gathered in one row.
+    Chunks stream by in a document's order, so no document's chunks are gathered in one row. The join and the ordering
+    are written one after the other, so that the shuffle files of both are never there together.
     """
     parts = _recipes(spark, path).select("doc_id", "start", "rank", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
     parts = parts.withColumn("stored", F.when(F.col("pos") == 0, F.col("root"))).drop("root")  # once a document
     chunks = spark.read.schema("digest binary, n int, data binary, uses long").parquet(f"{path}/chunks")
-    found = join_hot(parts, chunks, "digest", "uses", "left")
+    found = staged(join_hot(parts, chunks, "digest", "uses", "left"), "found")
     ordered = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start").sortWithinPartitions("start", "pos")
     names = ["doc_id", "start", "rank", "n_tokens", "root", "ids_crc32", "good"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()] + [pa.list_(pa.int64())] * keep_ids
@@ -206,7 +207,9 @@ def _rebuilt(spark: SparkSession, path: str, keep_ids: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     schema = "doc_id long, start long, rank long, n_tokens long, root binary, ids_crc32 long, good boolean" + (", ids array<long>" if keep_ids else "")
-    return ordered.select("doc_id", "start", "rank", "n_tokens", "stored", "digest", "n", "data").mapInArrow(run, schema)
+    out = staged(ordered.select("doc_id", "start", "rank", "n_tokens", "stored", "digest", "n", "data").mapInArrow(run, schema), "rebuilt")
+    discard(found)
+    return out
 
 
 def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
@@ -215,7 +218,7 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
     All is taken from the ids as they were put together again. ``verified``: the chunks' digests hold, so does the
     Merkle root of the recipe, and so does its node of the manifest over the documents that were read.
     """
-    rows = staged(_rebuilt(spark, path, keep_ids), "rebuilt")
+    rows = _rebuilt(spark, path, keep_ids)
     made = _parents(rows.select("rank", F.col("n_tokens").alias("ids"), F.lit(1).cast("long").alias("documents"), "root"))
     stored = _manifest(spark, path).filter(F.col("level") == 1).select(F.col("rank").alias("node"), *[F.col(c).alias(f"s_{c}") for c in ("documents", "ids", "root")])
     held = staged(stored.join(made.withColumnRenamed("rank", "node"), "node", "full"), "nodes")
