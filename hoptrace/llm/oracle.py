@@ -124,4 +124,79 @@ SELECT page_id, payload_bytes, {_base32()} AS payload_digest, CASE WHEN page_id
 FROM (SELECT page_id, CAST(octet_length(encode(p)) AS BIGINT) AS payload_bytes, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS first_page FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
 """
 
-ORACLE = {"op1_secret_ownership": OP1, "op7_water_filling": OP7, "op8_adaptive_rules": OP8, "op9_warc_archive": OP9}
+# --- op12 -------------------------------------------------------------------------------------------------------------
+#: Levels that the SQL folds: sources of up to 16 ** 5 documents, up to 16 ** 3 sources.
+SOURCE_LEVELS, ROOT_LEVELS = 5, 3
+#: The polynomial of CRC-32, reversed. A fixed value.
+CRC_POLYNOMIAL = 0xEDB88320
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters: one step a bit, each byte added at its first."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = f"xor(xor(c, b) >> 1, (xor(c, b) & 1) * {CRC_POLYNOMIAL})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def _levels(name: str, first: str, n: int) -> str:
+    """Tables {name}_r0.. (nodes with the texts left and right of them in their run) and {name}_n0.. above ``first`` (key, pos, node)."""
+    out, run = [f"{name}_n0 AS (SELECT key, pos, node FROM {first})"], "PARTITION BY key, pos // 16 ORDER BY pos ROWS BETWEEN"
+    for i in range(n):
+        out.append(f"""{name}_r{i} AS (SELECT key, pos, node, count(*) OVER (PARTITION BY key) AS total,
+  coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS ahead, coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind FROM {name}_n{i})""")
+        out.append(f"{name}_n{i + 1} AS (SELECT key, pos // 16 AS pos, CASE WHEN max(total) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node FROM {name}_r{i} GROUP BY key, pos // 16)")
+    return ",\n".join(out)
+
+
+def _paths(name: str, first: str, key: str, at: str, n: int, out: str) -> str:
+    """Each row of ``first`` with its proof and its hand carried up ``n`` levels."""
+    parts, before = [], first
+    for i in range(n):
+        parts.append(f"""{out}{i} AS (SELECT p.* REPLACE (proof || r.ahead || r.behind AS proof, CASE WHEN r.total > 1 THEN sha256(r.ahead || hand || r.behind) ELSE hand END AS hand)
+  FROM {before} p JOIN {name}_r{i} r ON r.key = p.{key} AND r.pos = p.{at} // {16**i})""")
+        before = f"{out}{i}"
+    return ",\n".join(parts)
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({value} AS VARCHAR))), ':', {value}) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+WITH hashed AS (SELECT doc_id, coalesce('1' || source, '0') AS key, {_leaf("text")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf(_LOWER)} END AS other FROM documents),
+leaves AS (SELECT doc_id, key, leaf AS node, coalesce(other, leaf) AS hand, '' AS proof, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, leaf, coalesce(other, leaf)) - 1 AS pos FROM hashed),
+{_levels("own", "leaves", SOURCE_LEVELS)},
+subroots AS (SELECT '' AS key, key AS source, node, row_number() OVER (ORDER BY key) - 1 AS pos FROM own_n{SOURCE_LEVELS}),
+{_levels("all", "subroots", ROOT_LEVELS)},
+{_paths("own", "leaves", "key", "pos", SOURCE_LEVELS, "up")},
+placed AS (SELECT u.*, s.pos AS place, '' AS none, s.node AS subroot FROM up{SOURCE_LEVELS - 1} u JOIN subroots s ON s.source = u.key),
+{_paths("all", "placed", "none", "place", ROOT_LEVELS, "top")}
+SELECT doc_id, t.node AS leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, hand AS folded_root, hand = r.node AS verified FROM top{ROOT_LEVELS - 1} t CROSS JOIN all_n{ROOT_LEVELS} r
+"""
+
+# --- op13 -------------------------------------------------------------------------------------------------------------
+_BEFORE = " + ".join(f"CASE WHEN strpos(filter_order, '{f}') < step THEN {1 << i} ELSE 0 END" for i, f in enumerate("ABCDE"))
+
+OP13 = f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+masks AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM docs),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+weights AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT *, 1 << CAST(ascii(letter) - 65 AS INT) AS bit, {_BEFORE} AS earlier FROM (SELECT filter_order, CAST(s AS INT) AS step, substr(filter_order, CAST(s AS INT), 1) AS letter FROM orders, range(1, 6) r(s))),
+counted AS (SELECT part, filter_order, step, letter, sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & earlier > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM weights, steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted
+"""
+
+ORACLE = {"op1_secret_ownership": OP1, "op7_water_filling": OP7, "op8_adaptive_rules": OP8, "op9_warc_archive": OP9, "op12_merkle_manifest": OP12, "op13_filter_audit": OP13}

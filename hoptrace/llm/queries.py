@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .filter_audit import op13_filter_audit
 from .interleaved import op10_interleaved_media
+from .manifest_tree import op12_merkle_manifest
 from .mixing import op7_water_filling
 from .oracle import ORACLE
 from .packing import op6_best_two_fit
@@ -23,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_ownership, op2_quality_fm, op3_url_templates, op4_token_store, op5_simhash_near_dedup,
         op6_best_two_fit, op7_water_filling, op8_adaptive_rules, op9_warc_archive, op10_interleaved_media,
+        op12_merkle_manifest, op13_filter_audit,
     )
 }
 
