@@ -16,6 +16,7 @@ from .quality_fm import op2_quality_fm
 from .quality_rules import op8_adaptive_rules
 from .secret_scan import op1_secret_ownership
 from .simhash import op5_simhash_near_dedup
+from .spot_signatures import op11_spot_signatures
 from .token_store import op4_token_store
 from .url_templates import op3_url_templates
 from .warc_archive import op9_warc_archive
@@ -25,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_ownership, op2_quality_fm, op3_url_templates, op4_token_store, op5_simhash_near_dedup,
         op6_best_two_fit, op7_water_filling, op8_adaptive_rules, op9_warc_archive, op10_interleaved_media,
-        op12_merkle_manifest, op13_filter_audit,
+        op11_spot_signatures, op12_merkle_manifest, op13_filter_audit,
     )
 }
 
