@@ -116,10 +116,10 @@ def _alignments(spark, path: str):
 def _trim(args) -> None:
     from . import sinks
     from .plans.sample import trim_step
-    from .sources.text import read_fasta
+    from .sources.fasta import read_reference
 
     spark = _spark(args)
-    done = trim_step(_library(args).reads(spark), read_fasta(spark, args.te), _params(args))
+    done = trim_step(_library(args).reads(spark), read_reference(spark, args.te), _params(args))
     sinks.write_trimmed(done.reads, args.outdir, args.sample)
     sinks.write_read_repeat(done.repeat, args.outdir, args.sample)
 
@@ -128,11 +128,12 @@ def _align(args) -> None:
     from . import sinks
     from .plans.sample import Trimmed, align_step
     from .sources.library import flanking_reads
-    from .sources.text import read_fasta, read_read_repeat
+    from .sources.fasta import read_reference
+    from .sources.text import read_read_repeat
 
     spark = _spark(args)
     trimmed = Trimmed(flanking_reads(spark, args.outdir, args.sample), read_read_repeat(spark, f"{args.outdir}/te_containing/{args.sample}.read_repeat_name.txt"))
-    flanks, full = align_step(_library(args).reads(spark), trimmed, read_fasta(spark, args.genome))
+    flanks, full = align_step(_library(args).reads(spark), trimmed, read_reference(spark, args.genome))
     sinks.write_alignments(flanks, f"{args.outdir}/genome_aln/{args.sample}.genome.parquet")
     sinks.write_alignments(full, f"{args.outdir}/genome_aln/{args.sample}.fullreads.genome.parquet")
 
@@ -140,12 +141,13 @@ def _align(args) -> None:
 def _find(args) -> None:
     from . import sinks
     from .plans.sample import call_step
-    from .sources.text import read_fasta, read_read_repeat
+    from .sources.fasta import read_reference
+    from .sources.text import read_read_repeat
 
     spark = _spark(args)
     full = _alignments(spark, args.fullreads_bam) if args.fullreads_bam else None
     p = replace(DEFAULT, required_junction_reads=args.required_junction_reads)
-    found = call_step(_alignments(spark, args.bam), read_read_repeat(spark, args.read_repeat), read_fasta(spark, args.genome), full, p)
+    found = call_step(_alignments(spark, args.bam), read_read_repeat(spark, args.read_repeat), read_reference(spark, args.genome), full, p)
     base = f"{args.outdir}/results/{args.sample}.all_nonref_insert"
     sinks.write_insertions(found, f"{base}.gff", f"{base}.txt", args.sample)
 

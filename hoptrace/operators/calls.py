@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strip_junction_tag, te_orientation, tsd_interval, tsd_text
 from ..params import DEFAULT, Params
+from ..sources.fasta import Reference, cut
 from ..staging import staged
 from .cluster import clusters, junctions, support
 from .mates import te_family
@@ -172,11 +173,23 @@ def drop_false_junctions(calls: DataFrame, junction_reads: DataFrame, fullreads:
 
 
 def genome_tiles(genome: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(chrom, tile, offset, seq): overlapping parts of the contigs in ``genome`` (chrom, seq), for lookups of short stretches."""
-    last = F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / p.tile)
-    cut = genome.select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tile"))
-    offset = F.col("tile") * p.tile
-    return cut.select("chrom", "tile", offset.alias("offset"), F.substr("seq", (offset + 1).cast("int"), F.lit(p.tile + p.tile_overlap)).alias("seq"))
+    """(chrom, tile, offset, seq): overlapping parts of the contigs in ``genome`` (chrom, seq), for lookups of short stretches.
+
+    Each contig is walked once. Contigs that are lines of a file come from :func:`reference_tiles`, without such rows.
+    """
+    parts = cut(F.col("seq"), p.tile)
+    ahead = -(-p.tile_overlap // p.tile)
+    with_next = F.transform(parts, lambda x, i: F.concat(x, F.substr(F.array_join(F.slice(parts, i + 2, ahead), ""), F.lit(1), F.lit(p.tile_overlap))))
+    rows = genome.select("chrom", F.posexplode(with_next).alias("tile", "seq"))
+    return rows.select("chrom", F.col("tile").cast("long").alias("tile"), (F.col("tile") * p.tile).cast("long").alias("offset"), "seq")
+
+
+def reference_tiles(genome: Reference, p: Params = DEFAULT) -> DataFrame:
+    """The same of a :class:`Reference`, whose tiles must be of ``p.tile`` bases."""
+    if genome.tile != p.tile:
+        raise ValueError(f"tiles of {genome.tile} bases where {p.tile} are looked up")
+    names = genome.contigs.select("ref_index", F.col("ref_name").alias("chrom"))
+    return genome.overlapping(p.tile_overlap).join(names, "ref_index").select("chrom", "tile", "offset", "seq")
 
 
 def fetch_tsd(calls: DataFrame, tiles: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -11,6 +11,8 @@ class Params:
     len_cut_match: int = 10
     len_cut_trim: int = 10
     mismatch_allowance: int = 0
+    # alignments with a lower score (a base 1, a mismatch -4, a gap -6 and -1 a base) are not reported, so they never reach trimming
+    least_score: int = 20
     # clustering and pairing, in bases
     range_allowance: int = 1000
     pair_window: int = 100

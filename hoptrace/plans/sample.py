@@ -16,9 +16,10 @@ from .. import __version__, sinks
 from ..functions.names import is_junction
 from ..operators import align, calls, genotype, mates, reference, trim
 from ..params import DEFAULT, Params
+from ..sources.fasta import Reference, read_reference
 from ..sources.library import ReadLibrary
 from ..sources.sam import genome_reads
-from ..sources.text import read_fasta, read_repeatmasker
+from ..sources.text import read_repeatmasker
 from ..staging import scratch, staged
 
 log = logging.getLogger("hoptrace")
@@ -51,14 +52,14 @@ class Trimmed:
     repeat: DataFrame  # name, te_name, strand
 
 
-def trim_step(reads: DataFrame, library: DataFrame, p: Params = DEFAULT) -> Trimmed:
+def trim_step(reads: DataFrame, library: Reference, p: Params = DEFAULT) -> Trimmed:
     """Map reads to the element library, keep each one's best alignment, trim it. Mates are mapped apart."""
-    if library.isEmpty():
+    if library.contigs.isEmpty():
         raise FileNotFoundError("the element library has no sequence")
     parts = []
     for direction in (1, 2):
         own = reads.filter(F.col("mate") == direction).select("id", "name", "seq", "qual")
-        parts.append(align.align(own, library, k=11, step=2, secondary=4, tried=20).withColumn("direction", F.lit(direction)))
+        parts.append(align.align(own, library, k=11, w=5, secondary=4, tried=20, p=p).withColumn("direction", F.lit(direction)))
     mapped = staged(parts[0].unionByName(parts[1]), "te-alignments")
     best = trim.best_alignment(trim.element_alignments(mapped, ["direction"]), ["direction", "read_name"])
     kinds = {k: F.count_if(F.col("junction_type") == v) for k, v in (("five_prime", "5"), ("three_prime", "3"))}
@@ -67,7 +68,7 @@ def trim_step(reads: DataFrame, library: DataFrame, p: Params = DEFAULT) -> Trim
     return Trimmed(trimmed, repeat)
 
 
-def align_step(reads: DataFrame, trimmed: Trimmed, genome: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def align_step(reads: DataFrame, trimmed: Trimmed, genome: Reference, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(alignments of flanks and recovered mates, alignments of full junction reads), canonical columns.
 
     Of ``trimmed.reads`` the names, sequences, qualities and directions are used.
@@ -76,14 +77,14 @@ def align_step(reads: DataFrame, trimmed: Trimmed, genome: DataFrame, p: Params
     own = trimmed.reads.select(F.xxhash64("direction", "name").alias("id"), "name", "seq", "qual")
     if paired:
         own = own.unionByName(mates.support_mates(trimmed.repeat, reads).select("id", "name", "seq", "qual"))
-    flanks = staged(align.align(own, genome, k=13, step=2, tile=p.tile), "genome-alignments")
+    flanks = staged(align.align(own, genome, k=13, w=6, p=p), "genome-alignments")
     full = mates.junction_fullreads(trimmed.repeat, reads).select("id", "name", "seq", "qual")
-    return flanks, staged(align.align(full, genome, k=13, step=2, tile=p.tile), "full-alignments")
+    return flanks, staged(align.align(full, genome, k=13, w=6, p=p), "full-alignments")
 
 
-def call_step(flanks: DataFrame, repeat: DataFrame, genome: DataFrame, full: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
+def call_step(flanks: DataFrame, repeat: DataFrame, genome: Reference, full: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     spans = None if full is None else genome_reads(full).select(F.col("name").alias("read_name"), "chrom", "gstart", "gend")
-    tiles = calls.genome_tiles(genome.select(F.col("ref_name").alias("chrom"), "seq"), p)
+    tiles = calls.reference_tiles(genome, p)
     lone = F.count_if(F.col("tsd") == calls.TSD_SUPPORT)
     return counted(calls.find_insertions(genome_reads(flanks), repeat, spans, tiles, p), "insertions", calls=F.count("*"), by_junctions=F.count("*") - lone, by_support_only=lone)
 
@@ -96,8 +97,8 @@ def reference_step(flanks: DataFrame, repeat: DataFrame, elements: DataFrame, p:
     return counted(reference.shared_insertions(reference.match_reference(rows, elements, p)), "shared", calls=F.count("*"))
 
 
-def genotype_step(found: DataFrame, reads: DataFrame, genome: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    whole = align.align(reads.select("id", "name", "seq", "qual"), genome, k=15, step=7, tile=p.tile)
+def genotype_step(found: DataFrame, reads: DataFrame, genome: Reference, p: Params = DEFAULT) -> DataFrame:
+    whole = align.align(reads.select("id", "name", "seq", "qual"), genome, k=15, w=10, p=p)
     return counted(genotype.genotype(found, genome_reads(staged(whole, "read-alignments")), p), "genotypes", two_sided=F.count("*"))
 
 
@@ -115,7 +116,7 @@ def run_sample(
 def _run_sample(spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None, with_genotype: bool, p: Params) -> str:
     began, s = time.monotonic(), reads.name
     provenance(spark, te_library=te_library, genome=genome, sample=s)
-    library, contigs = staged(read_fasta(spark, te_library), "library"), staged(read_fasta(spark, genome), "contigs")
+    library, contigs = read_reference(spark, te_library, p.tile), read_reference(spark, genome, p.tile)
     rows = staged(reads.reads(spark), "reads")
     log.info("trimming reads of %s", s)
     trimmed = trim_step(rows, library, p)
