@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+from ..operators.seeds import ADDED, SCATTER
 from .fixtures import DERIVED, sql
 
+
 def _read_seeds(k: int) -> str:
     """Seeds of both strands, every third place; k-mers that repeat up to three bases are left out."""
     same = " OR ".join(f"kmer[{p + 1}:] = kmer[:{k - p}]" for p in (1, 2, 3))
@@ -21,7 +23,28 @@ def _votes(own: str, index: str, weight: int) -> str:
     return f"SELECT id, strand, ref_name, r - q AS diagonal, {weight} * count(*) AS seeds FROM {own} JOIN {index} USING (kmer) GROUP BY id, strand, ref_name, r - q HAVING count(*) >= 2"
 
 
+def _kmer_values(k: int) -> str:
+    """Scattered value of each k-mer of the letters, the lesser of both strands'; null for those that repeat up to three bases."""
+    digit = lambda i: f"(ascii(codes[{i + 1}]) - 48)"
+    mixed = lambda v: f"(({v}) * {SCATTER} + {ADDED}) & {4**k - 1}"
+    ahead = " + ".join(f"{digit(i)} * {4 ** (k - 1 - i)}::BIGINT" for i in range(k))
+    behind = " + ".join(f"(3 - {digit(i)}) * {4**i}::BIGINT" for i in range(k))
+    same = " OR ".join(f"codes[{p + 1}:] = codes[:{k - p}]" for p in (1, 2, 3))
+    return f"""SELECT doc_id, place, last, CASE WHEN NOT ({same}) THEN least(one, two) END AS value, two < one AS reverse FROM (
+        SELECT *, {mixed(ahead)} AS one, {mixed(behind)} AS two FROM (SELECT doc_id, place, last, seq[place + 1:place + {k}] AS codes FROM
+        (SELECT doc_id, translate(seq, 'acgt', '0123') AS seq, len(seq) - {k} AS last, unnest(range(0, len(seq) - {k} + 1)) AS place FROM genome)))"""
+
+
+def _chosen(values: str, w: int) -> str:
+    """k-mers that are the least of a window of ``w``; a text with fewer is one window."""
+    along = "PARTITION BY doc_id ORDER BY place ROWS BETWEEN"
+    return f"""SELECT doc_id, place, value AS seed, reverse FROM (SELECT *, max(least_) OVER ({along} {w - 1} PRECEDING AND CURRENT ROW) AS top FROM (
+        SELECT *, CASE WHEN place <= greatest(last - {w - 1}, 0) THEN min(value) OVER ({along} CURRENT ROW AND {w - 1} FOLLOWING) END AS least_ FROM {values})) WHERE value = top"""
+
+
 STEPS = {
+    "values_of_kmers": _kmer_values(13),
+    "chosen_kmers": _chosen("values_of_kmers", 6),
     "stretches": """
         SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN x ELSE reverse(translate(x, 'ACGTNacgtn', 'TGCANtgcan')) END AS s FROM (SELECT doc_id, substring(seq, 1 + doc_id % 40, 100) AS x FROM genome)""",
     "short_own": _read_seeds(13),
@@ -172,6 +195,7 @@ SELECTS = {
         (SELECT count(*) FROM ref_te t WHERE EXISTS (SELECT 1 FROM found f WHERE f.chrom = t.chrom AND t.te_start - 10 <= f."end" AND t.te_start + 1 + 10 >= f.start)) AS recovered,
         (SELECT count(*) FROM found f WHERE EXISTS (SELECT 1 FROM ref_te t WHERE f.chrom = t.chrom AND f.start - 10 <= t.te_start + 1 AND f."end" + 10 >= t.te_start)) AS true_calls""",
     "seed_join": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''",
+    "minimizers": "SELECT doc_id, place, seed, reverse FROM chosen_kmers",
     "seed_candidates": """SELECT id, strand, ref_name, CAST(diagonal AS BIGINT) AS diagonal, CAST(seeds AS BIGINT) AS seeds FROM all_votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY seeds DESC, ref_name, diagonal, strand) = 1""",
 }
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as H
-from ..operators import align, calls, cluster, genotype, mates, reference, trim
+from ..operators import align, calls, cluster, genotype, mates, reference, seeds, trim
 from ..operators.rangejoin import overlapping
 from ..params import DEFAULT
 from ..sinks import gff_line
+from ..sources.fasta import reference_of
 from ..sources.sam import genome_reads, records
 from ..sources.text import parse_insertions
 from ..staging import staged
@@ -300,4 +301,11 @@ def seed_candidates(r: Relations) -> DataFrame:
     return align.seed_candidates(reads, library, k=13, step=3, most_seed_hits=20, least_seeds=2, keep=1)
 
 
+@query
+def minimizers(r: Relations) -> DataFrame:
+    """The seeds of all texts' letters, read in tiles, for the usual k-mers and windows of genome mapping."""
+    library = r.genome.select(c("doc_id").cast("int").alias("ref_index"), c("doc_id").cast("string").alias("ref_name"), F.length("seq").alias("ref_length"), "seq")
+    return seeds.reference_seeds(reference_of(library, 1024), k=13, w=6).select(c("ref_index").cast("long").alias("doc_id"), c("at").alias("place"), "seed", "reverse")
+
+
 QUERIES["genotype"] = QUERIES.pop("genotype_calls")
