@@ -10,15 +10,17 @@
    every document meets the one after it in one pass; it also compares the sets that this pass has at hand.
 4. ``near_duplicates`` finds all pairs of sets with a Jaccard similarity of ``LEAST`` or more. Sets are partitioned by
    their length, so that a partner lies in the same partition or the next one. Signatures are ordered by their exact
-   counts, rarest first; two similar sets share one of their first ``n - ceil(LEAST * n) + 1``. Members of a list are
-   compared with the list's shortest set first; only those still in different components are paired then. A pair is
-   pruned by its lengths and by what can follow the places of its shared signature, and decided on the whole sets.
+   counts, rarest first; two similar sets share one of their first ``n - ceil(LEAST * n) + 1``. In rounds, the members
+   of a list are compared with one of them, the one with the fewest signatures of its own, which then leaves the list;
+   so large groups link without their pairs. Members that are still in different components are paired at the end. A
+   pair is pruned by its lengths, by what can follow the places of its shared signature and by parity bitmaps of both
+   sets, and decided on the whole sets.
 
 The query takes the contract's columns from 3 and gives the class of near duplicates from 4 beside them.
 
 Bytes are lower-cased from A to Z and split at six ASCII spaces. Defined results: a null text is empty; texts without
 words have no signature, are one class, are alike among themselves (1) and unlike all others (0). Documents of equal
-doc_id follow each other in the order of their texts, null doc_ids come last. The one document of a table follows
+doc_id follow each other in the order of a hash of their texts, null doc_ids come last. The one document of a table follows
 itself. Rows that repeat each other keep their number. A null doc_id names a class only if no other is in it. Texts of
 any length are whole. An empty table gives no row. Other columns are ignored; a null language is one of its own.
 """
@@ -27,10 +29,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ LEAST = (4, 5)
 #: Words that a task counts before it gives them on.
 COUNTED_AT_ONCE = 200_000
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n long, sigs array<long>"
+#: Bits of a set's bitmap, in longs; each is the parity of how many signatures fall on it.
+BITMAP = ("b0", "b1", "b2", "b3")
+ROW += "".join(f", {b} long" for b in BITMAP)
+#: Lists are compared with one member at a time while their pairs would be more than this many a member, so often at most.
+FEW_PAIRS, ROUNDS = 2, 6
 
 
 def words_of(text: str) -> list[bytes]:
@@ -114,6 +120,11 @@ def fingerprint(signatures: np.ndarray) -> str:
     return xxh3_128_hexdigest(signatures.tobytes())
 
 
+def parity_bitmap(signatures: np.ndarray) -> np.ndarray:
+    odd = np.bincount(signatures.view(np.uint64) % np.uint64(64 * len(BITMAP)), minlength=64 * len(BITMAP)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     every = len(a) + len(b) - both
@@ -144,32 +155,37 @@ def edited(docs: DataFrame, anchors: frozenset[bytes], floor: int = 3) -> DataFr
     starts = np.array(tops[::-1], np.int64)  # ascending
     shared = spark.sparkContext.broadcast(anchors)  # bounded, see SHARE
 
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        """The range of a document, and after it those that need a copy; nulls are at the end."""
-        last = max(len(starts) - 1, 0)
-        out = []
-        for x in ids:
-            if x is None or x != x:
-                out.append([last] if len(starts) else [0, 0])
-            else:
-                out.append([last - int(np.searchsorted(starts, int(x))), *needed.get(int(x), ())])
-        return pd.Series(out)
-
-    # ids as texts: a column with nulls would come as inexact floats
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document, packed, for its range and once more for each range that needs a copy; null ids are at the end."""
+        from xxhash import xxh3_128_digest
+        from zstandard import ZstdCompressor
+
+        pack, last = ZstdCompressor(), max(len(starts) - 1, 0)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = text.encode()
+                to = (last - int(np.searchsorted(starts, doc_id)), *needed.get(doc_id, ())) if doc_id is not None else (last,) if len(starts) else (0, 0)
+                rows += [(range_, k > 0, doc_id, xxh3_128_digest(raw), packed) for packed in [pack.compress(raw)] for k, range_ in enumerate(to)]
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["range", "copy", "doc_id", "tie", "packed"])
+
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spread = whole.select("doc_id", "text", F.posexplode(places(F.col("doc_id").cast("string"))).alias("copy", "range"))
-    order = ["range", (F.col("copy") > 0).asc(), F.desc_nulls_last("doc_id"), "text"]
-    ranged = spread.repartitionById(max(len(tops), 1), F.col("range")).sortWithinPartitions(*order)
+    dealt = whole.mapInArrow(spread, "range int, copy boolean, doc_id long, tie binary, packed binary")
+    ranged = dealt.repartitionById(max(len(tops), 1), F.col("range")).sortWithinPartitions("range", "copy", F.desc_nulls_last("doc_id"), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor()
         last = None  # the document that waits for its next one
         names = [x.split()[0] for x in ROW.split(", ")]
         for batch in batches:
             rows, sets = [], []
-            for doc_id, text, copy in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for doc_id, packed, copy in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if copy and last is None:
                     continue
+                text = unpack.decompress(packed).decode()
                 own = signature_set(text, shared.value)
                 if last is not None:
                     before, mine, signatures = last
@@ -183,9 +199,10 @@ def edited(docs: DataFrame, anchors: frozenset[bytes], floor: int = 3) -> DataFr
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            bits = np.array([parity_bitmap(s) for s in sets], np.int64).reshape(-1, len(BITMAP))
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(bits[:, i]) for i in range(len(BITMAP))], names)
 
-    return ranged.select("doc_id", "text", (F.col("copy") > 0).alias("copy")).mapInArrow(run, ROW)
+    return ranged.select("doc_id", "packed", "copy").mapInArrow(run, ROW)
 
 
 # --- near duplicates -------------------------------------------------------------------------------------------------
@@ -206,8 +223,15 @@ def _may_link(a: str, b: str) -> Column:
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (rest * (num + den) >= num * (n + m))
 
 
+def _may_be_equal(a: str, b: str) -> Column:
+    """Whether the bitmaps allow the similarity: differing parities are as many as the symmetric difference at most."""
+    num, den = LEAST
+    apart = sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in BITMAP), F.lit(0))
+    return apart * (num + den) <= (den - num) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def _index(sets: DataFrame) -> DataFrame:
-    """(sig, part, guest, node, n, pos): the prefixes of all sets in the partition of their length and, as guests, in the next one."""
+    """(list, guest, node, n, alone, pos): the prefixes of all sets, in lists by signature and partition: that of their length and, as guests, the next one."""
     num, den = LEAST
     entries = sets.select("node", F.explode("sigs").alias("sig"))
     shared = staged(entries.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
@@ -223,8 +247,8 @@ def _index(sets: DataFrame) -> DataFrame:
     firsts = ordered.filter(size > 0).select("node", "n", alone.alias("alone"), part.alias("part"), F.slice("own", 1, size).alias("firsts"))
     prefix = firsts.select("node", "n", "alone", "part", F.posexplode("firsts").alias("at", "x"))
     roles = F.inline(F.array(*[F.struct((F.col("part") + i).alias("p"), F.lit(bool(i)).alias("guest")) for i in (0, 1)]))
-    out = prefix.select("node", "n", (F.col("alone") + F.col("at")).alias("pos"), F.col("x.sig").alias("sig"), roles)
-    out = staged(out.select(F.struct("sig", "p").alias("list"), "guest", "node", "n", "pos"), "prefixes")
+    out = prefix.select("node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), F.col("x.sig").alias("sig"), roles)
+    out = staged(out.select(F.struct("sig", "p").alias("list"), "guest", "node", "n", "alone", "pos"), "prefixes")
     discard(shared)
     # lists of one member, or of guests alone, give no pair
     lists = staged(out.groupBy("list").agg(F.count("*").alias("k"), F.bool_and("guest").alias("none")).filter("k > 1 AND NOT none").drop("none"), "lists")
@@ -245,39 +269,67 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(u, v): a forest of similar pairs that joins whatever pairs of ``sets`` (written; node, n, sigs) do."""
-    index = _index(sets)
-    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    centre = F.min(F.when(~F.col("guest"), F.struct("n", "node", "pos")))
-    centres = staged(index.groupBy("list").agg(centre.alias("c"), F.count("*").alias("k")), "centres")
-    stars = join_hot(index, centres, "list", "k").select("node", "n", "pos", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"))
-    first = staged(stars.filter((F.col("node") != F.col("c_node")) & _may_link("", "c_")).select(*ordered("node", "c_node")).distinct(), "first")
+def _stars(members: DataFrame, centre_of: Column, met: Column) -> tuple[DataFrame, DataFrame]:
+    """((u, v) of each list's centre and the members that it may link with, (list, node) of the centres). ``members``: written."""
+    centres = staged(members.groupBy("list").agg(F.min(centre_of).alias("c"), F.count("*").alias("k")).filter("c IS NOT NULL"), "centres")
+    beside = join_hot(members, centres, "list", "k").select("node", "n", "pos", "guest", "root", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "pos", "guest", "root")])
+    pairs = beside.filter((F.col("node") != F.col("c_node")) & met & ~(F.col("guest") & F.col("c_guest")) & _may_link("", "c_"))
+    out = staged(pairs.select(*_ordered("node", "c_node")).distinct(), "stars")
+    gone = staged(centres.select("list", F.col("c.node").alias("node")), "gone")
     discard(centres)
-    found = _verified(first, sets)
-    roots = staged(sets.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    placed = staged(index.join(roots, "node"), "placed")
-    discard(index, roots)
-    sizes = placed.groupBy("list", "root").agg(F.count("*").alias("k"))
-    mixed = staged(sizes.groupBy("list").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "mixed")
-    open_ = staged(join_hot(placed, mixed, "list", "k"), "open")
-    discard(placed, mixed)
-    a, b = open_.filter(F.col("root") != F.col("most")).alias("a"), open_.alias("b")
-    meet = (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & ~(F.col("a.guest") & F.col("b.guest")) & _may_link("a.", "b.")
-    rest = staged(a.join(b, meet).select(*ordered("a.node", "b.node")).distinct().join(first, ["u", "v"], "left_anti"), "rest")
-    discard(open_, first)
-    more = _verified(rest, sets)
+    return out, gone
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """(u, v): a forest of similar pairs that joins whatever pairs of ``sets`` (written; node, n, sigs, bitmap) do."""
+    open_ = _index(sets)
+    found = staged(sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), "no-links")
+    met = staged(found, "no-pairs")  # pairs that are decided
+    for k in range(ROUNDS + 1):
+        roots = staged(sets.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+        placed = staged(open_.drop("root").join(roots, "node"), "placed")
+        discard(open_, roots)
+        # only lists with members in several components are open
+        sizes = placed.groupBy("list", "root").agg(F.count("*").alias("k"))
+        mixed = sizes.groupBy("list").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+        mixed = staged(mixed, "mixed")
+        pairs, members = mixed.agg(F.coalesce(F.sum(F.expr("(k * k - inside) / 2")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        open_ = staged(join_hot(placed, mixed.drop("inside"), "list", "k"), "open")
+        discard(placed, mixed)
+        if k == ROUNDS or pairs <= FEW_PAIRS * members:
+            break
+        # that of the fewest signatures of its own first; once there are components, one outside the largest
+        centre = F.when(F.lit(k == 0) | (F.col("root") != F.col("most")), F.struct("alone", "n", "node", "pos", "guest", "root"))
+        stars, gone = _stars(open_, centre, F.col("root") != F.col("c_root"))
+        new = staged(stars.join(met, ["u", "v"], "left_anti"), "new")
+        more = _verified(new, sets)
+        rest = staged(open_.drop("most").join(gone, ["list", "node"], "left_anti"), "rest")
+        later = staged(met.unionByName(new), "met"), staged(found.unionByName(more), "found")
+        discard(open_, stars, gone, new, more, met, found)
+        open_, (met, found) = rest, later
+    facts = staged(open_.join(sets.select("node", *BITMAP), "node"), "facts")
+    a, b = facts.filter(F.col("root") != F.col("most")).alias("a"), facts.alias("b")
+    meet = (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & ~(F.col("a.guest") & F.col("b.guest")) & _may_link("a.", "b.") & _may_be_equal("a.", "b.")
+    last = staged(a.join(b, meet).select(*_ordered("a.node", "b.node")).distinct().join(met, ["u", "v"], "left_anti"), "last")
+    discard(open_, facts, met)
+    more = _verified(last, sets)
     out = staged(found.unionByName(more), "all-links")
-    discard(found, rest, more)
+    discard(found, last, more)
     return out
 
 
-def near_duplicates(rows: DataFrame) -> DataFrame:
+def near_duplicates(rows: DataFrame, made: Callable[[], None] | None = None) -> DataFrame:
     """(fingerprint, class_id, k) of each fingerprint of ``rows`` (doc_id, fingerprint, n, sigs) and its number of rows; the
-    class is named by its least doc_id."""
-    sets = rows.groupBy("fingerprint").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
+    class is named by its least doc_id. ``made`` is called when ``rows`` are no longer needed."""
+    sets = rows.groupBy("fingerprint").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), *[F.first(b).alias(b) for b in BITMAP], F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
     sets = staged(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # written, so that numbers stay
-    found = links(sets.select("node", "n", "sigs"))
+    if made:
+        made()
+    found = links(sets.select("node", "n", "sigs", *BITMAP))
     rooted = sets.select("node", "fingerprint", "doc_id", "k").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = staged(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -289,7 +341,6 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
 def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = staged(edited(docs, common_words(docs)), "edited")
-    classes = near_duplicates(rows)
-    out = staged(rows.drop("n", "sigs"), "fingerprints")
-    discard(rows)
+    out = staged(rows.drop("n", "sigs", *BITMAP), "fingerprints")
+    classes = near_duplicates(rows, lambda: discard(rows))
     return join_hot(out, classes, "fingerprint", "k").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import islice
 
 import pytest
+from xxhash import xxh3_128_digest
 
 from hoptrace.llm import spot_signatures as sp
 from hoptrace.llm.common import staged
@@ -51,7 +52,7 @@ def alike(a, b):
 def loop(rows):
     """Each row's contract columns and its class, with sets as fingerprints."""
     anchors = loop_anchors(rows)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), xxh3_128_digest((r[1] or "").encode())))
     sets = [loop_signatures(t, anchors) for _, t, _ in order]
     root = list(range(len(order)))
 
@@ -83,7 +84,7 @@ def loop(rows):
 def result(spark, docs):
     rows = staged(sp.edited(docs, sp.common_words(docs)), "edited")
     classes = sp.near_duplicates(rows)
-    return rows.drop("n", "sigs").join(classes, "fingerprint").collect()
+    return rows.drop("n", "sigs", *sp.BITMAP).join(classes, "fingerprint").collect()
 
 
 def check(got, want):
