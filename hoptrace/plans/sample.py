@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__, sinks
 from ..functions.names import is_junction
-from ..operators import align, calls, genotype, mates, reference, trim
+from ..operators import align, calls, genotype, mates, pairs, reference, trim
 from ..params import DEFAULT, Params
 from ..sources.fasta import Reference, read_reference
 from ..sources.library import ReadLibrary
@@ -98,7 +98,8 @@ def reference_step(flanks: DataFrame, repeat: DataFrame, elements: DataFrame, p:
 
 
 def genotype_step(found: DataFrame, reads: DataFrame, genome: Reference, p: Params = DEFAULT) -> DataFrame:
-    whole = align.align(reads.select("id", "name", "seq", "qual"), genome, k=15, w=10, p=p)
+    paired = not reads.filter(F.col("mate") == 2).isEmpty()
+    whole = pairs.align_pairs(reads, genome, p=p) if paired else align.align(reads.select("id", "name", "seq", "qual"), genome, k=15, w=10, p=p)
     return counted(genotype.genotype(found, genome_reads(staged(whole, "read-alignments")), p), "genotypes", two_sided=F.count("*"))
 
 
