@@ -81,6 +81,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("-g", "--genome", required=True, help="FASTA of the genome")
     p.add_argument("--repeatmasker", help="RepeatMasker .out file of the genome")
     p.add_argument("--genotype", action="store_true", help="genotype the calls")
+    p.add_argument("--index-dir", help="folder where seed indexes are kept for further samples")
     p.set_defaults(run=_run)
     return top
 
@@ -127,8 +128,8 @@ def _trim(args) -> None:
 def _align(args) -> None:
     from . import sinks
     from .plans.sample import Trimmed, align_step
-    from .sources.library import flanking_reads
     from .sources.fasta import read_reference
+    from .sources.library import flanking_reads
     from .sources.text import read_read_repeat
 
     spark = _spark(args)
@@ -166,13 +167,21 @@ def _reference(args) -> None:
 
 
 def _characterize(args) -> None:
+    from pyspark.sql import functions as F
+
     from . import sinks
     from .operators.genotype import genotype
+    from .sources.regions import is_regional, region_reads
     from .sources.sam import genome_reads
     from .sources.text import read_insertions
 
     spark = _spark(args)
-    typed = genotype(read_insertions(spark, args.insertions), genome_reads(_alignments(spark, args.reads_bam)))
+    found = read_insertions(spark, args.insertions)
+    if is_regional(spark, args.reads_bam):
+        reads = region_reads(spark, args.reads_bam, found.select("chrom", F.col("end").alias("pos")))
+    else:
+        reads = _alignments(spark, args.reads_bam)
+    typed = genotype(found, genome_reads(reads))
     base = f"{args.outdir}/results/{args.sample}.all_nonref_insert.characTErized"
     sinks.write_genotypes(typed, f"{base}.gff", f"{base}.txt", args.sample)
 
@@ -180,7 +189,7 @@ def _characterize(args) -> None:
 def _run(args) -> None:
     from .plans.sample import run_sample
 
-    run_sample(_spark(args), _library(args), args.te, args.genome, args.outdir, args.repeatmasker, args.genotype, _params(args))
+    run_sample(_spark(args), _library(args), args.te, args.genome, args.outdir, args.repeatmasker, args.genotype, _params(args), args.index_dir)
 
 
 def main(argv: list[str] | None = None) -> int:

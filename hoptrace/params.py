@@ -25,9 +25,11 @@ class Params:
     # reference elements and genotypes
     boundary_window: int = 5
     span_margin: int = 5
-    # physical layout: bases in a clustering or range-join bin, bases in a genome tile and its overlap
+    # physical layout: bases in a clustering or range-join bin, in a region of stored alignments,
+    # in a genome tile and its overlap
     cluster_bin: int = 1_000_000
     range_bin: int = 10_000
+    region: int = 1_000_000
     tile: int = 65_536
     tile_overlap: int = 64
 

@@ -305,7 +305,7 @@ def seed_candidates(r: Relations) -> DataFrame:
 def minimizers(r: Relations) -> DataFrame:
     """The seeds of all texts' letters, read in tiles, for the usual k-mers and windows of genome mapping."""
     library = r.genome.select(c("doc_id").cast("int").alias("ref_index"), c("doc_id").cast("string").alias("ref_name"), F.length("seq").alias("ref_length"), "seq")
-    return seeds.reference_seeds(reference_of(library, 1024), k=13, w=6).select(c("ref_index").cast("long").alias("doc_id"), c("at").alias("place"), "seed", "reverse")
+    return seeds.computed_seeds(reference_of(library, 1024), k=13, w=6).select(c("ref_index").cast("long").alias("doc_id"), c("at").alias("place"), "seed", "reverse")
 
 
 QUERIES["genotype"] = QUERIES.pop("genotype_calls")

@@ -7,7 +7,7 @@ import platform
 import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +16,12 @@ from .. import __version__, sinks
 from ..functions.names import is_junction
 from ..operators import align, calls, genotype, mates, pairs, reference, trim
 from ..params import DEFAULT, Params
+from ..sources import regions
 from ..sources.fasta import Reference, read_reference
 from ..sources.library import ReadLibrary
 from ..sources.sam import genome_reads
 from ..sources.text import read_repeatmasker
-from ..staging import scratch, staged
+from ..staging import new_path, scratch, staged
 
 log = logging.getLogger("hoptrace")
 
@@ -100,24 +101,28 @@ def reference_step(flanks: DataFrame, repeat: DataFrame, elements: DataFrame, p:
 def genotype_step(found: DataFrame, reads: DataFrame, genome: Reference, p: Params = DEFAULT) -> DataFrame:
     paired = not reads.filter(F.col("mate") == 2).isEmpty()
     whole = pairs.align_pairs(reads, genome, p=p) if paired else align.align(reads.select("id", "name", "seq", "qual"), genome, k=15, w=10, p=p)
-    return counted(genotype.genotype(found, genome_reads(staged(whole, "read-alignments")), p), "genotypes", two_sided=F.count("*"))
+    spark = reads.sparkSession
+    stored = regions.write_regions(whole, new_path(spark, "read-alignments"), p)
+    near = regions.region_reads(spark, stored, found.select("chrom", F.col("end").alias("pos")))
+    return counted(genotype.genotype(found, genome_reads(near), p), "genotypes", two_sided=F.count("*"))
 
 
 def run_sample(
-    spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None = None, with_genotype: bool = False, p: Params = DEFAULT,
+    spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None = None, with_genotype: bool = False, p: Params = DEFAULT, indexes: str | None = None,
 ) -> str:
     """Run every step for one sample and write its results; gives the path of the calls' GFF.
 
-    What the steps stage is deleted at the end.
+    What the steps stage is deleted at the end. Seed indexes are kept below ``indexes`` and taken from there by further
+    samples; without it they serve the mappings of this run.
     """
-    with scratch(spark):
-        return _run_sample(spark, reads, te_library, genome, outdir, repeatmasker, with_genotype, p)
+    with scratch(spark) as own:
+        return _run_sample(spark, reads, te_library, genome, outdir, repeatmasker, with_genotype, p, indexes or own)
 
 
-def _run_sample(spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None, with_genotype: bool, p: Params) -> str:
+def _run_sample(spark: SparkSession, reads: ReadLibrary, te_library: str, genome: str, outdir: str, repeatmasker: str | None, with_genotype: bool, p: Params, indexes: str) -> str:
     began, s = time.monotonic(), reads.name
     provenance(spark, te_library=te_library, genome=genome, sample=s)
-    library, contigs = read_reference(spark, te_library, p.tile), read_reference(spark, genome, p.tile)
+    library, contigs = (replace(read_reference(spark, path, p.tile), indexes=indexes) for path in (te_library, genome))
     rows = staged(reads.reads(spark), "reads")
     log.info("trimming reads of %s", s)
     trimmed = trim_step(rows, library, p)

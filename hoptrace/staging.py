@@ -42,9 +42,14 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the run's own folder, or the shared one."""
+    return f"{_OWN.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{_OWN.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
