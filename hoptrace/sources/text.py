@@ -1,4 +1,4 @@
-"""FASTA, FASTQ, read-repeat tables, RepeatMasker output and insertion GFF."""
+"""Whole FASTA records, read-repeat tables, RepeatMasker output and insertion GFF."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gff_attribute
 from ..operators.reference import parse_repeatmasker
+from .fastq import read_fastq  # noqa: F401
 from .sam import numbered_lines
 
 
@@ -21,27 +22,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(index, "ordinal").select("ref_index", "ref_name", F.length("seq").cast("int").alias("ref_length"), "seq")
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], mate: int | None = None) -> DataFrame:
-    """(id, name, seq, qual, mate) of four-line records, plain or gzipped; an absent quality becomes as many ``I``.
-
-    A plain file that Spark reads in several splits is put together by the running number of its lines: the number of
-    lines of earlier splits comes from a count per split, not from one task over the file.
-    """
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    lines = lines.select("value", F.shiftright("_id", 33).alias("_split"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at"), F.input_file_name().alias("_file"))
-    sizes = lines.groupBy("_file", "_split").agg(F.count("*").alias("_n"))
-    before = sizes.select("_file", "_split", F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.min("_split").over(Window.partitionBy("_file")).alias("_first"))
-    placed = lines.join(before, ["_file", "_split"])
-    first_at = placed.groupBy("_file", "_split").agg(F.min("_at").alias("_low"))
-    placed = placed.join(first_at, ["_file", "_split"]).withColumn("_line", F.col("_before") + F.col("_at") - F.col("_low"))
-    by = placed.groupBy("_file", F.floor(F.col("_line") / 4).alias("_record"))
-    line = lambda i: F.max(F.when(F.col("_line") % 4 == i, F.col("value")))
-    rows = by.agg(line(0).alias("h"), line(1).alias("seq"), line(3).alias("q")).filter(F.col("h").startswith("@"))
-    name = F.regexp_extract(F.substr("h", F.lit(2)), r"^([^\s]*)", 1)
-    qual = F.when(F.coalesce(F.col("q"), F.lit("")) == "", F.repeat(F.lit("I"), F.length("seq"))).otherwise(F.col("q"))
-    return rows.select(F.xxhash64("_file", "_record").alias("id"), name.alias("name"), "seq", qual.alias("qual"), F.lit(mate).cast("int").alias("mate"))
-
-
 def read_read_repeat(spark: SparkSession, path: str) -> DataFrame:
     """(name, te_name, strand) of a tab-separated table; further fields are ignored, shorter lines left out, the last of a name wins."""
     f = F.split("value", "\t")
