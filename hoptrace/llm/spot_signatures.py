@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, staged, table
+from .common import discard, join_hot, settings, staged, table
 from .components import components
 from .near_copies import _spread
 
@@ -54,7 +54,7 @@ ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 BITMAP = ("b0", "b1", "b2", "b3")
 ROW += "".join(f", {b} long" for b in BITMAP)
 #: Lists are compared with one member at a time while their pairs would be more than this many a member, so often at most.
-FEW_PAIRS, ROUNDS = 2, 6
+FEW_PAIRS, ROUNDS = 2, 3
 
 
 def words_of(text: str) -> list[bytes]:
@@ -323,6 +323,12 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, made: Callable[[], None] | None = None) -> DataFrame:
+    """:func:`_classes`, whose many small steps leave no shuffle files behind them."""
+    with settings(rows.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        return _classes(rows, made)
+
+
+def _classes(rows: DataFrame, made: Callable[[], None] | None) -> DataFrame:
     """(fingerprint, class_id, k) of each fingerprint of ``rows`` (doc_id, fingerprint, n, sigs) and its number of rows; the
     class is named by its least doc_id. ``made`` is called when ``rows`` are no longer needed."""
     sets = rows.groupBy("fingerprint").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), *[F.first(b).alias(b) for b in BITMAP], F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
