@@ -200,7 +200,10 @@ def main(argv: list[str] | None = None) -> int:
         parser.print_help(sys.stderr)
         return 0
     try:
-        args.run(args)
+        from .staging import scratch
+
+        with scratch(_spark(args)):  # what a step stages is deleted at its end
+            args.run(args)
     except Exception as e:
         log.error("%s failed: %s", args.command, e, exc_info=args.verbose)
         return 1

@@ -47,6 +47,7 @@ def avg_flankers(left: Column, right: Column) -> Column:
 
 def classify_status(flankers: Column, spanners: Column) -> Column:
     """Genotype from the mean of flanking reads and the number of spanning reads; the first rung that fits decides."""
+    # The rungs, in their order.
     f, s = flankers, spanners
     gap, total = F.abs(f - s), f + s
     return (

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..counters import counted
 from ..functions import strip_junction_tag, te_orientation, tsd_interval, tsd_text
 from ..params import DEFAULT, Params
 from ..sources.fasta import Reference, cut
@@ -166,12 +167,6 @@ def false_junctions(calls: DataFrame, junction_reads: DataFrame, fullreads: Data
     return judged.filter(bad).select(*ids)
 
 
-def drop_false_junctions(calls: DataFrame, junction_reads: DataFrame, fullreads: DataFrame | None, p: Params = DEFAULT, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
-    if fullreads is None:
-        return calls
-    return calls.join(false_junctions(calls, junction_reads, fullreads, p, keys), [*keys, "start", "end", "te_name", "strand"], "left_anti")
-
-
 def genome_tiles(genome: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(chrom, tile, offset, seq): overlapping parts of the contigs in ``genome`` (chrom, seq), for lookups of short stretches.
 
@@ -216,9 +211,10 @@ def find_insertions(
         junction_reads = te_family(junction_reads, repeat, (*[k for k in keys if k != "chrom"], "name"))
     sustained = support(grouped)
     junction_reads = staged(junction_reads, "junctions")
-    called = staged(required_junctions(call_insertions(junction_reads, p, cluster), p), "calls")
+    called = counted(required_junctions(call_insertions(junction_reads, p, cluster), p), "junction-calls", calls=F.count("*"))
     if fullreads is not None:
-        called = staged(drop_false_junctions(called, junction_reads, fullreads, p, cluster), "true-calls")
+        false = counted(false_junctions(called, junction_reads, fullreads, p, cluster), "false-junctions", calls=F.count("*"))
+        called = counted(called.join(false, [*cluster, "start", "end", "te_name", "strand"], "left_anti"), "true-calls", calls=F.count("*"))
     called = count_support(called.drop("left_pos", "right_pos"), sustained, p, cluster)
     if tiles is not None:
         called = fetch_tsd(called, tiles, p)

@@ -9,10 +9,11 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__, sinks
+from ..counters import counted, counting
 from ..functions.names import is_junction
 from ..operators import align, calls, genotype, mates, pairs, reference, trim
 from ..params import DEFAULT, Params
@@ -34,19 +35,6 @@ def provenance(spark: SparkSession, **inputs: str) -> dict[str, str]:
     return found
 
 
-#: Counters of the last run of each step, by the step's name.
-COUNTERS: dict[str, dict[str, int]] = {}
-
-
-def counted(df: DataFrame, name: str, **counters: Column) -> DataFrame:
-    """``df`` staged, with counters taken while it is written; they are logged and kept in ``COUNTERS``."""
-    seen = Observation(name)
-    out = staged(df.observe(seen, *[c.alias(k) for k, c in counters.items()]), name)
-    COUNTERS[name] = dict(seen.get)
-    log.info("%s: %s", name, ", ".join(f"{v} {k.replace('_', ' ')}" for k, v in COUNTERS[name].items()))
-    return out
-
-
 @dataclass
 class Trimmed:
     reads: DataFrame  # name, seq, qual, te_name, strand, junction_type, te_portion, direction
@@ -95,7 +83,8 @@ def reference_step(flanks: DataFrame, repeat: DataFrame, elements: DataFrame, p:
     from ..operators.cluster import clusters, junctions
 
     rows = mates.te_family(junctions(staged(clusters(genome_reads(flanks), p), "clustered")), repeat)
-    return counted(reference.shared_insertions(reference.match_reference(rows, elements, p)), "shared", calls=F.count("*"))
+    matched = counted(reference.match_reference(rows, elements, p), "matched", reads=F.count("*"))
+    return counted(reference.shared_insertions(matched), "shared", calls=F.count("*"))
 
 
 def genotype_step(found: DataFrame, reads: DataFrame, genome: Reference, p: Params = DEFAULT) -> DataFrame:
@@ -113,9 +102,9 @@ def run_sample(
     """Run every step for one sample and write its results; gives the path of the calls' GFF.
 
     What the steps stage is deleted at the end. Seed indexes are kept below ``indexes`` and taken from there by further
-    samples; without it they serve the mappings of this run.
+    samples; without it they serve the mappings of this run. The run's counters are ``counters.RUNS[sample]``.
     """
-    with scratch(spark) as own:
+    with scratch(spark) as own, counting(reads.name):
         return _run_sample(spark, reads, te_library, genome, outdir, repeatmasker, with_genotype, p, indexes or own)
 
 
