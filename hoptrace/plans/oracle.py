@@ -25,14 +25,14 @@ def _votes(own: str, index: str, weight: int) -> str:
 
 def _kmer_values(k: int) -> str:
     """Scattered value of each k-mer of the letters, the lesser of both strands'; null for those that repeat up to three bases."""
-    digit = lambda i: f"(ascii(codes[{i + 1}]) - 48)"
     mixed = lambda v: f"(({v}) * {SCATTER} + {ADDED}) & {4**k - 1}"
-    ahead = " + ".join(f"{digit(i)} * {4 ** (k - 1 - i)}::BIGINT" for i in range(k))
-    behind = " + ".join(f"(3 - {digit(i)}) * {4**i}::BIGINT" for i in range(k))
-    same = " OR ".join(f"codes[{p + 1}:] = codes[:{k - p}]" for p in (1, 2, 3))
+    ahead = " + ".join(f"d{i} * {4 ** (k - 1 - i)}::BIGINT" for i in range(k))
+    behind = " + ".join(f"(3 - d{i}) * {4**i}::BIGINT" for i in range(k))
+    same = " OR ".join("(" + " AND ".join(f"d{i} = d{i + p}" for i in range(k - p)) + ")" for p in (1, 2, 3))
+    along = ", ".join(f"lead(d0, {i}) OVER (PARTITION BY doc_id ORDER BY place) AS d{i}" for i in range(1, k))
     return f"""SELECT doc_id, place, last, CASE WHEN NOT ({same}) THEN least(one, two) END AS value, two < one AS reverse FROM (
-        SELECT *, {mixed(ahead)} AS one, {mixed(behind)} AS two FROM (SELECT doc_id, place, last, seq[place + 1:place + {k}] AS codes FROM
-        (SELECT doc_id, translate(seq, 'acgt', '0123') AS seq, len(seq) - {k} AS last, unnest(range(0, len(seq) - {k} + 1)) AS place FROM genome)))"""
+        SELECT *, {mixed(ahead)} AS one, {mixed(behind)} AS two FROM (SELECT *, {along} FROM
+        (SELECT doc_id, len(seq) - {k} AS last, unnest(range(0, len(seq))) AS place, ascii(unnest(string_split(translate(seq, 'acgt', '0123'), ''))) - 48 AS d0 FROM genome WHERE len(seq) >= {k})) WHERE place <= last)"""
 
 
 def _chosen(values: str, w: int) -> str:
