@@ -2,8 +2,8 @@
 
 A BAM file is a row of gzip blocks that each tell their size. A split begins at a byte offset: its task looks for the
 next block, then for the first record in it, by the shape that several records in a row must have. It reads the records
-that begin in its blocks, and a little of the next split's to finish the last one. Files are on a path that all
-executors can open.
+that begin in its blocks, and a little of the next split's to finish the last one. Files lie wherever a URI leads
+that all executors can open; of each, a task fetches the ranges that it reads. A folder stands for its .bam files.
 
     spark.dataSource.register(BamSource)
     spark.read.format("bam").load(path)          # or read_bam(spark, path)
@@ -11,7 +11,6 @@ executors can open.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import opened, parts
+
 SCHEMA = "ordinal long, name string, flag int, ref_index int, ref_name string, ref_length int, ref_start int, cigar string, ref_end int, seq string, qual string, nm int"
 # Fixed values of the format: the codes of bases and CIGAR operations, and the sizes of tag values.
 BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -44,7 +45,7 @@ class Blocks:
     """The unpacked bytes of a file from some block on, block by block."""
 
     def __init__(self, path: str, start: int):
-        self.file, self.at, self.size = open(path, "rb"), start, os.path.getsize(path)
+        (self.file, self.size), self.at = opened(path), start
 
     def next(self) -> tuple[int, bytes] | None:
         """(offset, bytes) of the next block; None at the end."""
@@ -171,13 +172,13 @@ class Split(InputPartition):
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p.removeprefix("file://") for p in options["path"].split(",")]
+        self.paths = [part for p in options["path"].split(",") for part in parts(p, ".bam")]
         self.split_bytes = int(options.get("splitbytes", 64 << 20))
 
     def partitions(self) -> list[Split]:
         out = []
         for p in self.paths:
-            size = os.path.getsize(p)
+            size = opened(p)[1]
             out += [Split(p, a, min(a + self.split_bytes, size)) for a in range(0, size, self.split_bytes)]
         return out
 
