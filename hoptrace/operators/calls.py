@@ -13,6 +13,7 @@ from ..params import DEFAULT, Params
 from ..sources.fasta import Reference, cut
 from ..staging import staged
 from .cluster import clusters, junctions, support
+from .islands import pair_long_islands
 from .mates import te_family
 
 # Texts of calls.
@@ -56,15 +57,22 @@ def pair_breakpoints(junction_reads: DataFrame, p: Params = DEFAULT, keys: tuple
     """(keys, left_pos, right_pos): the greedy pairing of a cluster's breakpoints.
 
     Nothing pairs over a gap of more than ``pair_window``, so distinct positions are first cut into islands at such
-    gaps, and each island is paired by itself; a cluster may span a contig.
+    gaps, and each island is paired by itself; a cluster may span a contig. Islands of more than ``long_island`` positions
+    are paired over bins, with the same result.
     """
     places = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("gstart"), F.col("position").cast("long").alias("gend")).distinct()
     islands = clusters(staged(places, "places"), replace(p, range_allowance=p.pair_window), keys, "_island")
     at = F.when(F.col("side") == "left", F.col("gstart")).otherwise(F.col("gstart") - p.pair_window)
     event = F.struct(at.alias("at"), (F.col("side") == "left").cast("int").alias("is_left"), F.col("gstart").alias("place"))
-    sides = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    pairs = sides.select(*keys, F.explode(_pairs(F.col("events"), p.pair_window)).alias("x"))
-    return pairs.select(*keys, F.col("x.l").alias("left_pos"), F.col("x.r").alias("right_pos"))
+    islands = staged(islands.select(*keys, "_island", F.inline(F.array(event))), "islands")
+    own = [*keys, "_island"]
+    long = staged(islands.groupBy(*own).agg(F.count("*").alias("_n")).filter(F.col("_n") > p.long_island).select(*own, F.to_json(F.struct(*own)).alias("island")), "long-islands")
+    sides = islands.join(long.select(*own), own, "left_anti").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "is_left", "place"))).alias("events"))
+    pairs = sides.select(*keys, F.inline(_pairs(F.col("events"), p.pair_window)))
+    if not long.isEmpty():
+        far = pair_long_islands(islands.join(long, own).select("island", "at", "is_left", "place"), p.pair_window, p.island_bin)
+        pairs = pairs.unionByName(far.join(long, "island").select(*keys, "l", "r"))
+    return pairs.select(*keys, F.col("l").alias("left_pos"), F.col("r").alias("right_pos"))
 
 
 def family_mode(te_name: Column) -> Column:

@@ -28,6 +28,8 @@ class Params:
     # physical layout: bases in a clustering or range-join bin, in a region of stored alignments,
     # in a genome tile and its overlap
     cluster_bin: int = 1_000_000
+    long_island: int = 2_000  # positions from which on an island is paired over bins of island_bin bases
+    island_bin: int = 50_000
     range_bin: int = 10_000
     region: int = 1_000_000
     tile: int = 65_536
