@@ -119,9 +119,13 @@ def new_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_by_size(left: DataFrame, right: DataFrame, on, how: str, most: int = MOST_COPIED) -> DataFrame:
-    """Join with a written ``right`` of few narrow columns: copied to all if it has at most ``most`` rows, else by a merge."""
-    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right.hint("merge"), on, how)
+def join_by_size(left: DataFrame, right: DataFrame, on, how: str, most: int = MOST_COPIED, weight: Column | None = None) -> DataFrame:
+    """Join with a written ``right`` of few narrow columns: copied to all if it has at most ``most`` rows, else by a merge.
+
+    ``weight``: what a row with arrays counts for, so that their elements are bounded and not the rows alone.
+    """
+    size = right.limit(most + 1).count() if weight is None else right.agg(F.sum(weight)).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= most else right.hint("merge"), on, how)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:

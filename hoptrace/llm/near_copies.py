@@ -277,6 +277,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = staged(right.filter(~F.col("kept")).select("k0", "k1", "k2"), "removed")
     stay = join_by_size(keyed, gone, same(gone), "left_anti")
     again = staged(right.filter(F.col("kept") & (F.col("rows") > 1)).select("k0", "k1", "k2"), "repeated")
+    discard(found)
     if not again.isEmpty():
         once = join_by_size(keyed, again, same(again), "left_semi").dropDuplicates([doc, hash_])
         stay = join_by_size(stay, again, same(again), "left_anti").unionByName(once)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,19 @@ def test_many_spans(spark):
     assert texts(secret_scan.masked(docs)) == want
 
 
+def test_spans_without_end(spark):
+    """200,000 spans in one text: places, candidates beside base spans and the cover, in time that grows with the text."""
+    rng = random.Random(5)
+    parts = [f"{rng.getrandbits(64):016x}" if i % 2 else f"Z7{''.join(rng.choices('GHJKLMNPQRSTUVWXYZ', k=20))}k" for i in range(200_000)]
+    text = "é ".join(parts)
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, "plain", "en", "s")], "doc_id long, text string, lang string, source string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs).collect()}
+    assert time.monotonic() - begun < 60
+    live = lambda p: len(set(p)) >= secret_scan.LIVE_CHARACTERS
+    assert got[1] == "é ".join("*" * len(p) if i % 2 or live(p) else p for i, p in enumerate(parts)) and got[2] == "plain"
+
+
 def test_masking(odd):
     got = secret_scan.masked(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
