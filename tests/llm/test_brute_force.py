@@ -26,11 +26,11 @@ def templates(rows, max_children=U.MAX_CHILDREN, z=U.Z, strength=U.STRENGTH, lea
     """{(host, path): (template, purity, verdict)} of (host, path, label or None) rows."""
     now = {}
     for h, p, _ in rows:
-        s = [wildcard(x) for x in p.split("/") if x]
-        now[h, p] = tuple(s if len(s) <= U.DEPTH else [*s[: U.DEPTH - 1], "/".join(s[U.DEPTH - 1 :])])
+        now[h, p] = tuple(wildcard(x) for x in p.split("/") if x)
+    depth = max(map(len, now.values()), default=0)
     labels = [x for _, _, x in rows if x is not None]
     base = sum(labels) / len(labels) if labels else 1.0
-    for level in range(U.DEPTH):
+    for level in range(depth):
         n = Counter((h, now[h, p][:level], now[h, p][level]) for h, p, _ in rows if len(now[h, p]) > level)
         children, total = Counter(), Counter()
         for (h, parent, _), k in n.items():
@@ -39,7 +39,7 @@ def templates(rows, max_children=U.MAX_CHILDREN, z=U.Z, strength=U.STRENGTH, lea
         for (h, p), s in now.items():
             if len(s) > level and children[h, s[:level]] > max_children and n[h, s[:level], s[level]] * max_children < total[h, s[:level]]:
                 now[h, p] = (*s[:level], "*", *s[level + 1 :])
-    for level in reversed(range(U.DEPTH)):
+    for level in reversed(range(depth)):
         siblings = defaultdict(lambda: defaultdict(lambda: [0, 0]))
         for h, p, x in rows:
             s = now[h, p]
@@ -86,6 +86,24 @@ def test_templates(spark):
     assert {v[2] for v in want.values()} == {"allow", "block"}
 
 
+def test_deep_paths(spark):
+    """Branches some hundred segments down are narrowed, merged and judged as those at the top are."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        p = ["top", rng.choice("ab"), *["m"] * 95]
+        p[60] = rng.choice(["good", "bad"])
+        p[90] = f"x{rng.randrange(60)}y"
+        p += [f"z{rng.randrange(4)}"] * rng.choice([1, 2])
+        rows.append((i, "a.com" if i % 3 else "b.com", "/" + "/".join(p), None if rng.random() < 0.3 else int(rng.random() > (0.9 if "bad" in p else 0.1))))
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, x) for i, _, _, x in rows if x is not None], "page_id long, label int")
+    want = templates([r[1:] for r in rows], max_children=20)
+    got = U.judge_urls(pages, labels, [], max_children=20).collect()
+    assert {(r["host"], r["path"]): (r["template"], round(r["purity"], 9), r["verdict"]) for r in got} == want
+    assert {v[2] for v in want.values()} == {"allow", "block"} and any("/m/*/m" in v[0] for v in want.values())
+
+
 def test_op3_whole_table(spark):
     quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = queries.QUERIES["op3_url_templates"](spark, SF).collect()
