@@ -12,7 +12,8 @@ and an index of rare shingles, whose guarantee holds for Jaccard, finds the othe
 2. First pairs: links of the SimHash index, and each member of a list of the prefix index with three of the list.
    That links large groups of copies without their pairs.
 3. Members of one list that are still in different components are paired, those outside the list's largest component
-   with all others.
+   with all others that their size and their places in the list allow: lists are parted by bands of sizes, of which a
+   member meets three, and long lists by members too, so no list is one task.
 4. A pair goes on if its sizes and bitmaps allow the similarity (differing parity bits are a lower bound of the sets'
    symmetric difference), and is then decided on the two whole sets, which are made again from the texts of such pairs
    alone.
@@ -42,6 +43,8 @@ SHINGLE = 5
 SAMPLE, OFTEN, MOST_OFTEN = 20_000, 3, 100_000
 #: Pairs of one text that meet in one task, and shingles of sets that a task keeps for its next pairs (8 bytes each).
 TOGETHER, KEPT_SHINGLES = 1000, 200_000
+#: Members of a list that a task pairs with others; ratio of sizes that a band spans (a little over that of similar sets, so they are in the same or in adjoining bands).
+MEMBERS, BAND = 1000, 1.26
 WORDS = 8
 BITMAP = [f"w{i}" for i in range(WORDS)]
 
@@ -121,6 +124,24 @@ def _may_link(a: str, b: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart <= n + m)
 
 
+def _enough_left(a: str, b: str) -> Column:
+    """Whether sets that share a shingle at these places of the common order can be 0.8 similar.
+
+    What stands before it can be shared with what stands before it alone, and what stands behind it likewise.
+    """
+    n, m, i, j = (F.col(f"{s}{c}") for c in ("n", "pos") for s in (a, b))
+    return 9 * (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)) >= 4 * (n + m)
+
+
+def _parted(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of ``mixed`` to be joined by ``gram``, ``band`` and ``part``: each pair of a list meets once if their bands adjoin."""
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("int")
+    parts = F.ceil(F.col("k") / MEMBERS).cast("int")
+    near = mixed.filter(F.col("root") != F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    near = near.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    return near, mixed.withColumns({"part": F.pmod(F.xxhash64("node"), parts).cast("int"), "band": band})
+
+
 def _ordered(u: str, v: str) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
@@ -221,7 +242,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = staged(whole, "nodes")
     keys = staged(rows.groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("rows")), "keys")
     discard(rows)
-    entries = nodes.select(F.explode("prefix").alias("gram"), "node")
+    entries = nodes.select(F.posexplode("prefix").alias("pos", "gram"), "node")
     grams = staged(entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1"), "grams")  # most are of one node
     index = staged(join_hot(entries, grams, "gram", "k"), "index")
     facts = staged(nodes.drop("prefix"), "facts")
@@ -238,11 +259,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     placed = staged(index.join(roots, "node"), "placed")
     discard(index)
     sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("k"))
-    largest = staged(sizes.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "largest")
-    mixed = staged(join_hot(placed, largest, "gram", "k").join(facts.select("node", "n", *BITMAP), "node"), "mixed")
+    largest = staged(sizes.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("roots")).filter("roots > 1").drop("roots").withColumn("members", F.col("k")), "largest")
+    mixed = staged(join_hot(placed, largest, "gram", "members").join(facts.select("node", "n", *BITMAP), "node"), "mixed")
     discard(placed, largest)
-    a, b = mixed.filter(F.col("root") != F.col("most")).alias("a"), mixed.alias("b")
-    meet = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link("a.", "b.")
+    a, b = (side.alias(name) for side, name in zip(_parted(mixed), "ab"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "band", "part")]
+    meet = same[0] & same[1] & same[2] & (F.col("a.root") != F.col("b.root")) & _enough_left("a.", "b.") & _may_link("a.", "b.")
     rest = a.join(b, meet).select(*_ordered("a.node", "b.node")).distinct()
     rest = staged(rest.join(first, ["u", "v"], "left_anti"), "rest")
     discard(mixed, first)

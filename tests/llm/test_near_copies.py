@@ -103,3 +103,23 @@ def test_stages_on_odd_rows(odd, empty, spark):
             assert {(r["doc_id"], r["lang"], r["source"], r["size"]) for r in got.collect()} <= known
         if name in ("secrets", "packed"):
             assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in odd.collect()}
+
+
+def test_shared_passage(spark, monkeypatch):
+    """A passage in texts of all sizes, in lists of several parts and none of it ordered last: few pairs, none lost."""
+    rng = random.Random(8)
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(int(20 * 1.012**i))]
+        rows.append((2 * i, " ".join(words) + " " + passage))
+        if i % 10 == 0:
+            words[rng.randrange(len(words))] = "other"
+            rows.append((2 * i + 1, " ".join(words) + " " + passage))
+    decided, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *rest: decided.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(near, "MEMBERS", 8)
+    monkeypatch.setattr(near, "MOST_OFTEN", 0)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups(rows)
+    assert sum(decided) < len(rows) * 10
