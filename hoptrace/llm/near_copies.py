@@ -8,12 +8,15 @@ and an index of rare shingles, whose guarantee holds for Jaccard, finds the othe
 1. A text is the set of 64-bit hashes of its shingles; equal sets are one node. Each node keeps the SimHash of its set,
    a parity bitmap of 512 bits, and its prefix: in one common order of all shingles, sets of a similarity of 0.8 meet
    in their first ``n - ceil(0.8 n) + 1``. Shingles that a sample of the texts has often come last in the order, which
-   makes lists short; whatever the sample, no pair is lost.
+   makes lists short; whatever the sample, no pair is lost. A prefix reaches ``n // SPARE`` shingles further, in which
+   similar sets meet as many times more, so a set that meets others too seldom in all has no partner and leaves the
+   index: texts that share a few shingles by chance, which grow with the square of the corpus, make no pairs.
 2. First pairs: links of the SimHash index, and each member of a list of the prefix index with three of the list.
    That links large groups of copies without their pairs.
 3. Members of one list that are still in different components are paired, those outside the list's largest component
    with all others that their size and their places in the list allow: lists are parted by bands of sizes, of which a
-   member meets three, and long lists by members too, so no list is one task.
+   member meets three, and long lists by members too, so no list is one task. Where both have the same list before
+   this one, they have met there, so a pair of many common shingles is made for few of them.
 4. A pair goes on if its sizes and bitmaps allow the similarity (differing parity bits are a lower bound of the sets'
    symmetric difference), and is then decided on the two whole sets, which are made again from the texts of such pairs
    alone.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_by_size, join_hot, new_name, staged
@@ -41,6 +44,8 @@ from .simhash import links_between, majority, shingle_hashes
 SHINGLE = 5
 #: Texts of the sample that orders shingles, occurrences from which on one is frequent, and how many of these are kept.
 SAMPLE, OFTEN, MOST_OFTEN = 20_000, 3, 100_000
+#: A prefix is longer than needed to meet once by a set's size divided by this, to meet as often more.
+SPARE = 10
 #: Pairs of one text that meet in one task, and shingles of sets that a task keeps for its next pairs (8 bytes each).
 TOGETHER, KEPT_SHINGLES = 1000, 200_000
 #: Members of a list that a task pairs with others; ratio of sizes that a band spans (a little over that of similar sets, so they are in the same or in adjoining bands).
@@ -85,13 +90,14 @@ def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(shingles: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set, frequent ones last: as many as are sure to meet those of a similar set."""
+    """The first shingles of a set, frequent ones last: as many as are sure to meet those of a similar set
+    ``1 + n // SPARE`` times, ``n`` being the lesser size."""
     gram, count = often
     weight = np.zeros(len(shingles), np.int64)
     if len(gram):
         at = np.minimum(np.searchsorted(gram, shingles), len(gram) - 1)
         weight = np.where(gram[at] == shingles, count[at], 0)
-    n = len(shingles) - (4 * len(shingles) + 4) // 5 + 1 if len(shingles) else 0
+    n = len(shingles) - (4 * len(shingles) + 4) // 5 + 1 + len(shingles) // SPARE if len(shingles) else 0
     return shingles[np.lexsort((shingles, weight))[:n]]
 
 
@@ -133,6 +139,21 @@ def _enough_left(a: str, b: str) -> Column:
     return 9 * (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)) >= 4 * (n + m)
 
 
+def _candidates(shared: DataFrame) -> DataFrame:
+    """(gram, node, n, pos): of ``shared`` (written), what lies in the part of a prefix that meets at least once, for
+    nodes that meet others often enough in their whole prefix. A partner has four fifths of a node's size or more."""
+    least = F.expr("(4 * n + 4) div 5")
+    enough = shared.groupBy("node", "n").agg(F.count("*").alias("met")).filter(F.col("met") > F.floor(least / SPARE)).select("node")
+    return staged(shared.filter(F.col("pos") <= F.col("n") - least).join(enough, "node", "left_semi"), "index")
+
+
+def _stars(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """(u, v): members of a list with three of it, where sizes and places allow the similarity."""
+    beside = join_hot(index, lists, "gram", "k").select("node", "n", "pos", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c"))
+    beside = beside.select("node", "n", "pos", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "pos")]).filter(F.col("c_node") != F.col("node"))
+    return beside.filter((5 * F.least("n", "c_n") >= 4 * F.greatest("n", "c_n")) & _enough_left("", "c_")).select(*_ordered("c_node", "node"))
+
+
 def _parted(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two sides of ``mixed`` to be joined by ``gram``, ``band`` and ``part``: each pair of a list meets once if their bands adjoin."""
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(BAND))).cast("int")
@@ -242,14 +263,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = staged(whole, "nodes")
     keys = staged(rows.groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("rows")), "keys")
     discard(rows)
-    entries = nodes.select(F.posexplode("prefix").alias("pos", "gram"), "node")
+    entries = nodes.select(F.posexplode("prefix").alias("pos", "gram"), "node", "n")
     grams = staged(entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1"), "grams")  # most are of one node
-    index = staged(join_hot(entries, grams, "gram", "k"), "index")
+    shared = staged(join_hot(entries, grams, "gram", "k"), "shared")
     facts = staged(nodes.drop("prefix"), "facts")
     discard(grams, nodes)
-    centres = F.min("node").alias("c0"), F.max("node").alias("c1"), F.min_by("node", F.xxhash64("node")).alias("c2")
-    lists = staged(index.groupBy("gram").agg(*centres, F.count("*").alias("k")), "lists")
-    stars = join_hot(index, lists, "gram", "k").select(F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c"), "node").filter(F.col("c") != F.col("node")).select(*_ordered("c", "node"))
+    index = _candidates(shared)
+    discard(shared)
+    member = F.struct("node", "n", "pos")
+    centres = F.min(member).alias("c0"), F.max(member).alias("c1"), F.min_by(member, F.xxhash64("node")).alias("c2")
+    lists = staged(index.groupBy("gram").agg(*centres, F.count("*").alias("k")).filter("k > 1"), "lists")
+    stars = _stars(index, lists)
     close = _close_pairs(facts)
     first = _likely(stars.unionByName(close), facts)
     discard(lists, close)
@@ -260,11 +284,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     discard(index)
     sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("k"))
     largest = staged(sizes.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("roots")).filter("roots > 1").drop("roots").withColumn("members", F.col("k")), "largest")
-    mixed = staged(join_hot(placed, largest, "gram", "members").join(facts.select("node", "n", *BITMAP), "node"), "mixed")
+    mixed = join_hot(placed, largest, "gram", "members").withColumn("before", F.lag("gram").over(Window.partitionBy("node").orderBy("pos")))
+    mixed = staged(mixed.join(facts.select("node", *BITMAP), "node"), "mixed")
     discard(placed, largest)
     a, b = (side.alias(name) for side, name in zip(_parted(mixed), "ab"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "band", "part")]
-    meet = same[0] & same[1] & same[2] & (F.col("a.root") != F.col("b.root")) & _enough_left("a.", "b.") & _may_link("a.", "b.")
+    once = (F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node"))
+    once &= F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
+    meet = same[0] & same[1] & same[2] & (F.col("a.root") != F.col("b.root")) & once & _enough_left("a.", "b.") & _may_link("a.", "b.")
     rest = a.join(b, meet).select(*_ordered("a.node", "b.node")).distinct()
     rest = staged(rest.join(first, ["u", "v"], "left_anti"), "rest")
     discard(mixed, first)

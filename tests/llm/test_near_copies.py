@@ -123,3 +123,38 @@ def test_shared_passage(spark, monkeypatch):
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == groups(rows)
     assert sum(decided) < len(rows) * 10
+
+
+def test_chance_shingles(spark, monkeypatch):
+    """Texts that share a passage of a few shingles with others by chance, and near copies: the former make no pairs."""
+    rng = random.Random(9)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(6)) for i in range(300)]
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(150)]
+        for at in sorted(rng.sample(range(150), 3)):
+            words[at] = rng.choice(phrases)
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:
+            words[75] = "other"
+            rows.append((2 * i + 1, " ".join(words)))
+    made, likely = [], near._likely
+    monkeypatch.setattr(near, "_likely", lambda pairs, facts: made.append(pairs.distinct().count()) or likely(pairs, facts))
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = groups(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 300
+    assert sum(made) < 100
+
+
+def test_prefixes_meet_often():
+    """Similar sets share as many of their prefixes as asks the filter, also at the least similarity and size."""
+    rng = np.random.default_rng(6)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n in (*range(1, 60), 100, 999):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for b in (rng.permutation(a)[: (4 * n + 4) // 5], np.concatenate([rng.permutation(a)[: (8 * n + 8) // 9], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])):
+            both = len(np.intersect1d(a, b))
+            if 5 * both < 4 * (n + len(b) - both):
+                continue
+            met = len(np.intersect1d(near.prefix(a, none), near.prefix(np.unique(b), none)))
+            assert all(met > (4 * k + 4) // 5 // near.SPARE for k in (n, len(b)))
