@@ -10,8 +10,9 @@
    every document meets the one after it in one pass; it also compares the sets that this pass has at hand.
 4. ``near_duplicates`` finds all pairs of sets with a Jaccard similarity of ``LEAST`` or more. Sets are partitioned by
    their length, so that a partner lies in the same partition or the next one. Signatures are ordered by their exact
-   counts, rarest first; two similar sets share one of their first ``n - ceil(LEAST * n) + 1``. In rounds, the members
-   of a list are compared with one of them, the one with the fewest signatures of its own, which then leaves the list;
+   counts, rarest first; two similar sets share one of their first ``n - ceil(LEAST * n) + 1``. Sets of such lists
+   whose least hashes under two functions are equal, as those of similar sets mostly are, are compared with one of
+   them, for ``BANDS`` such pairs of functions; this only saves pairs later. In rounds, the members of a list are compared with one of them, the one with the fewest signatures of its own, which then leaves the list;
    so large groups link without their pairs. Members that are still in different components are paired at the end. A
    pair is pruned by its lengths, by what can follow the places of its shared signature and by parity bitmaps of both
    sets, and decided on the whole sets.
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_hot, settings, staged, table
@@ -55,6 +56,8 @@ BITMAP = ("b0", "b1", "b2", "b3")
 ROW += "".join(f", {b} long" for b in BITMAP)
 #: Lists are compared with one member at a time while their pairs would be more than this many a member, so often at most.
 FEW_PAIRS, ROUNDS = 2, 3
+#: How often sets are compared by two equal least hashes before that.
+BANDS = 8
 
 
 def words_of(text: str) -> list[bytes]:
@@ -280,6 +283,22 @@ def _stars(members: DataFrame, centre_of: Column, met: Column) -> tuple[DataFram
     return out, gone
 
 
+def _alike(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """(u, v): members of lists with one member of equal least hashes; as many pairs as members and ``BANDS`` at most. No pair depends on it."""
+    some = sets.join(open_.select("node").distinct(), "node", "left_semi").filter("n > 0")
+    least = lambda i: F.array_min(F.transform("sigs", lambda x: F.xxhash64(F.lit(i), x)))
+    keys = some.select("node", "n", F.array(*[F.xxhash64(F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(BANDS)]).alias("keys"))
+    members = staged(keys, "least-hashes")
+    entries = members.select("node", "n", F.explode("keys").alias("key"))
+    centres = staged(entries.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("c"), F.count("*").alias("k")).filter("k > 1"), "bucket-centres")
+    num, den = LEAST
+    beside = join_hot(entries, centres, "key", "k").select("node", "n", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"))
+    pairs = beside.filter((F.col("node") != F.col("c_node")) & (den * F.least("n", "c_n") >= num * F.greatest("n", "c_n")))
+    out = staged(pairs.select(*_ordered("node", "c_node")).distinct(), "alike")
+    discard(members, centres)
+    return out
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
@@ -287,8 +306,8 @@ def _ordered(a: str, b: str) -> list[Column]:
 def links(sets: DataFrame) -> DataFrame:
     """(u, v): a forest of similar pairs that joins whatever pairs of ``sets`` (written; node, n, sigs, bitmap) do."""
     open_ = _index(sets)
-    found = staged(sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), "no-links")
-    met = staged(found, "no-pairs")  # pairs that are decided
+    met = _alike(sets, open_)  # pairs that are decided
+    found = _verified(met, sets)
     for k in range(ROUNDS + 1):
         roots = staged(sets.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
         placed = staged(open_.drop("root").join(roots, "node"), "placed")
@@ -311,9 +330,13 @@ def links(sets: DataFrame) -> DataFrame:
         later = staged(met.unionByName(new), "met"), staged(found.unionByName(more), "found")
         discard(open_, stars, gone, new, more, met, found)
         open_, (met, found) = rest, later
-    facts = staged(open_.join(sets.select("node", *BITMAP), "node"), "facts")
+    before = F.lag("list.sig").over(Window.partitionBy("node", "list.p").orderBy("pos"))
+    facts = staged(open_.withColumn("before", before).join(sets.select("node", *BITMAP), "node"), "facts")
     a, b = facts.filter(F.col("root") != F.col("most")).alias("a"), facts.alias("b")
-    meet = (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & ~(F.col("a.guest") & F.col("b.guest")) & _may_link("a.", "b.") & _may_be_equal("a.", "b.")
+    once = (F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node"))
+    # those that have the same list before this one have met there
+    once &= F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
+    meet = (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & once & ~(F.col("a.guest") & F.col("b.guest")) & _may_link("a.", "b.") & _may_be_equal("a.", "b.")
     last = staged(a.join(b, meet).select(*_ordered("a.node", "b.node")).distinct().join(met, ["u", "v"], "left_anti"), "last")
     discard(open_, facts, met)
     more = _verified(last, sets)

@@ -135,6 +135,21 @@ def test_list_of_one_group_and_strangers(spark):
     assert len({w[0][5] for w in want if w[0][0] < 150}) == 1
 
 
+def test_group_about_the_least_similarity(spark, monkeypatch):
+    """A large group of short near copies, some 0.8 similar and some not: linked without the pairs of the group."""
+    rng = random.Random(12)
+    base, rows = [w for i in range(20) for w in ("the", f"a{i}", f"b{i}", f"c{i}")], []
+    for i in range(600):
+        near = list(base)
+        for k in rng.sample(range(20), rng.choice([1, 2, 2, 3])):
+            near[4 * k + 1] = f"x{i}y{k}"
+        rows.append((i, " ".join(near[: 4 * rng.choice([17, 18, 19, 20, 20])]), "en"))
+    want, decided, verified = loop(rows), [], sp._verified
+    monkeypatch.setattr(sp, "_verified", lambda pairs, sets: decided.append(pairs.count()) or verified(pairs, sets))
+    check(result(spark, frame(spark, rows)), want)
+    assert sum(decided) < len(rows) * 25
+
+
 ODD = [
     (1, None, "en"), (2, "", None), (3, " \n\t ", "en"), (4, "one", "en"), (5, "the one", "en"), (6, "the of and", "en"), (7, "Ünïcödé ΣΑΣ Σ K İ the same words again", "en"),
     (7, "a text with the same id", "en"), (7, "a text with the same id", "en"), (None, "a null id of the text", "fr"), (None, None, None), (8, " ".join(f"name{i}" for i in range(300)), "xx"),
