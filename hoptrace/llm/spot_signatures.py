@@ -12,8 +12,9 @@
    their length, so that a partner lies in the same partition or the next one. Signatures are ordered by their exact
    counts, rarest first; two similar sets share one of their first ``n - ceil(LEAST * n) + 1``. Sets of such lists
    whose least hashes under two functions are equal, as those of similar sets mostly are, are compared with one of
-   them, for ``BANDS`` such pairs of functions; this only saves pairs later. In rounds, the members of a list are compared with one of them, the one with the fewest signatures of its own, which then leaves the list;
-   so large groups link without their pairs. Members that are still in different components are paired at the end. A
+   them, for ``BANDS`` such pairs of functions; this only saves pairs later. In
+   rounds, the members of a list are compared with one of them, the one with the fewest signatures of its own, which
+   then leaves the list; so large groups link without their pairs. Members that are still in different components are paired at the end. A
    pair is pruned by its lengths, by what can follow the places of its shared signature and by parity bitmaps of both
    sets, and decided on the whole sets.
 
