@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_hot, settings, staged, table
-from .components import components
+from .components import merged
 from .near_copies import _spread
 
 #: Content words of a signature; words without an anchor from which on each is its own.
@@ -304,15 +304,17 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(u, v): a forest of similar pairs that joins whatever pairs of ``sets`` (written; node, n, sigs, bitmap) do."""
+def classes_of(sets: DataFrame) -> DataFrame:
+    """(node, root): the component of each of ``sets`` (written; node, n, sigs, bitmap) under all similar pairs, by its least node."""
     open_ = _index(sets)
     met = _alike(sets, open_)  # pairs that are decided
-    found = _verified(met, sets)
+    more = _verified(met, sets)
+    roots = staged(sets.select("node", F.col("node").alias("root")), "nodes")
     for k in range(ROUNDS + 1):
-        roots = staged(sets.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+        # what was linked before is in the roots
+        before, roots = roots, merged(roots, more)
         placed = staged(open_.drop("root").join(roots, "node"), "placed")
-        discard(open_, roots)
+        discard(open_, before, more)
         # only lists with members in several components are open
         sizes = placed.groupBy("list", "root").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("list").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
@@ -328,9 +330,9 @@ def links(sets: DataFrame) -> DataFrame:
         new = staged(stars.join(met, ["u", "v"], "left_anti"), "new")
         more = _verified(new, sets)
         rest = staged(open_.drop("most").join(gone, ["list", "node"], "left_anti"), "rest")
-        later = staged(met.unionByName(new), "met"), staged(found.unionByName(more), "found")
-        discard(open_, stars, gone, new, more, met, found)
-        open_, (met, found) = rest, later
+        later = staged(met.unionByName(new), "met")
+        discard(open_, stars, gone, new, met)
+        open_, met = rest, later
     before = F.lag("list.sig").over(Window.partitionBy("node", "list.p").orderBy("pos"))
     facts = staged(open_.withColumn("before", before).join(sets.select("node", *BITMAP), "node"), "facts")
     a, b = facts.filter(F.col("root") != F.col("most")).alias("a"), facts.alias("b")
@@ -341,8 +343,8 @@ def links(sets: DataFrame) -> DataFrame:
     last = staged(a.join(b, meet).select(*_ordered("a.node", "b.node")).distinct().join(met, ["u", "v"], "left_anti"), "last")
     discard(open_, facts, met)
     more = _verified(last, sets)
-    out = staged(found.unionByName(more), "all-links")
-    discard(found, last, more)
+    out = merged(roots, more)
+    discard(last, more, roots)
     return out
 
 
@@ -359,9 +361,8 @@ def _classes(rows: DataFrame, made: Callable[[], None] | None) -> DataFrame:
     sets = staged(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # written, so that numbers stay
     if made:
         made()
-    found = links(sets.select("node", "n", "sigs", *BITMAP))
-    rooted = sets.select("node", "fingerprint", "doc_id", "k").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = staged(rooted, "rooted")
+    found = classes_of(sets.select("node", "n", "sigs", *BITMAP))
+    rooted = staged(sets.select("node", "fingerprint", "doc_id", "k").join(found, "node"), "rooted")
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = staged(rooted.join(names, "root").select("fingerprint", "class_id", "k"), "classes")
     discard(sets, found, rooted)

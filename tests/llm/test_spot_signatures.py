@@ -9,7 +9,7 @@ from itertools import islice
 import pytest
 from xxhash import xxh3_128_digest
 
-from hoptrace.llm import spot_signatures as sp
+from hoptrace.llm import common, components, spot_signatures as sp
 from hoptrace.llm.common import staged
 
 SCHEMA = "doc_id long, text string, lang string, n long, sigs int, copy string, node long, n_chars int"
@@ -150,6 +150,38 @@ def test_group_about_the_least_similarity(spark, monkeypatch):
     assert sum(decided) < len(rows) * 25
 
 
+def test_few_tables_are_written(spark, monkeypatch):
+    """Links of a large group are put together once: later rounds join its root alone, and a round without links joins nothing."""
+    rng = random.Random(5)
+    base, rows = [w for i in range(20) for w in ("the", f"a{i}", f"b{i}", f"c{i}")], []
+    for i in range(300):
+        near = list(base)
+        for k in rng.sample(range(20), rng.choice([1, 1, 1, 2])):
+            near[4 * k + 1] = f"x{i}y{k}"
+        rows.append((i, " ".join(near[: 4 * rng.choice([15, 19, 20, 20, 20])]), "en"))
+    want, names, written = loop(rows), [], common.written
+    monkeypatch.setattr(common, "written", lambda df, path, *by: names.append(path.rpartition("/")[2].split("-")[1]) or written(df, path, *by))
+    check(result(spark, frame(spark, rows)), want)
+    assert names.count("large") <= 6
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 300])
+def test_components_with_more_links(spark, n):
+    rng = random.Random(n)
+    first, more = ([(rng.randrange(200), rng.randrange(200)) for _ in range(n // k)] for k in (2, 1))
+    more += [(k, k + 1) for k in range(300, 300 + n)]  # a chain
+    root = {k: k for k in range(601)}
+    for u, v in first + more:
+        if root[u] == root[v]:
+            continue
+        low, high = sorted((root[u], root[v]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    links = "u long, v long"
+    nodes = staged(spark.range(601).selectExpr("id AS node", "id AS root"), "nodes")
+    roots = components.merged(nodes, spark.createDataFrame(first, links))
+    assert {r["node"]: r["root"] for r in components.merged(roots, spark.createDataFrame(more, links)).collect()} == root
+
+
 ODD = [
     (1, None, "en"), (2, "", None), (3, " \n\t ", "en"), (4, "one", "en"), (5, "the one", "en"), (6, "the of and", "en"), (7, "Ünïcödé ΣΑΣ Σ K İ the same words again", "en"),
     (7, "a text with the same id", "en"), (7, "a text with the same id", "en"), (None, "a null id of the text", "fr"), (None, None, None), (8, " ".join(f"name{i}" for i in range(300)), "xx"),
