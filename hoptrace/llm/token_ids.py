@@ -42,6 +42,17 @@ def _byte_characters() -> dict[int, int]:
 _BYTES = _byte_characters()
 
 
+class _Shown(dict):
+    """Characters' numbers to what stands for their bytes in that alphabet."""
+
+    def __missing__(self, number: int) -> str:
+        self[number] = shown = chr(number).encode().decode("latin-1").translate(_BYTES)
+        return shown
+
+
+_SHOWN = _Shown()
+
+
 class _Pieces(dict):
     """Stretches of text between cuts to the bytes of their ids; one that is missing is encoded, or cut further first."""
 
@@ -52,6 +63,11 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if not (piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha())):  # else one pre-token: letters, with one space at most
+            if piece[:-1].isalpha():  # a cut is before what follows letters
+                ids = self[piece[:-1]] + self[piece[-1]]
+                if len(piece) <= CACHED_CHARS and len(self) < CACHE_ENTRIES:
+                    self[piece] = ids
+                return ids
             parts = self.cut[not piece.isascii()](piece)
             if len(parts) != 1:
                 ids = b"".join(map(self.__getitem__, parts))
@@ -60,7 +76,8 @@ class _Pieces(dict):
                 return ids
             piece = parts[0]
         unit = self.unit
-        ids = b"".join([unit[t.id] for t in self.tokenize(piece.encode("utf-8").decode("latin-1").translate(_BYTES))])
+        shown = piece if piece.isascii() and piece.isalpha() else piece.translate(_SHOWN)
+        ids = b"".join([unit[t.id] for t in self.tokenize(shown)])
         if len(piece) <= CACHED_CHARS and len(self) < CACHE_ENTRIES:
             self[piece] = ids
         return ids

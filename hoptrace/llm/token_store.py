@@ -43,11 +43,8 @@ WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 MULTIPLIER = np.uint32(0x9E3779B1)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: a rolling hash of the last ``WINDOW`` ids, within the two bounds."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _wanted(ids: np.ndarray) -> np.ndarray:
+    """Ends that a rolling hash of the last ``WINDOW`` ids asks for."""
     x = (ids.astype(np.uint32) + np.uint32(1)) * MULTIPLIER
     x ^= x >> np.uint32(15)
     h, power, span = x, MULTIPLIER, 1
@@ -55,9 +52,12 @@ def cut_points(ids: np.ndarray) -> list[int]:
         while span < WINDOW:  # a hash of twice as many ids from two of half as many; the first ids' hashes cover fewer
             h = np.concatenate([h[:span], h[span:] + h[:-span] * power])
             power, span = power * power, span * 2
-    wanted = np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + 1
+    return np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + 1
+
+
+def _ends(wanted: list[int], n: int) -> list[int]:
     ends, last = [], 0
-    for p in [*wanted.tolist(), n]:
+    for p in [*wanted, n]:
         while p - last > MOST:
             last += MOST
             ends.append(last)
@@ -67,6 +67,19 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream: those of the hash, within the two bounds."""
+    return _ends(_wanted(ids).tolist() if len(ids) > LEAST else [], len(ids))
+
+
+def all_cut_points(streams: list[np.ndarray]) -> list[list[int]]:
+    """:func:`cut_points` of each, hashed in one pass: hashes over a stream's start lie before its ``LEAST``-th id, where no cut is."""
+    ends = np.cumsum([len(x) for x in streams], dtype=np.int64)
+    wanted = _wanted(np.concatenate(streams)) if streams else np.zeros(0, np.int64)
+    until = np.searchsorted(wanted, ends, "right").tolist()
+    return [_ends((wanted[a:b] - (end - len(x))).tolist(), len(x)) for x, a, b, end in zip(streams, [0, *until], until, ends.tolist())]
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """SHA-256 tree with marked leaves and nodes; an odd node moves up as it is."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"\0").digest()]
@@ -88,10 +101,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         for batch in batches:
             texts, counts, roots, offsets = batch.column(1).to_pylist(), [], [], [0]
             digests, sizes, data = [], [], []
-            for ids in enc.encode(texts):
-                ids = np.concatenate([ids, end])
+            streams = [np.concatenate([ids, end]) for ids in enc.encode(texts)]
+            for ids, cuts in zip(streams, all_cut_points(streams)):
                 last, first = 0, len(digests)
-                for p in cut_points(ids):
+                for p in cuts:
                     raw = ids[last:p].tobytes()
                     data.append(pack(raw))
                     digests.append(hashlib.sha256(raw).digest())

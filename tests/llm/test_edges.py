@@ -289,6 +289,17 @@ def test_near_duplicates(odd, empty, spark):
     assert sh.near_duplicates(odd).count() == odd.count() and sh.near_duplicates(empty).count() == 0
 
 
+def test_cuts_of_a_batch_and_marks_behind_words():
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, 50_000, n).astype("<u2") for n in (1, 127, 128, 129, 5000, 1, 60_000, 144, 130)] + [np.zeros(20_000, "<u2")]
+    assert token_store.all_cut_points(streams) == [token_store.cut_points(x) for x in streams] and token_store.all_cut_points([]) == []
+    enc, cut = token_ids.TextEncoder(WORD), []
+    texts = ["words, été. 1a, b' don't, é1. x,", "word\tword\t"]
+    enc.pieces.cut = tuple(lambda x, find=find: cut.append(x) or find(x) for find in enc.cut)
+    assert [x.tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {"words,", "été.", "x,"} & set(cut)
+
+
 def test_links_and_components(spark):
     """Chains of fingerprints one or two bits apart, and crowded lists, against all pairs."""
     rng = random.Random(8)
