@@ -1,7 +1,7 @@
 """SAM text: header and records in the canonical alignment schema.
 
 sample-free columns: ordinal, name, flag, ref_index, ref_name, ref_length, ref_start (0-based), cigar, ref_end
-(0-based, exclusive), seq, qual, nm.
+(0-based, exclusive), seq, qual, nm. Places are longs: text has no bound on them, as BAM has.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ def records(lines: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("@")).withColumn("f", f).filter(F.size("f") >= 11)
     g = lambda i: F.get("f", F.lit(i))
-    start = F.when(g(3).cast("int") > 0, g(3).cast("int") - 1)
+    start = F.when(g(3).cast("long") > 0, g(3).cast("long") - 1)
     nm = F.expr("try_cast(nullif(regexp_extract(value, '\\tNM:i:([0-9]+)', 1), '') AS INT)")
     cigar = F.when(g(5) != "*", g(5))
     rows = rows.select(
         "ordinal", g(0).alias("name"), g(1).cast("int").alias("flag"), F.when(g(2) != "*", g(2)).alias("ref_name"), start.alias("ref_start"), cigar.alias("cigar"),
-        F.when(cigar.isNotNull(), (start + reference_span(cigar)).cast("int")).alias("ref_end"), g(9).alias("seq"), F.when(g(10) != "*", g(10)).alias("qual"), nm.alias("nm"),
+        F.when(cigar.isNotNull(), start + reference_span(cigar)).alias("ref_end"), g(9).alias("seq"), F.when(g(10) != "*", g(10)).alias("qual"), nm.alias("nm"),
     )
     if refs is None:
         return rows

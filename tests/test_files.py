@@ -150,3 +150,10 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
     none = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d: None)}), "sparkContext": type("X", (), {"master": "spark://host:7077"})})
     with pytest.raises(ValueError):
         staging.shared_folder(none)
+
+
+def test_places_beyond_an_int(spark):
+    """Text has no bound on places."""
+    line = "\t".join(["r1", "16", "Chr1", "6000000001", "60", "10M", "*", "0", "0", "*", "*", "NM:i:1"])
+    rows = sam.genome_reads(sam.records(spark.createDataFrame([(line, 0)], "value string, ordinal long")))
+    assert rows.select("chrom", "strand", "gstart", "gend").collect() == [("Chr1", "-", 6000000001, 6000000010)]
