@@ -36,13 +36,14 @@ def match_reference(junction_reads: DataFrame, elements: DataFrame, p: Params =
     """Junction reads whose breakpoint is within ``boundary_window`` of an intact element's edge, with the first such element in file order.
 
     Each edge is written out at the few places around it, which makes the join an equal one; the places are then brought
-    down to one element each before reads are joined.
+    down to one element each before reads are joined. They are many times the elements, by which Spark would judge
+    whether they can be copied to all tasks, so both sides are merged.
     """
     intact = elements.filter("intact").select("chrom", "te_start", "te_end", "te_name", "strand", "ord")
     near = F.sequence(F.lit(-p.boundary_window), F.lit(p.boundary_window))
     places = intact.withColumn("edge", F.explode(F.array("te_start", "te_end"))).withColumn("position", F.explode(F.transform(near, lambda d: F.col("edge") + d)))
     first = places.groupBy("chrom", "position").agg(F.min_by(F.struct("te_start", "te_end", "te_name", "strand", "ord"), "ord").alias("te"))
-    return junction_reads.join(first, ["chrom", "position"]).select(junction_reads["*"], *[F.col(f"te.{c}").alias(f"ref_{c}") for c in ("te_start", "te_end", "te_name", "strand", "ord")])
+    return junction_reads.join(first.hint("merge"), ["chrom", "position"]).select(junction_reads["*"], *[F.col(f"te.{c}").alias(f"ref_{c}") for c in ("te_start", "te_end", "te_name", "strand", "ord")])
 
 
 def shared_insertions(matched: DataFrame, keys: tuple[str, ...] = CLUSTER) -> DataFrame:
