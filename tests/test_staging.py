@@ -7,7 +7,7 @@ from hoptrace.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["reference_match"])
+@pytest.mark.parametrize("name", ["reference_match", "shared_insertions"])
 def test_places_around_elements_are_not_copied(spark, name):
     got = QUERIES[name](spark, SF)
     assert got.count() > 0
