@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..counters import counted
 from ..functions import strip_junction_tag, te_orientation, tsd_interval, tsd_text
+from ..functions.names import is_junction
 from ..params import DEFAULT, Params
 from ..sources.fasta import Reference, cut
-from ..staging import staged
+from ..staging import discard, settled, staged
 from .cluster import clusters, junctions, support
 from .islands import pair_long_islands
 from .mates import te_family
@@ -60,11 +61,17 @@ def pair_breakpoints(junction_reads: DataFrame, p: Params = DEFAULT, keys: tuple
     gaps, and each island is paired by itself; a cluster may span a contig. Islands of more than ``long_island`` positions
     are paired over bins, with the same result.
     """
+    return settled(junction_reads.sparkSession, lambda: _paired(junction_reads, p, keys), "pairs")
+
+
+def _paired(junction_reads: DataFrame, p: Params, keys: tuple[str, ...]) -> DataFrame:
     places = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("gstart"), F.col("position").cast("long").alias("gend")).distinct()
-    islands = clusters(staged(places, "places"), replace(p, range_allowance=p.pair_window), keys, "_island")
+    places = staged(places, "places")
+    islands = clusters(places, replace(p, range_allowance=p.pair_window), keys, "_island")
     at = F.when(F.col("side") == "left", F.col("gstart")).otherwise(F.col("gstart") - p.pair_window)
     event = F.struct(at.alias("at"), (F.col("side") == "left").cast("int").alias("is_left"), F.col("gstart").alias("place"))
     islands = staged(islands.select(*keys, "_island", F.inline(F.array(event))), "islands")
+    discard(places)
     own = [*keys, "_island"]
     long = staged(islands.groupBy(*own).agg(F.count("*").alias("_n")).filter(F.col("_n") > p.long_island).select(*own, F.to_json(F.struct(*own)).alias("island")), "long-islands")
     sides = islands.join(long.select(*own), own, "left_anti").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "is_left", "place"))).alias("events"))
@@ -155,24 +162,27 @@ def false_junctions(calls: DataFrame, junction_reads: DataFrame, fullreads: Data
 
     ``calls`` have the positions of their pair. ``junction_reads``: keys, side, position, name. ``fullreads``: read_name,
     chrom, gstart, gend. Left reads are probed at the call's end, right ones at its start. Reads meet their call by its
-    breakpoints and their full alignments by name, one row each; no call gathers its reads.
+    breakpoints and their full alignments by name, one row each; no call gathers its reads. Only reads of two-sided calls
+    meet their alignments, and what is counted then is summed before it is shuffled.
     """
     own = [k for k in keys if k != "cluster_id"]
-    ids = [*keys, "start", "end", "te_name", "strand"]
+    ids, place = [*keys, "start", "end", "te_name", "strand"], [*keys, "side", "position"]
     side = lambda s, at, bp: F.struct(F.lit(s).alias("side"), F.col(at).alias("position"), F.col(bp).alias("bp"))
-    ends = calls.select(*ids, F.inline(F.array(side("left", "left_pos", "end"), side("right", "right_pos", "start")))).filter(F.col("position").isNotNull())
-    reads = junction_reads.groupBy(*keys, "side", F.col("position").cast("long").alias("position"), strip_junction_tag(F.col("name")).alias("read_name"), "name").agg(F.count("*").alias("n"))
-    probes = reads.join(ends, [*keys, "side", "position"])
-    spans = fullreads.select(*own, "read_name", F.col("gstart").alias("s"), F.col("gend").alias("e"))
-    wide = (F.col("s") <= F.col("bp") - p.fullread_extend) & (F.col("e") >= F.col("bp") + p.fullread_extend)
-    hit = probes.join(spans, [*own, "read_name"], "left").groupBy(*ids, "side", "name", "n").agg(F.max(F.coalesce(wide, F.lit(False)).cast("int")).alias("hit"))
-    total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0))
-    hits = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n") * F.col("hit"))), F.lit(0))
-    judged = hit.groupBy(*ids).agg(*[f(s).alias(f"{n}_{s}") for s in ("left", "right") for n, f in (("n", total), ("h", hits))])
-    bad = F.lit(True)
-    for s in ("left", "right"):
-        bad = bad & (F.col(f"n_{s}") > 0) & (F.col(f"h_{s}") >= p.false_fraction * F.col(f"n_{s}"))
-    return judged.filter(bad).select(*ids)
+    two_sided = calls.filter(F.col("left_pos").isNotNull() & F.col("right_pos").isNotNull())
+    ends = two_sided.select(*keys, F.inline(F.array(side("left", "left_pos", "end"), side("right", "right_pos", "start")))).distinct()
+    reads = junction_reads.select(*keys, "side", F.col("position").cast("long").alias("position"), strip_junction_tag(F.col("name")).alias("read_name"))
+    probes = reads.join(ends, place)
+    spans = fullreads.select(*[F.col(k).alias(f"_{k}") for k in own], F.col("read_name").alias("_name"), F.col("gstart").alias("s"), F.col("gend").alias("e"))
+    through = (F.col("read_name") == F.col("_name")) & (F.col("s") <= F.col("bp") - p.fullread_extend) & (F.col("e") >= F.col("bp") + p.fullread_extend)
+    for k in own:
+        through = through & (F.col(k) == F.col(f"_{k}"))
+    hits = probes.join(spans, through, "left_semi").groupBy(*place, "bp").agg(F.count("*").alias("h"))
+    judged = hits.join(reads.groupBy(*place).agg(F.count("*").alias("n")), place).filter(F.col("h") >= p.false_fraction * F.col("n"))
+    judged = staged(judged.select(*place, "bp"), "judged")
+    for s, at, bp in (("left", "left_pos", "end"), ("right", "right_pos", "start")):
+        bad = judged.filter(F.col("side") == s).select(*keys, F.col("position").alias(at), F.col("bp").alias(bp))
+        two_sided = two_sided.join(bad, [*keys, at, bp], "left_semi")
+    return two_sided.select(*ids)
 
 
 def genome_tiles(genome: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -212,16 +222,25 @@ def find_insertions(
 
     Clusters left without a junction call, whether they had none or lost it to a filter, may give a call from support.
     """
+    return settled(reads.sparkSession, lambda: _found(reads, repeat, fullreads, tiles, p, include_support_only, keys), "insertions")
+
+
+def _found(reads: DataFrame, repeat: DataFrame | None, fullreads: DataFrame | None, tiles: DataFrame | None, p: Params, include_support_only: bool, keys: tuple[str, ...]) -> DataFrame:
+    """Columns that no later step reads are left behind at once, and tables are deleted once all their readers are written."""
     cluster = (*keys, "cluster_id")
-    grouped = staged(clusters(reads, p, keys), "clustered")
-    junction_reads = junctions(grouped)
+    name = F.when(is_junction(F.col("name")), F.col("name")).alias("name")  # those of other reads are not looked up
+    narrow = reads.select(*keys, name, "strand", "gstart", "gend", *(["te_name"] if repeat is None else []))
+    grouped = staged(clusters(narrow, p, keys), "clustered")
+    sustained = staged(support(grouped).select(*cluster, "strand", "gstart", "gend"), "support")
+    junction_reads = junctions(grouped).select(*cluster, "name", "side", "position", "te_end", *(["te_name"] if repeat is None else []))
     if repeat is not None:
-        junction_reads = te_family(junction_reads, repeat, (*[k for k in keys if k != "chrom"], "name"))
-    sustained = support(grouped)
+        junction_reads = te_family(junction_reads, repeat.filter(is_junction(F.col("name"))), (*[k for k in keys if k != "chrom"], "name"))
     junction_reads = staged(junction_reads, "junctions")
+    discard(grouped)
     called = counted(required_junctions(call_insertions(junction_reads, p, cluster), p), "junction-calls", calls=F.count("*"))
     if fullreads is not None:
         false = counted(false_junctions(called, junction_reads, fullreads, p, cluster), "false-junctions", calls=F.count("*"))
+        discard(junction_reads)
         called = counted(called.join(false, [*cluster, "start", "end", "te_name", "strand"], "left_anti"), "true-calls", calls=F.count("*"))
     called = count_support(called.drop("left_pos", "right_pos"), sustained, p, cluster)
     if tiles is not None:
