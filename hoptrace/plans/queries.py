@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as H
+from ..functions.names import is_junction
 from ..operators import align, calls, cluster, genotype, mates, reference, seeds, trim
 from ..operators.rangejoin import overlapping
 from ..params import DEFAULT
@@ -16,7 +17,7 @@ from ..sinks import gff_line
 from ..sources.fasta import reference_of
 from ..sources.sam import genome_reads, records
 from ..sources.text import parse_insertions
-from ..staging import staged
+from ..staging import settled, staged
 from ..streaming import session_clusters as sessions
 from .fixtures import Relations
 
@@ -42,7 +43,9 @@ def _known_elements(r: Relations) -> DataFrame:
 
 def _junctions(r: Relations) -> DataFrame:
     """Clustered junction reads, some of unknown element."""
-    named = r.genome_aln.withColumn("te_name", F.when(c("nm") == 0, c("te_name")).otherwise(calls.NO_ELEMENT))
+    kept = is_junction(c("name"))  # other reads count for the clusters alone
+    element = F.when(kept, F.when(c("nm") == 0, c("te_name")).otherwise(calls.NO_ELEMENT)).alias("te_name")
+    named = r.genome_aln.select("chrom", F.when(kept, c("name")).alias("name"), "strand", "gstart", "gend", element)
     return staged(cluster.junctions(cluster.clusters(named)), "junctions")
 
 
@@ -220,8 +223,11 @@ def required_junction_filter(r: Relations) -> DataFrame:
 
 @query
 def false_junction(r: Relations) -> DataFrame:
-    reads = _junctions(r)
-    return calls.false_junctions(staged(calls.call_insertions(reads), "calls"), reads, r.fullreads).select("chrom", "cluster_id", "start", "end", "te_name", "strand")
+    def false() -> DataFrame:
+        reads = _junctions(r)
+        return calls.false_junctions(staged(calls.call_insertions(reads), "calls"), reads, r.fullreads)
+
+    return settled(r.spark, false, "false").select("chrom", "cluster_id", "start", "end", "te_name", "strand")
 
 
 @query

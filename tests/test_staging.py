@@ -14,7 +14,7 @@ def bytes_below(folder: str, known: set[Path] = frozenset()) -> int:
     return sum(f.stat().st_size for f in set(Path(folder.removeprefix("file:")).rglob("*.parquet")) - known)
 
 
-@pytest.mark.parametrize("name", ["find_insertions", "filter_reference_overlaps", "evaluate_calls", "gff_roundtrip", "genotype"])
+@pytest.mark.parametrize("name", ["find_insertions", "filter_reference_overlaps", "evaluate_calls", "gff_roundtrip", "genotype", "false_junction"])
 def test_tables_on_the_way_are_deleted(spark, name):
     folder = shared_folder(spark)
     before = set(Path(folder.removeprefix("file:")).rglob("*.parquet"))
